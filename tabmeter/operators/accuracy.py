@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import finite, pct
-from tabmeter.operators.common import ROWS, moments
+from tabmeter.operators.common import row_count, moments
 from tabmeter.operators.forest import SKIPPED, isolation_forest
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.result import Outcome, Tally, no_rows, share
@@ -25,7 +25,7 @@ FOREST_ISSUE = "Isolation Forest: {n} multi-variate outliers ({pct}%) detected"
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    return [ROWS, *(p for c in table.numeric for p in moments(table, c))]
+    return [row_count(), *(p for c in table.numeric for p in moments(table, c))]
 
 
 def is_degenerate(stats: dict, column: str) -> bool:

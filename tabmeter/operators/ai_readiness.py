@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import ratio, ref
 from tabmeter.functions.moments import skewness_from_sums, skewness_g1
-from tabmeter.operators.common import ROWS, moments
+from tabmeter.operators.common import row_count, moments
 from tabmeter.operators.correlation import (
     coefficients,
     is_wide,
@@ -52,7 +52,7 @@ def features(table: Table, rules: Rules) -> list[str]:
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    return [ROWS, *(p for c in features(table, rules) for p in moments(table, c))]
+    return [row_count(), *(p for c in features(table, rules) for p in moments(table, c))]
 
 
 def follow_up(table: Table, rules: Rules, stats: dict) -> list[Probe]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import as_number, equals_literal, pct, ref, strip, text_form
-from tabmeter.operators.common import ROWS
+from tabmeter.operators.common import row_count
 from tabmeter.plans.statpass import Probe
 from tabmeter.result import Outcome, Tally, no_rows, share
 from tabmeter.table import Table
@@ -65,7 +65,8 @@ def _configured(table: Table, rule: dict) -> RowRule:
         expected = rule.get("expected_status", DEFAULT_STATUS)
         words = {"risk": risk, "value": value, "status": status, "expected": expected}
         at_risk = equals_literal(ref(risk), table.types[risk], value)
-        same = strip(text_form(ref(status), table.types[status])).eqNullSafe(F.lit(expected))
+        text = text_form(ref(status), table.types[status])
+        same = text.eqNullSafe(F.lit(expected)) | strip(text).eqNullSafe(F.lit(expected))
         return RowRule(label, STATUS_ISSUE, text, at_risk & ~same, at_risk, words=words)
     return RowRule(label, skipped=UNKNOWN.format(name=name))
 
@@ -92,7 +93,7 @@ def _first(table: Table, words: tuple[str, ...]) -> str | None:
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    wanted = [ROWS]
+    wanted = [row_count()]
     for i, rule in enumerate(compile_rules(table, rules)):
         if rule.broken is not None:
             wanted.append(Probe(("broken", i), F.count_if(rule.broken)))

@@ -8,11 +8,13 @@ follow from their moments.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabmeter.functions.columns import ref
@@ -20,6 +22,9 @@ from tabmeter.operators.common import moments
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
 
+# Tasks receive these functions themselves and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Up to this many sums are plain aggregates; beyond, whole Arrow batches are
 # multiplied as matrices, whose cost grows far more slowly with the columns.
 SUM_BUDGET = 60

@@ -8,18 +8,22 @@ fixed grid, so the cut-off needs no second pass and no sort of the rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import sys
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabmeter.functions.columns import ref
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
 
+# Tasks receive these functions themselves and need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 TREE_ROWS = 256
 # Drawn rows beyond what a tree needs, as each row is drawn independently.
@@ -44,30 +48,25 @@ def mean_path(n):
     return np.where(n > 2, 2.0 * harmonic - 2.0 * (n - 1.0) / safe, np.where(n == 2, 1.0, 0.0))
 
 
-@dataclass(frozen=True)
-class Forest:
-    """Flat trees: at node k, values below split[k] go to low[k], others to
-    high[k]; a leaf points to itself and holds the depth it stands for."""
-
-    feature: np.ndarray
-    split: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    depth: np.ndarray
-    roots: np.ndarray
-    height: int
-    scale: float
-
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        rows = np.arange(len(values))
-        total = np.zeros(len(values))
-        for root in self.roots:
-            at = np.full(len(values), root)
-            for _ in range(self.height):
-                below = values[rows, self.feature[at]] < self.split[at]
-                at = np.where(below, self.low[at], self.high[at])
-            total += self.depth[at]
-        return 2.0 ** (-total / len(self.roots) / self.scale)
+def path_scores(forest: dict, values: np.ndarray) -> np.ndarray:
+    """Anomaly score per row of values, from the mean depth over all trees.
+
+    The trees are flat arrays: at node k, values below split[k] go to low[k],
+    others to high[k]; a leaf points to itself and holds the depth it stands for.
+    """
+    feature, split, depth = forest["feature"], forest["split"], forest["depth"]
+    # Children side by side, so one look-up finds the next node.
+    children = np.stack([forest["low"], forest["high"]], axis=1).ravel()
+    flat = np.ascontiguousarray(values).ravel()
+    row_starts = np.arange(len(values)) * values.shape[1]
+    total = np.zeros(len(values))
+    for root in forest["roots"]:
+        at = np.full(len(values), root)
+        for _ in range(forest["height"]):
+            value = flat.take(row_starts + feature.take(at))
+            at = children.take(2 * at + (value >= split.take(at)))
+        total += depth.take(at)
+    return 2.0 ** (-total / len(forest["roots"]) / forest["scale"])
 
 
 def complete_rows(table: Table, columns: list[str]) -> DataFrame:
@@ -126,32 +125,33 @@ def grow_tree(drawn: pd.DataFrame) -> pd.DataFrame:
     return grown
 
 
-def train(rows: DataFrame, n: int) -> Forest:
+def train(rows: DataFrame, n: int) -> dict:
     """The forest: at most TREES * (2 * TREE_ROWS - 1) nodes, whatever the table."""
     grown = draw(rows, n).groupBy("tree").applyInPandas(grow_tree, NODE_SCHEMA)
-    nodes = grown.toPandas().sort_values(["tree", "node"])
-    starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
+    nodes = grown.toArrow().to_pandas().sort_values(["tree", "node"])
+    sizes = nodes.groupby("tree")["node"].size()
+    starts = sizes.cumsum() - sizes
     offset = nodes["tree"].map(starts).to_numpy()
     sample = min(n, TREE_ROWS)
-    return Forest(
-        feature=nodes["feature"].to_numpy("int64"),
-        split=nodes["split"].to_numpy("float64"),
-        low=nodes["low"].to_numpy("int64") + offset,
-        high=nodes["high"].to_numpy("int64") + offset,
-        depth=nodes["depth"].to_numpy("float64"),
-        roots=starts.to_numpy("int64"),
-        height=int(np.ceil(np.log2(max(sample, 2)))),
-        scale=float(mean_path(sample)),
-    )
-
-
-def score_column(rows: DataFrame, forest: Forest) -> Column:
+    return {
+        "feature": nodes["feature"].to_numpy("int64"),
+        "split": nodes["split"].to_numpy("float64"),
+        "low": nodes["low"].to_numpy("int64") + offset,
+        "high": nodes["high"].to_numpy("int64") + offset,
+        "depth": nodes["depth"].to_numpy("float64"),
+        "roots": starts.to_numpy("int64"),
+        "height": int(np.ceil(np.log2(max(sample, 2)))),
+        "scale": float(mean_path(sample)),
+    }
+
+
+def score_column(rows: DataFrame, forest: dict) -> Column:
     """Anomaly score of each row: near 1 for outliers, below 0.5 for inliers."""
     model = rows.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def isolation(*values: pd.Series) -> pd.Series:
-        return pd.Series(model.value.scores(np.column_stack(values)))
+        return pd.Series(path_scores(model.value, np.column_stack(values)))
 
     return isolation(*rows.columns)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabmeter.config import Rules
-from tabmeter.operators.common import ROWS, missing, present
+from tabmeter.operators.common import row_count, missing, present
 from tabmeter.operators.duplicates import duplicate_count
 from tabmeter.operators.validity import required_ids
 from tabmeter.plans.statpass import Probe
@@ -18,7 +18,7 @@ POINTS_PER_NULL_PCT = 0.5
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    return [ROWS, *(present(table, c) for c in required_ids(table, rules))]
+    return [row_count(), *(present(table, c) for c in required_ids(table, rules))]
 
 
 def assess(table: Table, rules: Rules, stats: dict) -> Outcome:

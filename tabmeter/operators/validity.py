@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import as_number, pct, ref, strip, text_form
 from tabmeter.functions.dates import is_datetime
-from tabmeter.operators.common import ROWS, missing, parse_failures, present
+from tabmeter.operators.common import row_count, missing, parse_failures, present
 from tabmeter.plans.statpass import Probe, union
 from tabmeter.result import Outcome, Tally, no_rows, share
 from tabmeter.table import Table
@@ -61,11 +61,13 @@ def enum_text(table: Table, column: str) -> Column:
 def not_allowed(table: Table, rule: dict) -> Column:
     """True for a present value which is none of the allowed ones."""
     allowed = sorted({str(v) for v in rule["allowed_values"]})
-    return ~enum_text(table, rule["column"]).isin(allowed)
+    text = text_form(ref(rule["column"]), table.types[rule["column"]])
+    # Only what is not allowed as it stands needs stripping.
+    return ~(text.isin(allowed) | strip(text).isin(allowed))
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    wanted = [ROWS]
+    wanted = [row_count()]
     for i, rule in enumerate(range_rules(table, rules)):
         at = table.ordinal(rule["column"])
         wanted.append(Probe(("range", i), violations(table, rule), 2, at))

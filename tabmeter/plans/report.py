@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tabmeter.config import PILLARS
 from tabmeter.plans.scoring import ScoreResult
@@ -36,31 +36,27 @@ def pillar_frame(spark: SparkSession, result: ScoreResult) -> DataFrame:
     return spark.createDataFrame(rows, PILLAR_SCHEMA)
 
 
+def status_of(score: float) -> str:
+    return next((word for limit, word in STATUS if score >= limit), LOWEST_STATUS)
+
+
 def score_table(spark: SparkSession, result: ScoreResult) -> DataFrame:
     """The scorecard: formatted pillars and a total row."""
-    status = F.when(F.col("score") >= STATUS[0][0], STATUS[0][1])
-    for limit, word in STATUS[1:]:
-        status = status.when(F.col("score") >= limit, word)
-    labels = F.create_map(*[F.lit(w) for pair in LABELS.items() for w in pair])
-    pillars = pillar_frame(spark, result).select(
-        labels[F.col("pillar")].alias("Pillar"),
-        F.format_string("%.0f%%", F.col("weight") * 100).alias("Weight"),
-        F.format_string("%.1f", F.col("score")).alias("Score"),
-        F.format_string("%.2f", F.col("weighted_score")).alias("Weighted"),
-        F.format_string("%d/%d", F.col("passed_checks"), F.col("total_checks")).alias(
-            "Checks Passed"
-        ),
-        status.otherwise(LOWEST_STATUS).alias("Status"),
-    )
-    overall = spark.createDataFrame([(result.overall_score,)], "score double").select(
-        F.lit(TOTAL_LABEL).alias("Pillar"),
-        F.lit("100%").alias("Weight"),
-        F.format_string("%.1f", F.col("score")).alias("Score"),
-        F.format_string("%.2f", F.col("score")).alias("Weighted"),
-        F.lit("").alias("Checks Passed"),
-        status.otherwise(LOWEST_STATUS).alias("Status"),
-    )
-    return pillars.unionByName(overall)
+    rows = [
+        (
+            LABELS.get(p.name, p.name),
+            f"{p.weight * 100:.0f}%",
+            f"{p.score:.1f}",
+            f"{p.weighted_score:.2f}",
+            f"{p.passed_checks}/{p.total_checks}",
+            status_of(p.score),
+        )
+        for p in result.pillars.values()
+    ]
+    total = result.overall_score
+    rows.append((TOTAL_LABEL, "100%", f"{total:.1f}", f"{total:.2f}", "", status_of(total)))
+    names = ("Pillar", "Weight", "Score", "Weighted", "Checks Passed", "Status")
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
 
 
 def issue_frame(spark: SparkSession, result: ScoreResult) -> DataFrame:
