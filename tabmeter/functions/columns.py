@@ -11,6 +11,12 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# What reads as a number. A failed cast costs far more than this test.
+NUMBER = (
+    r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    r"|^\s*[+-]?(?i:inf|infinity)\s*$"
+)
+
 
 def ref(name: str) -> Column:
     """Column by exact name; names may hold dots, spaces or parentheses."""
@@ -53,9 +59,7 @@ def as_number(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.NumericType):
         return value.cast("double")
     if isinstance(dtype, T.StringType):
-        # Java also reads a type suffix ("5f", "1d"), which is no number in a data file.
-        suffixed = value.rlike(r"[0-9.][dDfF]\s*$")
-        return F.nanvl(F.when(~suffixed, value.try_cast("double")), F.lit(None).cast("double"))
+        return F.when(value.rlike(NUMBER), F.trim(value).try_cast("double"))
     return F.lit(None).cast("double")
 
 

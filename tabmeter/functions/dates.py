@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F, types as T
@@ -9,6 +10,26 @@ from pyspark.sql import Column, functions as F, types as T
 # Tried in turn after the ISO form.
 DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy")
 
+# A value of another shape is not parsed at all: a failed parse costs far more
+# than this test, and a column of free text would fail on every row.
+ISO_SHAPE = r"^[+-]?[0-9]{4,6}(-[0-9]{1,2}(-[0-9]{1,2}([T ].*)?)?)?$"
+
+
+def shape(pattern: str) -> str:
+    """Regular expression that every text of a date pattern matches."""
+    found = ""
+    for part in re.finditer(r"'([^']*)'|([A-Za-z])\2*|[^A-Za-z']+", pattern):
+        run = part.group(0)
+        if part.group(1) is not None:
+            found += re.escape(part.group(1) or "'")
+        elif run[0] in "yudHhKkmsSn" or run in ("M", "MM", "L", "LL"):
+            found += "[+-]?[0-9]+"
+        elif part.group(2):
+            found += ".+"
+        else:
+            found += re.escape(run)
+    return f"^{found}$"
+
 
 def is_datetime(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
@@ -28,8 +49,10 @@ def as_instant(
         return value.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
         stripped = F.trim(value)
-        parsed = [stripped.try_cast("timestamp_ntz")]
-        parsed += [F.try_to_timestamp(stripped, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        parsed = [F.when(stripped.rlike(ISO_SHAPE), stripped.try_cast("timestamp_ntz"))]
+        for pattern in formats:
+            instant = F.try_to_timestamp(stripped, F.lit(pattern)).cast("timestamp_ntz")
+            parsed.append(F.when(stripped.rlike(shape(pattern)), instant))
         return F.coalesce(*parsed)
     if isinstance(dtype, T.NumericType) and numeric_dates:
         seconds = F.floor(value.cast("double") / 1e9)

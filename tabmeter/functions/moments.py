@@ -10,19 +10,29 @@ from pyspark.sql import Column, functions as F
 NO_SPREAD = 1e-14
 
 
+def is_constant(value: Column) -> Column:
+    """Merged partial moments may leave a constant a tiny spread; this cannot."""
+    return F.min(value) == F.max(value)
+
+
+def sample_std(value: Column) -> Column:
+    """Sample deviation: NULL below 2 values, exactly 0 for a constant."""
+    spread = F.when(is_constant(value), 0.0).otherwise(F.stddev_samp(value))
+    return F.when(F.count(value) > 1, spread)
+
+
 def skewness_g1(value: Column) -> Column:
     """Adjusted Fisher-Pearson skewness: NULL below 3 values, 0 for a constant."""
     n = F.count(value).cast("double")
-    raw = F.coalesce(F.skewness(value), F.lit(0.0))
-    return F.when(n >= 3, raw * F.sqrt(n * (n - 1)) / (n - 2))
+    corrected = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n >= 3, F.when(is_constant(value), 0.0).otherwise(corrected))
 
 
 def kurtosis_g2(value: Column) -> Column:
     """Bias-corrected excess kurtosis: NULL below 4 values, 0 for a constant."""
     n = F.count(value).cast("double")
-    raw = F.kurtosis(value)
-    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * raw + 6)
-    return F.when(n >= 4, F.coalesce(corrected, F.lit(0.0)))
+    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6)
+    return F.when(n >= 4, F.when(is_constant(value), 0.0).otherwise(corrected))
 
 
 def skewness_from_sums(n: float, squares: float, cubes: float) -> float | None:

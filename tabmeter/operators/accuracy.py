@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import finite, pct
 from tabmeter.operators.common import row_count, moments
-from tabmeter.operators.forest import SKIPPED, isolation_forest
+from tabmeter.operators.forest import SKIPPED, complete_probe, isolation_forest
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.result import Outcome, Tally, no_rows, share
 from tabmeter.table import Table
@@ -25,7 +25,13 @@ FOREST_ISSUE = "Isolation Forest: {n} multi-variate outliers ({pct}%) detected"
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:
-    return [row_count(), *(p for c in table.numeric for p in moments(table, c))]
+    if not table.numeric:
+        return [row_count()]
+    return [
+        row_count(),
+        *(p for c in table.numeric for p in moments(table, c)),
+        complete_probe(table),
+    ]
 
 
 def is_degenerate(stats: dict, column: str) -> bool:
@@ -73,7 +79,8 @@ def assess(table: Table, rules: Rules, stats: dict, max_forest_rows: int | None
         }
         tally.check(n_pct <= MAX_OUTLIER_PCT, COLUMN_ISSUE.format(column=name, n=n, pct=n_pct))
 
-    found = isolation_forest(table, contamination, max_forest_rows)
+    complete = int(stats["complete rows"])
+    found = isolation_forest(table, contamination, max_forest_rows, complete)
     forest = {"skipped": True, "reason": SKIPPED} if found is None else found.first().asDict()
     forest_pct = forest.get("outlier_pct", 0)
     tally.check(

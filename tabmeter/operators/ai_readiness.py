@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import ratio, ref
-from tabmeter.functions.moments import skewness_from_sums, skewness_g1
+from tabmeter.functions.moments import sample_std, skewness_from_sums, skewness_g1
 from tabmeter.operators.common import row_count, moments
 from tabmeter.operators.correlation import (
     coefficients,
@@ -180,10 +180,10 @@ def feature_spread(source: DataFrame | Table, config: dict | None = None) -> Dat
         features(table, rules),
         lambda c: [
             F.count(ref(c)).alias("n"),
-            F.stddev_samp(table.number(c)).alias("std"),
+            sample_std(table.number(c)).alias("std"),
             skewness_g1(table.number(c)).alias("g1"),
         ],
-        fields=9,
+        fields=11,
     )
     return counted.select(
         "column",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabmeter.functions.columns import ref
 from tabmeter.functions.dates import unparsed
+from tabmeter.functions.moments import sample_std
 from tabmeter.plans.statpass import Probe
 from tabmeter.table import Table
 
@@ -32,5 +33,5 @@ def moments(table: Table, column: str) -> list[Probe]:
     return [
         present(table, column),
         Probe(("mean", column), F.avg(value), 2, at),
-        Probe(("std", column), F.stddev_samp(value), 3, at),
+        Probe(("std", column), sample_std(value), 6, at),
     ]

@@ -163,10 +163,3 @@ def matrix_frame(table: Table, columns, found: dict, live: list[str]) -> DataFra
                 r = found.get((row, column) if a < b else (column, row))
             cells.append((row, a, column, b, None if r is None else round(r, 4)))
     return table.spark.createDataFrame(cells, PAIR_SCHEMA)
-
-
-def lazy_corr(x: Column, y: Column) -> Column:
-    """Pearson r of two expressions as one aggregate; NULL for a constant."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))

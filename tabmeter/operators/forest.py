@@ -69,10 +69,18 @@ def path_scores(forest: dict, values: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest["roots"]) / forest["scale"])
 
 
+def has_all(columns: list[str]) -> Column:
+    """True for a row with no missing value among the columns."""
+    return reduce(and_, (ref(c).isNotNull() for c in columns), F.lit(True))
+
+
+def complete_probe(table: Table) -> Probe:
+    return Probe("complete rows", F.count_if(has_all(table.numeric)))
+
+
 def complete_rows(table: Table, columns: list[str]) -> DataFrame:
     """Rows with no missing value among the columns, as v0, v1, ..."""
-    full = reduce(and_, (ref(c).isNotNull() for c in columns))
-    return table.df.where(full).select(
+    return table.df.where(has_all(columns)).select(
         *[table.number(c).alias(f"v{i}") for i, c in enumerate(columns)]
     )
 
@@ -177,19 +185,23 @@ def outliers(scored: DataFrame, n: int, contamination: float) -> DataFrame:
 
 
 def isolation_forest(
-    source: DataFrame | Table, contamination: float = 0.05, max_rows: int | None = None
+    source: DataFrame | Table,
+    contamination: float = 0.05,
+    max_rows: int | None = None,
+    complete: int | None = None,
 ) -> DataFrame | None:
     """Outliers over the numeric columns; None if there is too little data.
 
     All complete rows are scored. `max_rows` scores a random share of about
-    that many instead.
+    that many instead. `complete` is their number, where it is known.
     """
     table = Table.of(source)
     columns = table.numeric
     if len(columns) < MIN_COLUMNS:
         return None
-    full = reduce(and_, (ref(c).isNotNull() for c in columns))
-    n = int(run_probes(table.df, [Probe("complete", F.count_if(full))])["complete"])
+    n = complete
+    if n is None:
+        n = int(run_probes(table.df, [complete_probe(table)])["complete rows"])
     if n < MIN_ROWS:
         return None
     rows = complete_rows(table, columns)

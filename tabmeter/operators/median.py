@@ -10,6 +10,7 @@ search as soon as it becomes an end of the bracket.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,11 +19,10 @@ from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
 
 # Up to this many values are sorted at once per column.
-SORTED_ROWS = 200_000
+SORTED_ROWS = 1_000_000
 ACCURACY = 10_000
-MARGIN = 2.0 / ACCURACY
-# An object-based aggregate; counts as many fields, so few share a pass.
-HEAVY = 30
+# An object-based aggregate counts as many fields, so that few share a task.
+HEAVY = 12
 
 
 @dataclass
@@ -90,36 +90,48 @@ def median_frame(source: DataFrame | Table, columns: list[str] | None = None) ->
     return table.spark.createDataFrame(rows, "column string, median double")
 
 
+def _ends(s: Search) -> tuple[float, float]:
+    """Shares around the position, on a grid: neighbouring ranks agree on them."""
+    step = round((s.position + 0.5) / s.inside * ACCURACY)
+    return max(0.0, (step - 3) / ACCURACY), min(1.0, (step + 3) / ACCURACY)
+
+
 def _narrow(df: DataFrame, searches: dict[tuple[str, int], Search]) -> None:
     """Tighten every bracket by two passes: percentiles, then counts."""
+    places = {key: (key[0], s.low, s.high, _ends(s)) for key, s in searches.items()}
     wanted = []
     for key, s in searches.items():
-        at = s.position / s.inside
-        for side, share in (("low", max(0.0, at - MARGIN)), ("high", min(1.0, at + MARGIN))):
-            end = F.percentile_approx(s.held(), F.lit(share), F.lit(ACCURACY))
-            wanted.append(Probe((side, key), end, HEAVY))
-    ends = run_probes(df, wanted)
+        shares = F.array(*[F.lit(share) for share in _ends(s)])
+        ends = F.percentile_approx(s.held(), shares, F.lit(ACCURACY))
+        wanted.append(Probe(places[key], F.to_json(ends), HEAVY, text=True))
+    found = run_probes(df, wanted)
+    # Infinities are strings in JSON; float() reads both.
+    brackets = {place: [float(end) for end in json.loads(ends)] for place, ends in found.items()}
     wanted = []
     for key, s in searches.items():
-        low, high, value = ends["low", key], ends["high", key], s.held()
+        (low, high), value = brackets[places[key]], s.held()
         parts = (
             value < low,
             value == low,
             (value > low) & (value < high),
             (value == high) & F.lit(high > low),
         )
-        wanted += [Probe((i, key), F.count_if(part)) for i, part in enumerate(parts)]
+        wanted += [Probe((i, places[key]), F.count_if(part)) for i, part in enumerate(parts)]
     counts = run_probes(df, wanted)
     for key, s in searches.items():
-        parts = [int(counts[i, key]) for i in range(4)]
-        s.narrow(ends["low", key], ends["high", key], parts)
+        s.narrow(*brackets[places[key]], [int(counts[i, places[key]]) for i in range(4)])
 
 
 def _finish(df: DataFrame, searches: dict[tuple[str, int], Search]) -> None:
     """Sort what is left of each bracket, no more than the limit."""
-    wanted = [
-        Probe(key, F.element_at(F.sort_array(F.collect_list(s.held())), s.position + 1), HEAVY)
-        for key, s in searches.items()
-    ]
-    for key, value in run_probes(df, wanted).items():
-        searches[key].found = value
+    shared: dict[tuple, list[Search]] = {}
+    for (name, _), s in searches.items():
+        shared.setdefault((name, s.low, s.high), []).append(s)
+    wanted = []
+    for bracket, members in shared.items():
+        values = F.sort_array(F.collect_list(members[0].held()))
+        picked = F.array(*[F.element_at(values, s.position + 1) for s in members])
+        wanted.append(Probe(bracket, F.to_json(picked), HEAVY, text=True))
+    for bracket, picked in run_probes(df, wanted).items():
+        for s, value in zip(shared[bracket], json.loads(picked)):
+            s.found = float(value)

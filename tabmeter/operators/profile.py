@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabmeter.functions.columns import finite, pct, ref, row_key
-from tabmeter.functions.moments import kurtosis_g2, skewness_g1
+from tabmeter.functions.moments import kurtosis_g2, sample_std, skewness_g1
 from tabmeter.operators.common import moments
 from tabmeter.operators.completeness import column_nulls
 from tabmeter.operators.correlation import coefficients, varying
@@ -56,7 +56,7 @@ def numeric_stats(source: DataFrame | Table, columns: list[str] | None = None) -
         return [
             F.count(F.lit(1)).alias("n"),
             F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
+            sample_std(value).alias("std"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
             skewness_g1(value).alias("skewness"),

@@ -6,7 +6,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabmeter.functions.columns import ref
+from tabmeter.functions.columns import NUMBER, ref
 from tabmeter.plans.statpass import Probe, run_probes
 
 # Cells of a text file that stand for a missing value.
@@ -39,9 +39,11 @@ FALLBACK_ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
 JAVA_ENCODINGS = {"latin-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8"}
 
 SUPPORTED = (".csv", ".parquet", ".json")
-INTEGER = r"^\s*[+-]?[0-9]+\s*$"
-DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
-UNDECODABLE = "�"
+WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
+UNDECODABLE = "\ufffd"
+
+# What the cells of a column read as: one bit per kind.
+WHOLE, DECIMAL, BOOLEAN, TEXT, BROKEN = 1, 2, 4, 8, 16
 
 
 def load_table(
@@ -80,55 +82,52 @@ def read_csv(
     some cell is given up for the next.
     """
     for name in (encoding, *FALLBACK_ENCODINGS):
-        cells = _cells(spark, path, name, multiline)
+        raw = _strings(spark, path, name, multiline)
         if nrows is not None:
-            cells = cells.limit(nrows)
-        stats = run_probes(cells, _type_probes(cells))
-        if not any(stats["undecodable", c] for c in cells.columns):
+            raw = raw.limit(nrows)
+        kinds = run_probes(raw, [Probe(c, _kinds(ref(c))) for c in raw.columns])
+        kinds = {c: int(found or 0) for c, found in kinds.items()}
+        if not any(found & BROKEN for found in kinds.values()):
             break
-    return cells.select(*[_typed(c, stats).alias(c) for c in cells.columns])
+    return raw.select(*[_typed(ref(c), kinds[c]).alias(c) for c in raw.columns])
 
 
-def _cells(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
+def _strings(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
     reader = (
         spark.read.option("header", True)
         .option("encoding", JAVA_ENCODINGS.get(encoding.lower(), encoding))
         .option("multiLine", multiline)
         .option("escape", '"')
     )
-    raw = reader.csv(path)
-    return raw.select(
-        *[F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in raw.columns]
-    )
+    return reader.csv(path)
 
 
-def _type_probes(cells: DataFrame) -> list[Probe]:
-    wanted = []
-    for at, name in enumerate(cells.columns):
-        cell = ref(name)
-        whole = cell.rlike(INTEGER) & cell.try_cast("bigint").isNotNull()
-        wanted += [
-            Probe(("present", name), F.count(cell), 1, at),
-            Probe(("whole", name), F.count_if(whole), 1, at),
-            Probe(("decimal", name), F.count_if(cell.rlike(DECIMAL)), 1, at),
-            Probe(("boolean", name), F.count_if(_is_boolean(cell)), 1, at),
-            Probe(("undecodable", name), F.count_if(cell.contains(UNDECODABLE)), 1, at),
-        ]
-    return wanted
+def _is_missing(cell: Column) -> Column:
+    return cell.isNull() | cell.isin(*MISSING_TOKENS)
 
 
-def _is_boolean(cell: Column) -> Column:
-    return cell.isin(*TRUE_TOKENS, *FALSE_TOKENS)
+def _kinds(cell: Column) -> Column:
+    """The kinds among the cells of a column, as one small aggregate."""
+    kind = (
+        F.when(_is_missing(cell), 0)
+        .when(cell.rlike(WHOLE_NUMBER) & cell.try_cast("bigint").isNotNull(), WHOLE)
+        .when(cell.rlike(NUMBER), DECIMAL)
+        .when(cell.isin(*TRUE_TOKENS, *FALSE_TOKENS), BOOLEAN)
+        .when(cell.contains(UNDECODABLE), TEXT | BROKEN)
+        .otherwise(TEXT)
+    )
+    return F.bit_or(kind)
 
 
-def _typed(name: str, stats: dict) -> Column:
+def _typed(cell: Column, kinds: int) -> Column:
     """A column without any value reads as double."""
-    cell, present = ref(name), stats["present", name]
-    if present and stats["whole", name] == present:
+    kinds &= ~BROKEN
+    cell = F.when(~_is_missing(cell), cell)
+    if kinds == WHOLE:
         return cell.try_cast("bigint")
-    if stats["decimal", name] == present:
+    if kinds in (0, DECIMAL, WHOLE | DECIMAL):
         return F.trim(cell).try_cast("double")
-    if stats["boolean", name] == present:
+    if kinds == BOOLEAN:
         return cell.isin(*TRUE_TOKENS)
     return cell
 
