@@ -60,8 +60,3 @@ def as_instant(
             "timestamp_ntz"
         ) + F.make_dt_interval(secs=F.pmod(seconds, F.lit(86400)))
     return F.lit(None).cast("timestamp_ntz")
-
-
-def unparsed(value: Column, dtype: T.DataType, **options) -> Column:
-    """True where a value is present but is not a date."""
-    return value.isNotNull() & as_instant(value, dtype, **options).isNull()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabmeter.functions.columns import ref
-from tabmeter.functions.dates import unparsed
 from tabmeter.functions.moments import sample_std
 from tabmeter.plans.statpass import Probe
 from tabmeter.table import Table
@@ -23,7 +22,7 @@ def missing(stats: dict, column: str) -> int:
 
 
 def parse_failures(table: Table, column: str) -> Probe:
-    bad = unparsed(ref(column), table.types[column], **table.date_options)
+    bad = ref(column).isNotNull() & table.instant(column).isNull()
     return Probe(("unparsed", column), F.count_if(bad), 1, table.ordinal(column))
 
 

@@ -69,7 +69,7 @@ def day_gaps(source: DataFrame | Table, columns: list[str]) -> DataFrame:
     The distinct runs on the map side first, so what is shuffled and sorted per
     column is no more than the calendar days it spans.
     """
-    table = Table.of(source)
+    table = Table.of(source).with_dates(columns)
     days = F.explode(
         F.array(
             *[
@@ -91,7 +91,7 @@ def max_gaps(source: DataFrame | Table, columns: list[str]) -> DataFrame:
 
 def date_ranges(source: DataFrame | Table, columns: list[str]) -> DataFrame:
     """(column, min_date, max_date, date_range_days) in whole elapsed days."""
-    table = Table.of(source)
+    table = Table.of(source).with_dates(columns)
     rows = [
         F.struct(
             F.lit(c).alias("column"),

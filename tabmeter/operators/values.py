@@ -93,15 +93,11 @@ def distinct_counts(
             ).alias("rows")
         )
         return found.select(F.inline("rows"))
-    per_family = [
-        f.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
-        for f in value_counts(table, columns)
-    ]
-    found = union(per_family)
-    # A column without any value has no group.
-    empty = F.explode(F.array(*[F.lit(table.ordinal(c)) for c in columns])).alias("ordinal")
-    zero = table.spark.range(1).select(empty, F.lit(0).cast("bigint").alias("unique_count"))
-    whole = union([found, zero]).groupBy("ordinal").agg(F.max("unique_count").alias("unique_count"))
+    found = [f.select("ordinal", "n") for f in value_counts(table, columns)]
+    # A column without any value has no group, so each gets an empty one.
+    every = F.explode(F.array(*[F.lit(table.ordinal(c)) for c in columns])).alias("ordinal")
+    found.append(table.spark.range(1).select(every, F.lit(None).cast("bigint").alias("n")))
+    whole = union(found).groupBy("ordinal").agg(F.count("n").alias("unique_count"))
     return _named(table, whole).select("column", "ordinal", "unique_count")
 
 

@@ -107,9 +107,26 @@ def determine_band(score: float, config: dict | None) -> tuple[str, str, str]:
     return LAST_BAND
 
 
-def check(pillar: str, source: DataFrame | Table, config: dict | None = None, **options) -> Outcome:
-    """One pillar alone."""
+def _date_columns(table: Table, rules: Rules) -> list[str]:
+    """Columns that some pillar reads as dates."""
+    compared = [r.get(side) for r in rules.consistency for side in ("left_column", "right_column")]
+    return [*timeliness.candidates(table, rules), *(c for c in compared if c in table)]
+
+
+def check(
+    pillar: str,
+    source: DataFrame | Table,
+    config: dict | None = None,
+    *,
+    materialize: bool = False,
+    **options,
+) -> Outcome:
+    """One pillar alone; `materialize` as for `score`."""
+    if materialize:
+        with staged(source) as df:
+            return check(pillar, df, config, **options)
     table, rules = Table.of(source), Rules.of(config)
+    table = table.with_dates(_date_columns(table, rules))
     module = MODULES[pillar]
     stats = run_probes(table.df, module.probes(table, rules))
     if not stats["rows"]:
@@ -149,6 +166,7 @@ def score(
     with ExitStack() as stack:
         df = stack.enter_context(staged(source)) if materialize else source
         table = Table.of(df, **date_options)
+        table = table.with_dates(_date_columns(table, rules))
         rows, outcomes = _run_pillars(table, rules, max_forest_rows)
 
     pillars = {}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -17,6 +18,8 @@ class Table:
     df: DataFrame
     types: dict[str, T.DataType]
     date_options: dict
+    # Hidden columns of df with the parsed form of text dates.
+    parsed_as: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def of(cls, source: "DataFrame | Table", **date_options) -> "Table":
@@ -60,7 +63,16 @@ class Table:
     def ordinal(self, column: str) -> int:
         return self.columns.index(column)
 
+    def with_dates(self, columns: Iterable[str]) -> "Table":
+        """Parse text dates once per row, however many aggregates read them."""
+        texts = [c for c in dict.fromkeys(columns) if isinstance(self.types.get(c), T.StringType)]
+        hidden = {c: f"__instant_{self.ordinal(c)}" for c in texts}
+        df = self.df.withColumns({hidden[c]: self.instant(c) for c in texts}) if texts else self.df
+        return replace(self, df=df, parsed_as=hidden)
+
     def instant(self, column: str) -> Column:
+        if column in self.parsed_as:
+            return ref(self.parsed_as[column])
         return as_instant(ref(column), self.types[column], **self.date_options)
 
     def number(self, column: str) -> Column:
