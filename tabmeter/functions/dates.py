@@ -10,9 +10,12 @@ from pyspark.sql import Column, functions as F, types as T
 # Tried in turn after the ISO form.
 DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy")
 
+# Numbers beyond what 64 bits of nanoseconds hold are no dates.
+NANOSECONDS = 2.0**63
+
 # A value of another shape is not parsed at all: a failed parse costs far more
 # than this test, and a column of free text would fail on every row.
-ISO_SHAPE = r"^[+-]?[0-9]{4,6}(-[0-9]{1,2}(-[0-9]{1,2}([T ].*)?)?)?$"
+ISO_SHAPE = r"^(?!0000)[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([T ].*)?)?)?$"
 
 
 def shape(pattern: str) -> str:
@@ -23,7 +26,7 @@ def shape(pattern: str) -> str:
         if part.group(1) is not None:
             found += re.escape(part.group(1) or "'")
         elif run[0] in "yudHhKkmsSn" or run in ("M", "MM", "L", "LL"):
-            found += "[+-]?[0-9]+"
+            found += "[0-9]+"
         elif part.group(2):
             found += ".+"
         else:
@@ -55,8 +58,10 @@ def as_instant(
             parsed.append(F.when(stripped.rlike(shape(pattern)), instant))
         return F.coalesce(*parsed)
     if isinstance(dtype, T.NumericType) and numeric_dates:
-        seconds = F.floor(value.cast("double") / 1e9)
-        return F.dateadd(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast(
-            "timestamp_ntz"
-        ) + F.make_dt_interval(secs=F.pmod(seconds, F.lit(86400)))
+        number = value.cast("double")
+        seconds = F.floor(number / 1e9)
+        days = F.floor(seconds / 86400).cast("int")
+        midnight = F.dateadd(F.lit("1970-01-01").cast("date"), days).cast("timestamp_ntz")
+        instant = midnight + F.make_dt_interval(secs=F.pmod(seconds, F.lit(86400)))
+        return F.when(F.abs(number) < NANOSECONDS, instant)
     return F.lit(None).cast("timestamp_ntz")

@@ -36,7 +36,12 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 # Encodings tried after the given one, and their names in Java.
 FALLBACK_ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
-JAVA_ENCODINGS = {"latin-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8"}
+JAVA_ENCODINGS = {
+    "latin-1": "ISO-8859-1",
+    "cp1252": "ISO-8859-1",
+    "utf-8": "UTF-8",
+    "utf-8-sig": "UTF-8",
+}
 
 SUPPORTED = (".csv", ".parquet", ".json")
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"

@@ -70,6 +70,23 @@ def test_numbers_as_dates(spark):
     )
 
 
+def test_numbers_too_large_for_a_date(spark):
+    rows = [(float(v),) for v in (0, -1, 86_400e9, 1e300, "inf", "-inf")]
+    found = check_timeliness(spark.createDataFrame(rows, "event_time double"), {})
+    # Half of the values are no dates, so the column is not one of dates.
+    assert found.score == 70.0
+    configured = {"columns": {"datetime_columns": ["event_time"]}}
+    found = check_timeliness(spark.createDataFrame(rows, "event_time double"), configured)
+    assert found.details["columns"]["event_time"]["min_date"] == "1969-12-31"
+    assert found.issues[0].startswith("Column 'event_time': 3 values could not be parsed")
+
+
+def test_years_of_more_than_four_digits_do_not_parse(spark):
+    df = dated(spark, "2020-01-01", "2020-01-02", "+12020-01-01", "0000-01-01", "202", kind="string")
+    found = check_timeliness(df, {"columns": {"datetime_columns": ["order_date"]}})
+    assert found.issues == ["Column 'order_date': 3 values could not be parsed as datetime"]
+
+
 def test_gaps_do_not_depend_on_partitions(spark):
     df = spark.range(1000).selectExpr("date_add(DATE'2020-01-01', CAST(id * id % 977 AS INT)) AS d")
     gaps = {max_gaps(df.repartition(n), ["d"]).first()["max_gap_days"] for n in (1, 3, 8)}
