@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import finite, pct
-from tabmeter.operators.common import row_count, moments
+from tabmeter.operators.common import moments, row_count
 from tabmeter.operators.forest import SKIPPED, complete_probe, isolation_forest
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.result import Outcome, Tally, no_rows, share

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import ratio, ref
 from tabmeter.functions.moments import sample_std, skewness_from_sums, skewness_g1
-from tabmeter.operators.common import row_count, moments
+from tabmeter.operators.common import moments, row_count
 from tabmeter.operators.correlation import (
     coefficients,
     is_wide,

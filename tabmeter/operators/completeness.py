@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import pct, ref
-from tabmeter.operators.common import row_count, missing, present
+from tabmeter.operators.common import missing, present, row_count
 from tabmeter.plans.statpass import Probe, per_column
 from tabmeter.result import Outcome, Tally, no_rows, share
 from tabmeter.table import Table

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import ref
 from tabmeter.functions.dates import is_datetime
-from tabmeter.operators.common import row_count, parse_failures, present
+from tabmeter.operators.common import parse_failures, present, row_count
 from tabmeter.operators.validity import date_columns
 from tabmeter.plans.statpass import Probe
 from tabmeter.result import Outcome, Tally, no_rows

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabmeter.config import Rules
-from tabmeter.operators.common import row_count, missing, present
+from tabmeter.operators.common import missing, present, row_count
 from tabmeter.operators.duplicates import duplicate_count
 from tabmeter.operators.validity import required_ids
 from tabmeter.plans.statpass import Probe

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabmeter.config import Rules
 from tabmeter.functions.columns import as_number, pct, ref, strip, text_form
 from tabmeter.functions.dates import is_datetime
-from tabmeter.operators.common import row_count, missing, parse_failures, present
+from tabmeter.operators.common import missing, parse_failures, present, row_count
 from tabmeter.plans.statpass import Probe, union
 from tabmeter.result import Outcome, Tally, no_rows, share
 from tabmeter.table import Table
