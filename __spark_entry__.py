@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 import uuid
@@ -300,11 +301,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _llm():
+    """The queries of the training-data subpackage, or None where it isn't installed."""
+    if importlib.util.find_spec("tabmeter.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    from tabmeter.llm import queries as llm_queries
+
+    return llm_queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    llm = _llm()
+    return dict(QUERIES) | (llm.QUERIES if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import oracles
 
-    return oracles(DQ_COLUMNS)
+    llm = _llm()
+    return oracles(DQ_COLUMNS) | (llm.ORACLES if llm else {})
