@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import simhash
+from tabmeter.llm import simhash, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def _table(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op6_suffix_array": _table("documents", substrings.removal_report),
     "op7_simhash": _table("documents", simhash.near_duplicates),
 }
 
