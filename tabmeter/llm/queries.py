@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import packing, simhash, substrings
+from tabmeter.llm import packing, simhash, substrings, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def _table(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_packing": _table("documents", packing.packing_report),
+    "op5_wordbpe": _table("documents", wordbpe.encoding_report),
     "op6_suffix_array": _table("documents", substrings.removal_report),
     "op7_simhash": _table("documents", simhash.near_duplicates),
 }
