@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import packing, simhash, substrings, wordbpe
+from tabmeter.llm import linecrf, packing, simhash, substrings, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": _table("documents", packing.packing_report),
     "op5_wordbpe": _table("documents", wordbpe.encoding_report),
     "op6_suffix_array": _table("documents", substrings.removal_report),
+    "op8_line_crf": _table("documents", linecrf.quality_rules),
     "op7_simhash": _table("documents", simhash.near_duplicates),
 }
 
