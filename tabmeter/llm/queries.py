@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import linecrf, packing, simhash, substrings, wordbpe
+from tabmeter.llm import linecrf, packing, preference, simhash, substrings, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,14 @@ def _table(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def _preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return preference.quality_scores(docs, labels)
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": _table("documents", packing.packing_report),
+    "op4_preference": _preference,
     "op5_wordbpe": _table("documents", wordbpe.encoding_report),
     "op6_suffix_array": _table("documents", substrings.removal_report),
     "op8_line_crf": _table("documents", linecrf.quality_rules),
