@@ -1,19 +1,58 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import simhash
+from tabmeter.llm import linecrf, packing, preference, simhash, substrings
+from tabmeter.llm.common import Staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that fail the base rule or are mostly boilerplate go."""
+    return linecrf.keep_good(docs)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents predicted to be disliked go."""
+    return preference.keep_liked(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each group of near copies the document with the smallest id stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [
-    ("simhash near-dedup", _near_duplicates),
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: passages that also start earlier are cut from the texts."""
+    return substrings.without_repeats(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the remaining texts as token pieces of packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packed_sequences", packed_sequences),
 ]
 
-#: The stages are not expressible in SQL; tests compare them with brute force.
-ORACLE_SQL = None
+#: Fingerprints, trained models and tokenizers are not expressible in SQL; tests compare the
+#: stages with brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`."""
+    staged, docs = Staged(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from tabmeter.llm import linecrf, packing, preference, simhash, substrings, wordbpe
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_array": _table("documents", substrings.removal_report),
     "op8_line_crf": _table("documents", linecrf.quality_rules),
     "op7_simhash": _table("documents", simhash.near_duplicates),
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = 2) -> Dat
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its group, all columns kept.
 
-    Of rows that repeat a doc_id within its group one stays, chosen by text; rows without
-    a doc_id have nothing that names them and stay."""
+    Of rows that repeat a doc_id one stays; rows without a doc_id have nothing that names
+    them and stay."""
     groups = near_duplicates(docs)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("llm_keep_id")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["llm_keep_id"], "left_semi")
