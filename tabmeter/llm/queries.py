@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import linecrf, packing, preference, simhash, substrings, wordbpe
+from tabmeter.llm import licenses, linecrf, packing, preference, simhash, substrings, unigram, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_array": _table("documents", substrings.removal_report),
     "op8_line_crf": _table("documents", linecrf.quality_rules),
     "op7_simhash": _table("documents", simhash.near_duplicates),
+    "op9_licenses": _table("documents", licenses.scan_licenses),
+    "op10_unigram": _table("documents", unigram.predict_languages),
     "pipeline": corpus_pipeline.run,
 }
 
