@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ LENGTH = 100
 GRAM = 16  # bytes under the rolling hash
 REACH = 10  # a trigger is the minimum of this many hashes on either side
 PIECE = 1 << 16  # texts are parsed in pieces of so many window starts
-CHUNK = 1 << 20  # pieces are parsed together up to so many bytes
+CHUNK = 1 << 18  # pieces are parsed together up to so many bytes
+BLOCK = 16  # chunks whose phrases are packed together
 HOT = 4096  # from so many phrases of one core on, each window is dealt out by itself
 LAST = np.iinfo(np.int64).max  # where documents without an id stand in the order
 
@@ -60,6 +62,10 @@ class Rolling:
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * powers[: len(buffer)], out=self.sums[1:])
 
+    def grams(self, width: int) -> np.ndarray:
+        """Hashes of all stretches of one width."""
+        return _mix((self.sums[width:] - self.sums[:-width]) * self.inverse[: len(self.sums) - width])
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
@@ -85,8 +91,7 @@ def parse(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     """
     one, two = Rolling(buffer, BASES[0]), Rolling(buffer, BASES[1])
     after = length // 2  # of the core's bytes, those from the trigger on
-    at = np.arange(len(buffer) - GRAM + 1)
-    found = triggers(one.of(at, at + GRAM))
+    found = triggers(one.grams(GRAM))
     owner = np.searchsorted(starts, found, "right") - 1
     before = np.concatenate([[-LENGTH * 8], found[:-1]]) if len(found) else found
     lo = np.maximum(np.maximum(before - REACH + 1, found - (length - after)), starts[owner])
@@ -142,7 +147,7 @@ ENTRIES = "bucket int, core binary, phrase binary, doc binary, lo binary, n bina
 def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
     """The phrases of all texts, packed by bucket of their core.
 
-    A phrase that a batch holds more than once goes to its bucket once; its later places
+    A phrase that a block of texts holds more than once goes to its bucket once; its later places
     are settled already and go to the buckets from `buckets` on, which no core shares.
     """
 
@@ -156,14 +161,16 @@ def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
             arrays.append(pa.array([x.tobytes() for x in np.split(whole, cuts)], pa.binary()))
         return pa.RecordBatch.from_arrays(arrays, ["bucket", *BLOBS])
 
+    def blocks(chunks: Iterator[tuple]) -> Iterator[list[tuple]]:
+        while block := [*islice(chunks, BLOCK)]:
+            yield block
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for block in (x for batch in batches for x in blocks(pieces(batch, length))):
             parts = []
-            for buffer, starts, ends, doc, offset in pieces(batch, length):
+            for buffer, starts, ends, doc, offset in block:
                 owner, lo, n, core, phrase = parse(buffer, starts, ends, length)
                 parts.append((core, phrase, doc[owner], lo - starts[owner] + offset[owner], n))
-            if not parts:
-                continue
             columns = dict(zip(BLOBS, map(np.concatenate, zip(*parts, strict=True)), strict=True))
             bucket = (columns["core"] % np.uint64(buckets)).astype(np.int64)
             same = columns["core"] ^ (columns["phrase"] * np.uint64(BASES[0]))
