@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import licenses, linecrf, packing, preference, simhash, substrings, unigram, wordbpe
+from tabmeter.llm import chat, covertree, licenses, linecrf, packing, preference, simhash, sql, substrings, unigram, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,8 @@ def _preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat": _table("conversations", chat.chat_report),
+    "op3_covertree": _table("embeddings", covertree.linked_vectors),
     "op2_packing": _table("documents", packing.packing_report),
     "op4_preference": _preference,
     "op5_wordbpe": _table("documents", wordbpe.encoding_report),
@@ -33,4 +35,6 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_chat": sql.CHAT, "op3_covertree": sql.VECTORS}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
