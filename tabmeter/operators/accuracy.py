@@ -53,7 +53,7 @@ def follow_up(table: Table, rules: Rules, stats: dict) -> list[Probe]:
     return wanted
 
 
-def assess(table: Table, rules: Rules, stats: dict, max_forest_rows: int | None = None) -> Outcome:
+def assess(table: Table, rules: Rules, stats: dict) -> Outcome:
     rows = stats["rows"]
     if not rows:
         return no_rows()
@@ -80,7 +80,7 @@ def assess(table: Table, rules: Rules, stats: dict, max_forest_rows: int | None
         tally.check(n_pct <= MAX_OUTLIER_PCT, COLUMN_ISSUE.format(column=name, n=n, pct=n_pct))
 
     complete = int(stats["complete rows"])
-    found = isolation_forest(table, contamination, max_forest_rows, complete)
+    found = isolation_forest(table, contamination, complete)
     forest = {"skipped": True, "reason": SKIPPED} if found is None else found.first().asDict()
     forest_pct = forest.get("outlier_pct", 0)
     tally.check(

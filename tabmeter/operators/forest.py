@@ -1,23 +1,24 @@
 """Isolation forest: multivariate outliers (Liu, Ting and Zhou, 2008).
 
 Training needs only a fixed number of rows per tree, so the trees are grown as
-one small group each and the model is a bounded array. Every complete row of the
-table is then scored in one pass of Arrow batches. The scores go into a
-fixed grid, so the cut-off needs no second pass and no sort of the rows.
+one small group each and the model is a bounded array. Which rows train a tree
+is decided by a hash of their values and by how many rows share them, so it
+depends neither on the order nor on the partitions. Every complete row of the
+table is then scored in one pass of Arrow batches. The scores are counted on a
+fixed grid, and once more within the step of the grid that the cut falls into.
 """
 
 from __future__ import annotations
 
 import sys
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabmeter.functions.columns import ref
+from tabmeter.functions.columns import count_true, ref
+from tabmeter.plans.staging import staged
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
 
@@ -29,11 +30,10 @@ TREE_ROWS = 256
 # Drawn rows beyond what a tree needs, as each row is drawn independently.
 OVERDRAW = 1.35
 SEED = 42
-# Scoring costs far more than moving a row. Up to this many rows they are spread
-# evenly first; a larger table has partitions enough.
-SPREAD_ROWS = 10_000_000
 # Scores lie in (0, 1); the grid bounds what is shuffled and sorted.
 SCORE_STEPS = 100_000
+# Hashes are read as fractions of this.
+FRACTIONS = 1 << 40
 # Below these the check is skipped.
 MIN_ROWS = 50
 MIN_COLUMNS = 2
@@ -74,7 +74,7 @@ def path_scores(forest: dict, values: np.ndarray) -> np.ndarray:
 
 def has_all(columns: list[str]) -> Column:
     """True for a row with no missing value among the columns."""
-    return reduce(and_, (ref(c).isNotNull() for c in columns), F.lit(True))
+    return count_true([ref(c).isNull() for c in columns]) == 0
 
 
 def complete_probe(table: Table) -> Probe:
@@ -88,24 +88,42 @@ def complete_rows(table: Table, columns: list[str]) -> DataFrame:
     )
 
 
+def fraction(*parts: Column) -> Column:
+    """A number from 0 to 1 that depends on the values alone."""
+    return F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(FRACTIONS)) / F.lit(float(FRACTIONS))
+
+
 def draw(rows: DataFrame, n: int) -> DataFrame:
-    """Independent draws for every tree, without a shuffle or a sort of the table."""
+    """(tree, turn, values...): the rows that train each tree.
+
+    A row is drawn for OVERDRAW * TREE_ROWS / n of all trees, on average. How many
+    copies of equal rows are drawn, and for which trees, follows from a hash of
+    their values and from their number; the numbers are combined before they are
+    shuffled, and the hashes that are drawn are few whatever the table.
+    """
     names = rows.columns
-    per_tree = min(1.0, OVERDRAW * TREE_ROWS / n)
-    if per_tree * TREES < 1.0:
-        # Large table: a row belongs to one tree at most.
-        drawn = rows.where(F.rand(SEED) < per_tree * TREES)
-        drawn = drawn.withColumn("tree", F.floor(F.rand(SEED + 1) * TREES).cast("int"))
-    else:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-        drawn = rows.withColumn("tree", trees).where(F.rand(SEED) < per_tree)
-    return drawn.select("tree", *names, F.rand(SEED + 2).alias("turn"))
+    per_row = min(float(TREES), TREES * OVERDRAW * TREE_ROWS / n)
+    hashed = rows.withColumn("key", F.xxhash64(*names))
+    counted = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.floor(F.col("n") * per_row + fraction(F.col("key"))).alias("copies")
+    drawn = counted.select("key", copies).where("copies > 0")
+    values = hashed.join(F.broadcast(drawn), "key").groupBy("key", "copies")
+    first = F.floor(fraction(F.col("key"), F.lit("tree")) * TREES)
+    # copy j goes to the j-th tree from the first one on, round and round
+    turns = F.sequence(F.lit(0), F.least("copies", F.lit(TREES)).cast("int") - 1)
+    dealt = values.agg(*[F.min(c).alias(c) for c in names]).withColumn("j", F.explode(turns))
+    times = F.least(F.ceil((F.col("copies") - F.col("j")) / TREES), F.lit(int(OVERDRAW * TREE_ROWS) + 1))
+    return (
+        dealt.withColumn("tree", F.pmod(first + F.col("j"), F.lit(TREES)).cast("int"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+        .select("tree", *names, fraction(F.col("key"), F.col("tree"), F.col("copy")).alias("turn"))
+    )
 
 
 def grow_tree(drawn: pd.DataFrame) -> pd.DataFrame:
     """One tree from at most TREE_ROWS of its drawn rows."""
     tree = int(drawn["tree"].iloc[0])
-    drawn = drawn.sort_values("turn").head(TREE_ROWS)
+    drawn = drawn.sort_values([*drawn.columns[::-1]]).head(TREE_ROWS)
     values = drawn.drop(columns=["tree", "turn"]).to_numpy("float64")
     values = np.nan_to_num(values, posinf=1e300, neginf=-1e300)
     limit = int(np.ceil(np.log2(max(len(values), 2))))
@@ -170,36 +188,33 @@ def score_column(rows: DataFrame, forest: dict) -> Column:
     return isolation(*rows.columns)
 
 
-def outliers(scored: DataFrame, n: int, contamination: float) -> DataFrame:
-    """One row (outlier_count, outlier_pct, sample_size, contamination).
-
-    The most isolated rows count as outliers, up to the expected share; rows
-    with an equal score count together or not at all.
-    """
-    step = F.floor(F.col("score") * SCORE_STEPS)
-    grid = scored.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    # No more rows than the grid has steps, so one task sorts them.
-    running = F.sum("n").over(Window.orderBy(F.desc("step")))
-    kept = F.when(F.col("running") <= contamination * n, F.col("running"))
-    found = grid.withColumn("running", running).agg(F.coalesce(F.max(kept), F.lit(0)).alias("k"))
-    return found.select(
-        F.col("k").alias("outlier_count"),
-        F.round(F.col("k") * 100 / n, 2).alias("outlier_pct"),
-        F.lit(n).cast("bigint").alias("sample_size"),
-        F.lit(float(contamination)).alias("contamination"),
-    )
+def cut_count(scored: DataFrame, most: float) -> int:
+    """How many of the highest scores count, at most `most`: rows with an equal score
+    count together or not at all."""
+    score, kept, low, width = F.col("score"), 0, 0.0, 1.0
+    for _ in range(2):  # the whole range, then the step in which the limit is crossed
+        step = F.floor((score - low) / width * SCORE_STEPS)
+        inside = scored.where((score >= low) & (score < low + width))
+        grid = inside.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        # No more rows than the grid has steps, so one task sorts them.
+        running = F.sum("n").over(Window.orderBy(F.desc("step"))).alias("running")
+        crossed = grid.select("step", "n", running).where(F.col("running") > most - kept)
+        over = crossed.orderBy("running").first()
+        if over is None:
+            return kept + (grid.agg(F.sum("n")).first()[0] or 0)
+        kept += over["running"] - over["n"]
+        low, width = low + over["step"] * width / SCORE_STEPS, width / SCORE_STEPS
+    return kept
 
 
 def isolation_forest(
-    source: DataFrame | Table,
-    contamination: float = 0.05,
-    max_rows: int | None = None,
-    complete: int | None = None,
+    source: DataFrame | Table, contamination: float = 0.05, complete: int | None = None
 ) -> DataFrame | None:
-    """Outliers over the numeric columns; None if there is too little data.
+    """One row (outlier_count, outlier_pct, sample_size, contamination) over the numeric
+    columns; None if there is too little data.
 
-    All complete rows are scored. `max_rows` scores a random share of about
-    that many instead. `complete` is their number, where it is known.
+    All complete rows are scored, and the most isolated ones count as outliers,
+    up to the expected share. `complete` is their number, where it is known.
     """
     table = Table.of(source)
     columns = table.numeric
@@ -212,12 +227,13 @@ def isolation_forest(
         return None
     rows = complete_rows(table, columns)
     forest = train(rows, n)
-    if max_rows and n > max_rows:
-        rows = rows.sample(max_rows / n, seed=SEED)
-        n = rows.count()
-    if n <= SPREAD_ROWS:
-        rows = rows.repartition(table.spark.sparkContext.defaultParallelism)
-    return outliers(rows.select(score_column(rows, forest).alias("score")), n, contamination)
+    cores = table.spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # scoring costs far more than moving a row
+        rows = rows.repartition(cores)
+    with staged(rows.select(score_column(rows, forest).alias("score"))) as scored:
+        found = cut_count(scored, contamination * n)
+    result = (found, round(found * 100 / n, 2), n, float(contamination))
+    return table.spark.createDataFrame([result], RESULT_SCHEMA)
 
 
 def scored_rows(source: DataFrame | Table) -> DataFrame:

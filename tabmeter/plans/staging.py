@@ -19,9 +19,13 @@ def _local_folder() -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the session names. Where none is set, as in a local
-    test, a temporary folder of this machine."""
-    return spark.conf.get(SETTING, None) or _local_folder()
+    """The shared folder the session names. Where none is set, a local master
+    uses a temporary folder of its machine; a cluster has to name one."""
+    if folder := spark.conf.get(SETTING, None):
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 @contextmanager
@@ -39,5 +43,10 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.parquet(path).toDF(*names)
     finally:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
