@@ -1,16 +1,15 @@
 """Exact medians of many columns in bounded memory.
 
-An exact percentile keeps every distinct value of a column in one task. On a
-large table the search is narrowed instead: approximate percentiles bracket the
-wanted rank, the values around them are counted, and this repeats inside the
-bracket until few enough values remain to be sorted. The counts decide, so the
-result is exact however coarse the percentiles are. A frequent value ends the
-search as soon as it becomes an end of the bracket.
+An exact percentile keeps every distinct value of a column in one task. Here the
+search is narrowed by counting instead: the values between a lower and an upper
+bound are counted in a fixed number of buckets, the bucket that holds the wanted
+rank becomes the next pair of bounds, and this repeats until one value is left.
+A column of any size or shape takes the same few passes; only counts, one for
+each bucket, are shuffled, and they are combined before.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,66 +17,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
 
-# Up to this many values are sorted at once per column.
-SORTED_ROWS = 1_000_000
-ACCURACY = 10_000
-# An object-based aggregate counts as many fields, so that few share a task.
-HEAVY = 12
+BUCKETS = 4096
 
 
 @dataclass
 class Search:
-    """The value of one rank lies strictly between `low` and `high` (None:
-    unbounded), at `position` (from 0) among `inside` values."""
+    """The value of one rank lies from `low` to `high`, at `position` (from 0) among the
+    values there."""
 
-    value: Column
+    column: str
     position: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    found: float | None = None
-
-    def held(self) -> Column:
-        """The value where it lies in the bracket, else NULL."""
-        held = self.value.isNotNull()
-        if self.low is not None:
-            held &= self.value > self.low
-        if self.high is not None:
-            held &= self.value < self.high
-        return F.when(held, self.value)
-
-    def narrow(self, low: float, high: float, parts: list[int]) -> None:
-        """Continue in the part that holds the position: below `low`, at it,
-        between, at `high`, or above."""
-        bounds = ((self.low, low), (low, low), (low, high), (high, high), (high, self.high))
-        for bound, count in zip(bounds, [*parts, self.inside - sum(parts)]):
-            if self.position < count:
-                break
-            self.position -= count
-        if bound[0] == bound[1] and bound[0] is not None:
-            self.found = bound[0]
-        self.low, self.high = bound
-        self.inside = count
-
-
-def medians(source: DataFrame | Table, columns: list[str], sorted_rows: int = SORTED_ROWS) -> dict:
+    low: float
+    high: float
+
+    def bucket(self, value: Column) -> Column:
+        """The bucket of a value between the bounds, in the order of the values. Infinite
+        values have buckets of their own."""
+        low = max(self.low, -1.7e308)
+        width = min(self.high, 1.7e308) / 2 - low / 2
+        share = (value / 2 - low / 2) / width if width > 0 else F.lit(0.0)
+        inner = F.greatest(F.lit(0), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)))
+        return F.when(value == float("-inf"), -1).when(value == float("inf"), BUCKETS).otherwise(inner)
+
+    def narrow(self, counts: list[tuple[int, int, float, float]]) -> None:
+        """Go on in the bucket that holds the position."""
+        for _, n, low, high in sorted(counts):
+            if self.position < n:
+                self.low, self.high = low, high
+                return
+            self.position -= n
+
+
+def medians(source: DataFrame | Table, columns: list[str]) -> dict:
     """Median by column; None for a column without values."""
     table = Table.of(source)
-    counted = run_probes(table.df, [Probe(c, F.count(table.number(c))) for c in columns])
+    wanted = [
+        Probe((name, kind), take(table.number(name)), 1, table.ordinal(name))
+        for name in columns
+        for kind, take in (("n", F.count), ("low", F.min), ("high", F.max))
+    ]
+    found = run_probes(table.df, wanted)
     searches: dict[tuple[str, int], Search] = {}
     for name in columns:
-        n = int(counted[name])
+        n = int(found[name, "n"])
         for rank in {(n - 1) // 2, n // 2} if n else ():
-            searches[name, rank] = Search(table.number(name), rank, n)
-    while wide := {
-        k: s for k, s in searches.items() if s.found is None and s.inside > sorted_rows
-    }:
-        _narrow(table.df, wide)
-    _finish(table.df, {k: s for k, s in searches.items() if s.found is None})
+            searches[name, rank] = Search(name, rank, found[name, "low"], found[name, "high"])
+    while wide := [s for s in searches.values() if s.low < s.high]:
+        _narrow(table, wide)
     result: dict = {}
     for name in columns:
-        found = [s.found for (column, _), s in searches.items() if column == name]
-        result[name] = sum(found) / len(found) if found else None
+        values = [s.low for s in searches.values() if s.column == name]
+        result[name] = sum(values) / len(values) if values else None
     return result
 
 
@@ -90,48 +80,26 @@ def median_frame(source: DataFrame | Table, columns: list[str] | None = None) ->
     return table.spark.createDataFrame(rows, "column string, median double")
 
 
-def _ends(s: Search) -> tuple[float, float]:
-    """Shares around the position, on a grid: neighbouring ranks agree on them."""
-    step = round((s.position + 0.5) / s.inside * ACCURACY)
-    return max(0.0, (step - 3) / ACCURACY), min(1.0, (step + 3) / ACCURACY)
-
-
-def _narrow(df: DataFrame, searches: dict[tuple[str, int], Search]) -> None:
-    """Tighten every bracket by two passes: percentiles, then counts."""
-    places = {key: (key[0], s.low, s.high, _ends(s)) for key, s in searches.items()}
-    wanted = []
-    for key, s in searches.items():
-        shares = F.array(*[F.lit(share) for share in _ends(s)])
-        ends = F.percentile_approx(s.held(), shares, F.lit(ACCURACY))
-        wanted.append(Probe(places[key], F.to_json(ends), HEAVY, text=True))
-    found = run_probes(df, wanted)
-    # Infinities are strings in JSON; float() reads both.
-    brackets = {place: [float(end) for end in json.loads(ends)] for place, ends in found.items()}
-    wanted = []
-    for key, s in searches.items():
-        (low, high), value = brackets[places[key]], s.held()
-        parts = (
-            value < low,
-            value == low,
-            (value > low) & (value < high),
-            (value == high) & F.lit(high > low),
-        )
-        wanted += [Probe((i, places[key]), F.count_if(part)) for i, part in enumerate(parts)]
-    counts = run_probes(df, wanted)
-    for key, s in searches.items():
-        s.narrow(*brackets[places[key]], [int(counts[i, places[key]]) for i in range(4)])
-
-
-def _finish(df: DataFrame, searches: dict[tuple[str, int], Search]) -> None:
-    """Sort what is left of each bracket, no more than the limit."""
-    shared: dict[tuple, list[Search]] = {}
-    for (name, _), s in searches.items():
-        shared.setdefault((name, s.low, s.high), []).append(s)
-    wanted = []
-    for bracket, members in shared.items():
-        values = F.sort_array(F.collect_list(members[0].held()))
-        picked = F.array(*[F.element_at(values, s.position + 1) for s in members])
-        wanted.append(Probe(bracket, F.to_json(picked), HEAVY, text=True))
-    for bracket, picked in run_probes(df, wanted).items():
-        for s, value in zip(shared[bracket], json.loads(picked)):
-            s.found = float(value)
+def _narrow(table: Table, searches: list[Search]) -> None:
+    """One pass: counts of the buckets of every search; searches with the same bounds share
+    them."""
+    shared: dict[tuple[str, float, float], list[Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    cells = []
+    for number, ((name, low, high), members) in enumerate(shared.items()):
+        value = table.number(name)
+        cell = F.struct(F.lit(number).alias("search"), members[0].bucket(value).cast("int").alias("bucket"), value.alias("value"))
+        cells.append(F.when((value >= low) & (value <= high), cell))
+    kept = F.filter(F.array(*cells), lambda cell: cell.isNotNull())
+    counted = (
+        table.df.select(F.inline(kept))
+        .groupBy("search", "bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    counts: dict[int, list] = {}
+    for row in counted.collect():  # BUCKETS a search at most
+        counts.setdefault(row["search"], []).append((row["bucket"], row["n"], row["low"], row["high"]))
+    for number, members in enumerate(shared.values()):
+        for s in members:
+            s.narrow(counts[number])
