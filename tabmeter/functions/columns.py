@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F, types as T
 
 # The characters Python's str.strip() removes.
@@ -45,6 +47,18 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
 
+def count_true(flags: Sequence[Column]) -> Column:
+    """How many of the conditions hold; flat, so that thousands of them can be planned."""
+    if not flags:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*flags), lambda flag: flag))
+
+
+def total(values: Sequence[Column]) -> Column:
+    """Sum of many numbers of one type, as flat as count_true."""
+    return F.aggregate(F.array(*values), F.lit(0).cast("bigint"), lambda left, right: left + right)
+
+
 def text_form(value: Column, dtype: T.DataType) -> Column:
     """The string a rule is compared with: booleans read True / False."""
     if isinstance(dtype, T.BooleanType):

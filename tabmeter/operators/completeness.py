@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabmeter.config import Rules
-from tabmeter.functions.columns import pct, ref
+from tabmeter.functions.columns import count_true, pct, ref
 from tabmeter.operators.common import missing, present, row_count
 from tabmeter.plans.statpass import Probe, per_column
 from tabmeter.result import Outcome, Tally, no_rows, share
@@ -19,8 +19,7 @@ PASSING = 80
 
 def mostly_missing(table: Table) -> Column:
     """True for a row of which more than half the fields are missing."""
-    gaps = sum((ref(c).isNull().cast("int") for c in table.columns), F.lit(0))
-    return gaps * 2 > len(table.columns)
+    return count_true([ref(c).isNull() for c in table.columns]) * 2 > len(table.columns)
 
 
 def probes(table: Table, rules: Rules) -> list[Probe]:

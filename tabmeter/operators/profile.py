@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabmeter.functions.columns import finite, pct, ref, row_key
+from tabmeter.functions.columns import count_true, finite, pct, ref, row_key, total
 from tabmeter.functions.moments import kurtosis_g2, sample_std, skewness_g1
 from tabmeter.operators.common import moments
 from tabmeter.operators.completeness import column_nulls
@@ -105,7 +105,7 @@ def payload_bytes(table: Table) -> Column:
         if not isinstance(dtype, T.BinaryType):
             text = text.cast("string")
         variable.append(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"))
-    return F.sum(sum(variable, F.lit(fixed).cast("bigint")))
+    return F.sum(total([F.lit(fixed).cast("bigint"), *variable]))
 
 
 def dataset_summary(source: DataFrame | Table) -> dict[str, Any]:
@@ -133,7 +133,7 @@ def summary_frame(source: DataFrame | Table) -> DataFrame:
     """
     table = Table.of(source)
     width = len(table.columns)
-    gaps = sum((ref(c).isNull().cast("bigint") for c in table.columns), F.lit(0).cast("bigint"))
+    gaps = count_true([ref(c).isNull() for c in table.columns]).cast("bigint")
     groups = table.df.select(*table.keys()).groupBy(*[ref(c) for c in table.columns])
     counted = groups.agg(F.count(F.lit(1)).alias("__n")).withColumn("__gaps", gaps)
     totals = counted.agg(
