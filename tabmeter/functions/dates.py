@@ -8,7 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F, types as T
 
 # Tried in turn after the ISO form.
-DATE_FORMATS = ("M/d/yyyy H:mm", "M/d/yyyy")
+DATE_FORMATS = (
+    "M/d/yyyy H:mm",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm:ss",
+    "yyyy/M/d",
+    "yyyy/M/d H:mm:ss",
+    "d-MMM-yyyy",
+    "yyyyMMdd",
+)
 
 # Numbers beyond what 64 bits of nanoseconds hold are no dates.
 NANOSECONDS = 2.0**63
@@ -20,13 +28,14 @@ ISO_SHAPE = r"^(?!0000)[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([T ].*)?)?)?$"
 
 def shape(pattern: str) -> str:
     """Regular expression that every text of a date pattern matches."""
-    found = ""
+    found, separated = "", re.search(r"[^A-Za-z]", pattern)
     for part in re.finditer(r"'([^']*)'|([A-Za-z])\2*|[^A-Za-z']+", pattern):
         run = part.group(0)
         if part.group(1) is not None:
             found += re.escape(part.group(1) or "'")
         elif run[0] in "yudHhKkmsSn" or run in ("M", "MM", "L", "LL"):
-            found += "[0-9]+"
+            # Patterns without separators need the width of each part.
+            found += "[0-9]+" if separated else f"[0-9]{{{len(run)}}}"
         elif part.group(2):
             found += ".+"
         else:
@@ -38,6 +47,12 @@ def is_datetime(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
+def wall_clock(text: Column, pattern: str) -> Column:
+    """The time a text tells by a pattern, in no time zone; NULL where it tells none."""
+    readable = F.try_to_timestamp(text, F.lit(pattern)).isNotNull()
+    return F.when(readable, F.to_timestamp_ntz(text, F.lit(pattern)))
+
+
 def as_instant(
     value: Column,
     dtype: T.DataType,
@@ -54,7 +69,7 @@ def as_instant(
         stripped = F.trim(value)
         parsed = [F.when(stripped.rlike(ISO_SHAPE), stripped.try_cast("timestamp_ntz"))]
         for pattern in formats:
-            instant = F.try_to_timestamp(stripped, F.lit(pattern)).cast("timestamp_ntz")
+            instant = wall_clock(stripped, pattern)
             parsed.append(F.when(stripped.rlike(shape(pattern)), instant))
         return F.coalesce(*parsed)
     if isinstance(dtype, T.NumericType) and numeric_dates:

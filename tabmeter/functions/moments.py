@@ -6,10 +6,6 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-# A sum of squares below this counts as zero spread.
-NO_SPREAD = 1e-14
-
-
 def is_constant(value: Column) -> Column:
     """Merged partial moments may leave a constant a tiny spread; this cannot."""
     return F.min(value) == F.max(value)
@@ -36,10 +32,11 @@ def kurtosis_g2(value: Column) -> Column:
 
 
 def skewness_from_sums(n: float, squares: float, cubes: float) -> float | None:
-    """The same skewness from sums of centred squares and cubes."""
+    """The same skewness from sums of centred squares and cubes. The squares of a constant
+    are exactly zero, see sample_std."""
     if n < 3:
         return None
-    if abs(squares) < NO_SPREAD:
+    if squares == 0.0:
         return 0.0
     variance = squares / n
     return math.sqrt(n * (n - 1)) / (n - 2) * (cubes / n) / variance**1.5

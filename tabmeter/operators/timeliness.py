@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabmeter.config import Rules
 from tabmeter.functions.columns import ref
@@ -45,8 +45,13 @@ def probes(table: Table, rules: Rules) -> list[Probe]:
         wanted += [
             present(table, name),
             parse_failures(table, name),
-            Probe(("first date", name), F.min(instant), 1, at, text=True),
-            Probe(("last date", name), F.max(instant), 1, at, text=True),
+            Probe(("first date", name), F.min(instant).cast("date"), 1, at, text=True),
+            Probe(("last date", name), F.max(instant).cast("date"), 1, at, text=True),
+            Probe(("days", name), F.timestamp_diff("DAY", F.min(instant), F.max(instant)), 2, at),
+            *(
+                Probe((kind, name), beyond.cast("int"), 1, at)
+                for kind, beyond in _beyond(instant, rules.date_window).items()
+            ),
         ]
     return wanted
 
@@ -128,17 +133,16 @@ def assess(table: Table, rules: Rules, stats: dict) -> Outcome:
         if name not in spanned:
             details[name] = {"message": FEW_DATES_TEXT}
             continue
-        first = datetime.fromisoformat(stats["first date", name])
-        last = datetime.fromisoformat(stats["last date", name])
-        outside = _outside(name, first, last, rules.date_window)
+        first, last = stats["first date", name], stats["last date", name]
+        outside = _outside(name, stats, rules.date_window)
         tally.check(not outside)
         tally.issues += outside
         gap = gaps[name]
         tally.check(gap <= limit, GAP_ISSUE.format(column=name, gap=gap, limit=limit))
         details[name] = {
-            "min_date": str(first.date()),
-            "max_date": str(last.date()),
-            "date_range_days": (last - first).days,
+            "min_date": first,
+            "max_date": last,
+            "date_range_days": int(stats["days", name]),
             "max_gap_days": gap,
         }
     return tally.outcome(tally.score(), {"columns": details})
@@ -148,11 +152,20 @@ def _parsed(stats: dict, column: str) -> int:
     return int(stats["present", column] - stats["unparsed", column])
 
 
-def _outside(column: str, first: datetime, last: datetime, window: tuple) -> list[str]:
+def _beyond(instant: Column, window: tuple) -> dict[str, Column]:
+    """Whether the earliest and the latest date lie outside the expected window. Spark
+    compares, as its years go beyond Python's."""
+    start, end = (F.lit(datetime.fromisoformat(str(x)).isoformat()).cast("timestamp_ntz") if x else None for x in window)
+    return ({"early": F.min(instant) < start} if start is not None else {}) | (
+        {"late": F.max(instant) > end} if end is not None else {}
+    )
+
+
+def _outside(column: str, stats: dict, window: tuple) -> list[str]:
     start, end = window
     found = []
-    if start and first < datetime.fromisoformat(str(start)):
-        found.append(EARLY_ISSUE.format(column=column, day=first.date(), bound=start))
-    if end and last > datetime.fromisoformat(str(end)):
-        found.append(LATE_ISSUE.format(column=column, day=last.date(), bound=end))
+    if start and stats["early", column]:
+        found.append(EARLY_ISSUE.format(column=column, day=stats["first date", column], bound=start))
+    if end and stats["late", column]:
+        found.append(LATE_ISSUE.format(column=column, day=stats["last date", column], bound=end))
     return found

@@ -24,7 +24,7 @@ class Table:
     @classmethod
     def of(cls, source: "DataFrame | Table", **date_options) -> "Table":
         if isinstance(source, Table):
-            return source
+            return replace(source, date_options=source.date_options | date_options) if date_options else source
         columns = []
         for field in source.schema.fields:
             value = ref(field.name)
