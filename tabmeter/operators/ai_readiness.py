@@ -26,7 +26,6 @@ from tabmeter.table import Table
 MIN_FEATURES = 5
 MIN_VALUES = 10
 PAIRS_LISTED = 10
-CLASSES_LISTED = 1000
 FEATURE_ISSUE = "Only {n} numeric feature columns available for ML (minimum: 5)"
 VARIANCE_ISSUE = "{n} zero-variance columns (useless for ML): {names}"
 PAIR_ISSUE = (
@@ -154,11 +153,14 @@ def _balance(table: Table, rules: Rules, tally: Tally) -> dict:
     minority = round(smallest / total, 4)
     issue = BALANCE_ISSUE.format(target=target, ratio=minority, limit=limit)
     tally.check(minority >= limit, issue)
-    found = {"target_column": target, "class_count": classes, "minority_class_ratio": minority}
-    # A continuous target has a class per value: those are left to class_counts().
-    if classes <= CLASSES_LISTED:
-        found["class_counts"] = {r["value"]: r["n"] for r in class_counts(table, target).collect()}
-    return found
+    # A continuous target has a class per value, so the counts themselves stay a table:
+    # class_counts().
+    return {
+        "target_column": target,
+        "class_count": classes,
+        "minority_count": smallest,
+        "minority_class_ratio": minority,
+    }
 
 
 def correlated_pairs(source: DataFrame | Table, config: dict | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from datetime import datetime
 from functools import partial
 from types import ModuleType
 
+from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
@@ -119,13 +120,15 @@ def check(
     config: dict | None = None,
     *,
     materialize: bool = False,
-    **options,
+    **date_options,
 ) -> Outcome:
-    """One pillar alone; `materialize` as for `score`."""
+    """One pillar alone; `materialize` and the date options as for `score`."""
     if materialize:
-        with staged(source) as df:
+        prepared = isinstance(source, Table)
+        options = (source.date_options if prepared else {}) | date_options
+        with staged(source.df if prepared else source) as df:
             return check(pillar, df, config, **options)
-    table, rules = Table.of(source), Rules.of(config)
+    table, rules = Table.of(source, **date_options), Rules.of(config)
     table = table.with_dates(_date_columns(table, rules))
     module = MODULES[pillar]
     stats = run_probes(table.df, module.probes(table, rules))
@@ -133,7 +136,7 @@ def check(
         return no_rows()
     if hasattr(module, "follow_up"):
         stats |= run_probes(table.df, module.follow_up(table, rules, stats))
-    return module.assess(table, rules, stats, **options)
+    return module.assess(table, rules, stats)
 
 
 check_completeness: Callable[..., Outcome] = partial(check, "completeness")
@@ -152,7 +155,6 @@ def score(
     profile_stats: dict | None = None,
     *,
     materialize: bool = False,
-    max_forest_rows: int | None = None,
     **date_options,
 ) -> ScoreResult:
     """Assess a table by all seven pillars.
@@ -167,7 +169,7 @@ def score(
         df = stack.enter_context(staged(source)) if materialize else source
         table = Table.of(df, **date_options)
         table = table.with_dates(_date_columns(table, rules))
-        rows, outcomes = _run_pillars(table, rules, max_forest_rows)
+        rows, outcomes = _run_pillars(table, rules)
 
     pillars = {}
     for name in PILLARS:
@@ -207,13 +209,12 @@ def score(
     )
 
 
-def _run_pillars(
-    table: Table, rules: Rules, max_forest_rows: int | None
-) -> tuple[int, dict[str, Outcome]]:
+def _run_pillars(table: Table, rules: Rules) -> tuple[int, dict[str, Outcome]]:
     failed: dict[str, Outcome] = {}
 
     def gather(ask: Callable[[ModuleType], list]) -> list:
-        """What the pillars ask for; one that cannot be planned fails alone."""
+        """What the pillars ask for; one whose rules cannot be planned fails alone. An
+        error of the engine itself says nothing of the rules and is raised."""
         wanted = []
         for name, module in MODULES.items():
             if name in failed:
@@ -224,6 +225,8 @@ def _run_pillars(
                     # Resolves the expressions without running anything.
                     table.df.agg(*[p.expr for p in asked])
                 wanted += asked
+            except Py4JError:
+                raise
             except Exception as error:
                 failed[name] = _failure(name, error)
         return wanted
@@ -237,9 +240,10 @@ def _run_pillars(
         stats |= run_probes(table.df, second)
 
     def assess(name: str) -> Outcome:
-        options = {"max_forest_rows": max_forest_rows} if name == "accuracy" else {}
         try:
-            return MODULES[name].assess(table, rules, stats, **options)
+            return MODULES[name].assess(table, rules, stats)
+        except Py4JError:
+            raise
         except Exception as error:
             return _failure(name, error)
 
