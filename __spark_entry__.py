@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
 import sys
@@ -31,7 +32,7 @@ from tabmeter.operators.completeness import bad_rows, column_nulls
 from tabmeter.operators.consistency import rule_violations
 from tabmeter.operators.correlation import correlation_matrix
 from tabmeter.operators.duplicates import duplicate_count, duplicate_rows
-from tabmeter.operators.forest import isolation_forest
+from tabmeter.operators.forest import isolation_forest, scored_rows
 from tabmeter.operators.median import median_frame
 from tabmeter.operators.profile import missing_map, numeric_stats, summary_frame, top_missing
 from tabmeter.operators.timeliness import date_ranges, day_gaps, max_gaps
@@ -43,7 +44,7 @@ from tabmeter.operators.validity import (
     range_violations,
 )
 from tabmeter.operators.values import distinct_counts, sample_values, top_values
-from tabmeter.plans.staging import scratch_folder
+from tabmeter.plans.staging import remove, scratch_folder, staged
 from tabmeter.plans.scoring import check
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -164,26 +165,83 @@ def _events_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dq(spark, sf_dir).select("ship_mode", "delivery_status", "order_date_txt", "discount_rate")
+    rows = dq(spark, sf_dir)
     found = duplicate_count(rows)
     return spark.createDataFrame([(found,)], "duplicate_rows bigint")
 
 
+def _scratch_file(spark: SparkSession, name: str) -> str:
+    """A new file in the shared folder, deleted when the session's program ends."""
+    path = f"{scratch_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove(spark, path)
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_folder(spark)}/orders-{uuid.uuid4().hex}.csv"
+    path = _scratch_file(spark, "orders.csv")
     source = table(spark, sf_dir, "orders").withColumn(
         "note", F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' ELSE o_orderpriority END")
     )
     write_csv(source, path)
-    return load_table(spark, path, multiline=False).withColumn(
-        "o_orderdate", F.to_date("o_orderdate").cast("string")
-    )
+    return load_table(spark, path).withColumn("o_orderdate", F.to_date("o_orderdate").cast("string"))
 
 
 def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_folder(spark)}/events-{uuid.uuid4().hex}.json"
-    table(spark, sf_dir, "events").select("event_id", "event_type", "value").write.json(path)
-    return load_table(spark, path, multiline=False).select("event_id", "event_type", "value")
+    path = _scratch_file(spark, "events.json")
+    source = table(spark, sf_dir, "events")
+    source.write.option("ignoreNullFields", False).json(path)
+    when = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
+    return load_table(spark, path).select(*source.columns).withColumn("ts", when)
+
+
+def _preview_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch_file(spark, "customer.csv")
+    write_csv(table(spark, sf_dir, "customer"), path)
+    return load_table(spark, path, nrows=7).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parquet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_table(spark, f"{sf_dir}/supplier.parquet")
+
+
+# More columns than Spark generates code for, missing by a fixed rule.
+WIDE_COLUMNS = 1500
+
+
+def _wide_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = [
+        F.when((F.col("l_partkey") * i) % 11 >= 5, F.col("l_suppkey")).alias(f"c{i}")
+        for i in range(1, WIDE_COLUMNS + 1)
+    ]
+    return bad_rows(table(spark, sf_dir, "lineitem").select(*wide))
+
+
+# Forms in which dates come as text.
+DATE_FORMS = {
+    "slashes": "M/d/yyyy",
+    "slashes_minutes": "M/d/yyyy H:mm",
+    "slashes_seconds": "M/d/yyyy H:mm:ss",
+    "year_first": "yyyy/M/d",
+    "iso": "yyyy-MM-dd",
+    "month_name": "d-MMM-yyyy",
+    "digits": "yyyyMMdd",
+}
+
+
+def _slash_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    texts = orders.select(*[F.date_format("o_orderdate", form).alias(name) for name, form in DATE_FORMS.items()])
+    return date_ranges(texts, list(DATE_FORMS)).select(
+        "column",
+        F.col("min_date").cast("string").alias("min_date"),
+        F.col("max_date").cast("string").alias("max_date"),
+        "date_range_days",
+    )
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +272,23 @@ def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_spread(items.withColumn("rare", F.expr("CAST(l_orderkey % 5000 = 0 AS DOUBLE)")))
 
 
+def _planted_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows far out in several columns, and how many of them are not among the 5 % most isolated."""
+    far = {"l_quantity": 1000, "l_extendedprice": 1000000, "l_discount": 50, "l_tax": 50}
+    planted = F.col("l_orderkey") % 997 == 0
+    items = table(spark, sf_dir, "lineitem").withColumns(
+        {name: F.when(planted, F.col(name) + by).otherwise(F.col(name)) for name, by in far.items()}
+    )
+    with staged(scored_rows(items.select("l_orderkey", *far, "l_linenumber"))) as scored:
+        cut = scored.agg(F.percentile_approx("score", 0.95, 10000)).first()[0]
+        found = scored.agg(
+            F.count_if(planted).alias("planted"),
+            F.count_if(planted & (F.col("score") < cut)).alias("missed"),
+            F.count(F.lit(1)).alias("sample_size"),
+        ).first()
+    return spark.createDataFrame([tuple(found)], "planted bigint, missed bigint, sample_size bigint")
+
+
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation_forest(table(spark, sf_dir, "lineitem"))
 
@@ -230,15 +305,16 @@ def _text_summary(frame: DataFrame) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_nulls": lambda s, d: column_nulls(dq(s, d)).drop("ordinal"),
-    "bad_rows": lambda s, d: bad_rows(dq(s, d).select("order_id", "sales", "ship_mode")),
+    "bad_rows": lambda s, d: bad_rows(dq(s, d)),
+    "wide_bad_rows": _wide_bad_rows,
     "completeness_score": _pillar("completeness"),
     "numeric_profile": lambda s, d: numeric_stats(table(s, d, "lineitem")).drop(
         "skewness", "kurtosis"
     ),
     "median_profile": lambda s, d: median_frame(table(s, d, "lineitem")),
-    "skew_kurtosis": lambda s, d: numeric_stats(
-        table(s, d, "events").select("user_id", "value")
-    ).select("column", "skewness", "kurtosis"),
+    "skew_kurtosis": lambda s, d: numeric_stats(table(s, d, "events")).select(
+        "column", (F.col("skewness") + 0.0).alias("skewness"), (F.col("kurtosis") + 0.0).alias("kurtosis")
+    ),
     "correlation_matrix": lambda s, d: correlation_matrix(table(s, d, "lineitem")).select(
         "row_column", "col_column", "r"
     ),
@@ -247,10 +323,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     .unionAll(distinct_counts(table(s, d, "documents")))
     .drop("ordinal"),
     "top_values": lambda s, d: _text_summary(
-        top_values(table(s, d, "events"), ["event_type"])
+        top_values(table(s, d, "events"), ["event_type", "ts", "props"])
     ).unionAll(_text_summary(top_values(table(s, d, "documents"), ["text", "lang", "source"]))),
     "sample_values": lambda s, d: _text_summary(
-        sample_values(table(s, d, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+        sample_values(table(s, d, "orders"), table(s, d, "orders").columns)
     ),
     "missing_map": lambda s, d: missing_map(dq(s, d)).drop("ordinal"),
     "top_missing": lambda s, d: top_missing(dq(s, d)),
@@ -275,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         F.col("max_date").cast("string").alias("max_date"),
         "date_range_days",
     ),
+    "slash_dates": _slash_dates,
     "date_gaps": lambda s, d: max_gaps(dq(s, d), ["order_date_txt", "order_date", "ship_date"]),
     "day_gaps": lambda s, d: day_gaps(table(s, d, "events"), ["ts"]).select(
         "column", F.col("day").cast("string").alias("day"), "gap_days"
@@ -284,8 +361,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zscore_outliers_dq": lambda s, d: zscore_outliers(dq(s, d), DQ_RULES),
     "accuracy_score": _pillar("accuracy"),
     "isolation_forest": _forest,
+    "planted_outliers": _planted_outliers,
     "feature_spread": _spread,
     "class_counts": lambda s, d: class_counts(table(s, d, "labels"), "toxic"),
+    "many_classes": lambda s, d: class_counts(table(s, d, "lineitem"), "l_partkey"),
     "class_balance": lambda s, d: class_balance(table(s, d, "labels"), "toxic"),
     "ai_readiness_score": _pillar("ai_readiness"),
     "classify_columns": _classified,
@@ -298,6 +377,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendations": lambda s, d: recommendation_frame(s, _score(s, d)),
     "csv_round_trip": _csv_round_trip,
     "json_round_trip": _json_round_trip,
+    "preview_count": _preview_count,
+    "parquet_table": _parquet_table,
 }
 
 

@@ -368,7 +368,7 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
         "bad_rows": over_dq(
             "SELECT count(*) AS row_count, count_if(bad) AS bad_row_count, "
             f"{pct('count_if(bad)', 'count(*)')} AS bad_row_pct FROM (SELECT "
-            "(CAST(order_id IS NULL AS INT) + CAST(sales IS NULL AS INT) + CAST(ship_mode IS NULL AS INT)) * 2 > 3 AS bad FROM dq)"
+            f"({' + '.join(f'CAST({c} IS NULL AS INT)' for c in names)}) * 2 > {len(names)} AS bad FROM dq)"
         ),
         "numeric_profile": lineitem_profile,
         "median_profile": union(
@@ -376,8 +376,8 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             for c in LINEITEM
         ),
         "skew_kurtosis": union(
-            f"SELECT '{c}' AS \"column\", round(skewness({c}), 4) AS skewness, round(kurtosis({c}), 4) AS kurtosis FROM events"
-            for c in ("user_id", "value")
+            f"SELECT '{c}' AS \"column\", round(skewness({c}), 4) + 0.0 AS skewness, round(kurtosis({c}), 4) + 0.0 AS kurtosis FROM events"
+            for c in ("event_id", "user_id", "value")
         ),
         "correlation_matrix": matrix,
         "correlated_pairs": over_dq(
@@ -398,13 +398,16 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
         "top_values": union(
             [
                 frequent("events", "event_type"),
+                frequent("events", "ts"),
+                frequent("events", "props"),
                 frequent("documents", "text"),
                 frequent("documents", "lang"),
                 frequent("documents", "source"),
             ]
         ),
         "sample_values": union(
-            ranked("orders", c, c, 3) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")
+            ranked("orders", c, c, 3)
+            for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
         ),
         "missing_map": over_dq(f"SELECT \"column\", null_pct FROM ({null_pct})"),
         "top_missing": over_dq(
@@ -418,7 +421,7 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
         ),
         "duplicate_count": over_dq(
             "SELECT (SELECT n FROM size) - count(*) AS duplicate_rows FROM "
-            "(SELECT DISTINCT ship_mode, delivery_status, order_date_txt, discount_rate FROM dq)"
+            "(SELECT DISTINCT * FROM dq)"
         ),
         "id_nulls": violations(ids),
         "range_violations": violations(ranges),
@@ -485,7 +488,24 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority, "
             "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS note FROM orders"
         ),
-        "json_round_trip": "SELECT event_id, event_type, value FROM events",
+        "json_round_trip": "SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts) FROM events",
+        "preview_count": "SELECT least(count(*), 7) AS n FROM customer",
+        "parquet_table": "SELECT * FROM supplier",
+        "planted_outliers": (
+            "SELECT count_if(l_orderkey % 997 = 0) AS planted, CAST(0 AS BIGINT) AS missed, count(*) AS sample_size FROM lineitem"
+        ),
+        "many_classes": "SELECT l_partkey AS value, count(*) AS n FROM lineitem GROUP BY l_partkey",
+        "wide_bad_rows": (
+            "SELECT count(*) AS row_count, count_if(bad) AS bad_row_count, "
+            f"{pct('count_if(bad)', 'count(*)')} AS bad_row_pct FROM (SELECT "
+            "len(list_filter(range(1, 1501), lambda i: (l_partkey * i) % 11 < 5)) * 2 > 1500 AS bad FROM lineitem)"
+        ),
+        "slash_dates": union(
+            f"SELECT '{c}' AS \"column\", CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS min_date, "
+            "CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS max_date, "
+            "date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS date_range_days FROM orders"
+            for c in ("slashes", "slashes_minutes", "slashes_seconds", "year_first", "iso", "month_name", "digits")
+        ),
     }
     found |= {f"{p}_score": over_dq(q) for p, q in pillars.items()}
     return found

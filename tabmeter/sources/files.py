@@ -43,9 +43,17 @@ JAVA_ENCODINGS = {
     "utf-8-sig": "UTF-8",
 }
 
+#: What Windows writes where Latin-1 has control characters.
+WINDOWS_LETTERS = {
+    chr(code): bytes([code]).decode("cp1252")
+    for code in range(0x80, 0xA0)
+    if bytes([code]).decode("cp1252", errors="ignore")
+}
+
 SUPPORTED = (".csv", ".parquet", ".json")
 WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
 UNDECODABLE = "\ufffd"
+CORRUPT = "_corrupt_record"
 
 # What the cells of a column read as: one bit per kind.
 WHOLE, DECIMAL, BOOLEAN, TEXT, BROKEN = 1, 2, 4, 8, 16
@@ -56,13 +64,13 @@ def load_table(
     source: str,
     encoding: str = "latin-1",
     nrows: int | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read a file or a folder of files by its suffix.
 
-    `nrows` previews that many rows of a CSV. `multiline` lets quoted CSV cells
-    hold line breaks and JSON be one document; without it files are split
-    between tasks, which large files (and JSON lines) need.
+    `nrows` previews that many rows of a CSV. Files are split between tasks, as
+    large ones need; `multiline` reads each in one task, so that quoted CSV cells
+    may hold line breaks. JSON that doesn't read as lines is read as documents.
     """
     suffix = PurePosixPath(str(source)).suffix.lower()
     if suffix not in SUPPORTED:
@@ -70,7 +78,10 @@ def load_table(
     if suffix == ".parquet":
         return spark.read.parquet(str(source))
     if suffix == ".json":
-        return spark.read.option("multiLine", multiline).json(str(source))
+        lines = spark.read.option("multiLine", multiline).json(str(source))
+        if lines.columns != [CORRUPT]:
+            return lines
+        return spark.read.option("multiLine", True).json(str(source))
     return read_csv(spark, str(source), encoding, nrows, multiline)
 
 
@@ -79,20 +90,24 @@ def read_csv(
     path: str,
     encoding: str = "latin-1",
     nrows: int | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with a header; each column takes the narrowest type all cells fit.
 
     One pass over all cells finds the types. An encoding which cannot decode
-    some cell is given up for the next.
+    some cell is given up for the next; for UTF-8 the bytes decide, as the
+    character that stands for broken ones may also be meant.
     """
     for name in (encoding, *FALLBACK_ENCODINGS):
+        unicode = JAVA_ENCODINGS.get(name.lower()) == "UTF-8"
+        if unicode and not _is_utf8(spark, path):
+            continue
         raw = _strings(spark, path, name, multiline)
         if nrows is not None:
             raw = raw.limit(nrows)
         kinds = run_probes(raw, [Probe(c, _kinds(ref(c))) for c in raw.columns])
         kinds = {c: int(found or 0) for c, found in kinds.items()}
-        if not any(found & BROKEN for found in kinds.values()):
+        if unicode or not any(found & BROKEN for found in kinds.values()):
             break
     return raw.select(*[_typed(ref(c), kinds[c]).alias(c) for c in raw.columns])
 
@@ -104,7 +119,16 @@ def _strings(spark: SparkSession, path: str, encoding: str, multiline: bool) ->
         .option("multiLine", multiline)
         .option("escape", '"')
     )
-    return reader.csv(path)
+    raw = reader.csv(path)
+    if encoding.lower() != "cp1252":
+        return raw
+    controls, letters = zip(*WINDOWS_LETTERS.items())
+    return raw.select(*[F.translate(ref(c), "".join(controls), "".join(letters)).alias(c) for c in raw.columns])
+
+
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all bytes are UTF-8; lines are read as they are, and no character spans two."""
+    return bool(spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0])
 
 
 def _is_missing(cell: Column) -> Column:

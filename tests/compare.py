@@ -78,7 +78,10 @@ def main() -> None:
             rows = len(query(spark, sf_dir).collect())
             print(f"rows-only {name} ({rows} rows, {time.time() - start:.1f}s)", flush=True)
             continue
-        problem = compare(spark, con, name, query, sql[name], sf_dir)
+        try:
+            problem = compare(spark, con, name, query, sql[name], sf_dir)
+        except Exception as error:  # the other queries still run
+            problem = f"{type(error).__name__}: {str(error)[:300]}"
         failed += problem is not None
         print(f"{'DIFF' if problem else 'ok'} {name} ({time.time() - start:.1f}s) {problem or ''}", flush=True)
     print("failed", failed)
