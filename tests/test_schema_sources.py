@@ -110,7 +110,7 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
 
 def test_csv_preview_and_line_breaks(spark, tmp_path):
     path = written(tmp_path, 'a,b\n1,"x\ny"\n2,z\n3,w\n')
-    df = load_table(spark, path, nrows=2)
+    df = load_table(spark, path, nrows=2, multiline=True)
     assert [tuple(r) for r in df.collect()] == [(1, "x\ny"), (2, "z")]
 
 
@@ -123,6 +123,23 @@ def test_csv_encodings(spark, tmp_path):
     assert load_table(spark, path, encoding="utf-8").first()["a"] == "café"
 
 
+def test_the_replacement_character_is_a_character(spark, tmp_path):
+    path = written(tmp_path, "a\ncafé\n\ufffd\n", "r.csv")
+    assert [r["a"] for r in load_table(spark, path, encoding="utf-8").collect()] == ["café", "\ufffd"]
+
+
+def test_windows_letters(spark, tmp_path):
+    path = written(tmp_path, "a\n€5 “net”\n", "w.csv", encoding="cp1252")
+    assert load_table(spark, path, encoding="cp1252").first()["a"] == "€5 “net”"
+
+
+def test_json_lines_and_documents(spark, tmp_path):
+    lines = written(tmp_path, '{"a": 1}\n{"a": 2}\n', "l.json")
+    document = written(tmp_path, '[\n {\n  "a": 1\n },\n {\n  "a": 2\n }\n]\n', "d.json")
+    for path in (lines, document):
+        assert sorted(r["a"] for r in load_table(spark, path).collect()) == [1, 2]
+
+
 def test_large_whole_numbers_read_as_double(spark, tmp_path):
     df = load_table(spark, written(tmp_path, "a\n1\n99999999999999999999\n"))
     assert df.dtypes == [("a", "double")]

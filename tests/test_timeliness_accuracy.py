@@ -156,3 +156,23 @@ def test_forest_needs_enough_data(spark):
     few = spark.range(49).selectExpr("id a", "id * 2 b")
     assert isolation_forest(few) is None
     assert isolation_forest(spark.range(500)) is None
+
+
+def test_date_options_and_prepared_tables(spark):
+    from tabmeter.table import Table
+
+    df = spark.createDataFrame([("2020.01.05",), ("2020.01.09",)], "sent_date string")
+    rules = {"columns": {"datetime_columns": ["sent_date"]}}
+    assert check_timeliness(df, rules).details["columns"]["sent_date"]["message"]
+    for source in (df, Table.of(df)):
+        for stage in (False, True):
+            found = check_timeliness(source, rules, formats=["yyyy.MM.dd"], materialize=stage)
+            assert found.details["columns"]["sent_date"]["max_gap_days"] == 4
+
+
+def test_years_beyond_pythons(spark):
+    df = spark.sql("SELECT timestamp_ntz'+12000-01-01' AS d UNION ALL SELECT timestamp_ntz'2020-01-01'")
+    rules = {"dataset": {"expected_date_range": {"start": "2019-01-01", "end": "2030-12-31"}}}
+    found = check_timeliness(df.withColumnRenamed("d", "sent_date"), rules)
+    assert found.details["columns"]["sent_date"]["max_date"] == "+12000-01-01"
+    assert any("after expected end 2030-12-31" in issue for issue in found.issues)
