@@ -11,11 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
-import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -36,14 +33,6 @@ LONG = 64  # letters; longer words go to the heap at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def unassigned() -> re.Pattern[str]:
-    """Characters that have no category in Python's tables."""
-    codes = np.array([unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)])
-    edges = np.flatnonzero(np.diff(codes, prepend=False, append=False)).reshape(-1, 2)
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges) + "]")
-
-
 class WordBpe:
     """Encoder and decoder of a vocabulary with word ends, from its tokenizer file."""
 
@@ -61,6 +50,7 @@ class WordBpe:
         self.octets = byte_letters()
         self.letters = {b: c for c, b in self.octets.items()}
         self.library = Tokenizer.from_file(path)
+        self.known_letters: set[str] = set()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern, regex.V0).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
@@ -258,11 +248,17 @@ class WordBpe:
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens. Letters that Python's tables don't know
         yet are left to the library's own tables."""
-        if text.isascii() or not unassigned().search(text):
+        if text.isascii() or self.assigned(set(text)):
             return self.words(self.normal(text))
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.octets.__getitem__, word)).decode() for word, _ in found]
 
+    def assigned(self, letters: set[str]) -> bool:
+        """Whether Python's tables have a category for each of the letters."""
+        fresh = {c for c in letters - self.known_letters if unicodedata.category(c) != "Cn"}
+        self.known_letters |= fresh
+        return letters <= self.known_letters
+
     def normal(self, text: str) -> str:
         """Composed letters, single blanks, small letters one by one."""
         text = unicodedata.normalize("NFC", text)
