@@ -104,13 +104,12 @@ def parse(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
         covered[from_] += 1
         covered[to] -= 1
     lone = np.flatnonzero(np.cumsum(covered[:-1], dtype=np.int8) == 1)
-    shape = (hi - lo).astype(np.uint64) * np.uint64(1 << 20) + (found - lo).astype(np.uint64)
     return (
         np.concatenate([owner, np.searchsorted(starts, lone, "right") - 1]),
         np.concatenate([lo, lone]),
         np.concatenate([hi - lo + 1, np.ones(len(lone), np.int64)]),
         np.concatenate([one.of(found - REACH, found + after), one.of(lone, lone + length)]),
-        np.concatenate([_mix(two.of(lo, hi + length) + shape), two.of(lone, lone + length)]),
+        np.concatenate([two.of(lo, hi + length), two.of(lone, lone + length)]),
     )
 
 
@@ -197,8 +196,8 @@ def repeats(columns: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
 
 
 def dictionary(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc, lo, n, core): settled places, whose windows all have an earlier copy (core is
-    null), and the first places of phrases that share a core with other phrases."""
+    """(doc, lo, n, core, phrase, hot): settled places, whose windows all have an earlier copy
+    (core is null), and the first places of phrases that share a core with other phrases."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         columns = {
@@ -228,19 +227,25 @@ def dictionary(packed: DataFrame, buckets: int) -> DataFrame:
                 "lo": columns["lo"][rows],
                 "n": columns["n"][rows].astype(np.int32),
                 "core": pa.array(core, mask=np.arange(len(rows)) < len(late)),
+                "phrase": columns["phrase"].view(np.int64)[rows],
                 "hot": np.concatenate([np.zeros(len(late), bool), hot]),
             }
         )
 
-    return packed.groupBy("bucket").applyInArrow(run, "doc bigint, lo bigint, n int, core bigint, hot boolean")
+    return packed.groupBy("bucket").applyInArrow(
+        run, "doc bigint, lo bigint, n int, core bigint, phrase bigint, hot boolean"
+    )
 
 
 def phrase_texts(data: DataFrame, marks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, doc, lo, n, data): the bytes of the phrases whose suffixes are to be sorted.
+    """(bucket, doc, lo, n, phrase, data): the bytes of the phrases whose suffixes are to be
+    sorted.
 
     Phrases with the same core meet in one bucket. Where a core has very many, their
-    windows go each to the bucket of its own hash."""
-    wanted = marks.where("core IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "core", "hot")).alias("spans"))
+    windows go each to the bucket of its own hash. The phrase's hash goes along, as rows that
+    share a doc_id may differ in their texts."""
+    span = F.struct("lo", "n", "core", "phrase", "hot")
+    wanted = marks.where("core IS NOT NULL").groupBy("doc").agg(F.collect_list(span).alias("spans"))
     joined = data.join(wanted, data.doc_id == wanted.doc).select("doc_id", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +254,17 @@ def phrase_texts(data: DataFrame, marks: DataFrame, length: int, buckets: int) -
             size = 0
             for doc, value, spans in zip(*(batch.column(x) for x in ("doc_id", "data", "spans")), strict=True):
                 doc, view = doc.as_py(), memoryview(value.as_py())
-                for lo, n, core, hot in {tuple(x.values()) for x in spans.as_py()}:
-                    if hot:
-                        own = np.frombuffer(view[lo : lo + n - 1 + length], np.uint8)
-                        at = np.arange(n)
-                        keys = Rolling(own, BASES[0]).of(at, at + length) % np.uint64(buckets)
-                        rows += [(int(b), doc, lo + i, 1, bytes(view[lo + i : lo + i + length])) for i, b in enumerate(keys)]
-                    else:
-                        bucket = (core % (1 << 64)) % buckets
-                        rows.append((bucket, doc, lo, n, bytes(view[lo : lo + n - 1 + length])))
+                for lo, n, core, phrase, hot in {tuple(x.values()) for x in spans.as_py()}:
+                    own = bytes(view[lo : lo + n - 1 + length])
+                    if len(own) < n - 1 + length:
+                        continue
+                    if not hot:
+                        rows.append(((core % (1 << 64)) % buckets, doc, lo, n, phrase, own))
+                    elif whole_hash(own) == phrase:
+                        one, two = (Rolling(np.frombuffer(own, np.uint8), base).grams(length) for base in BASES)
+                        deal = (one % np.uint64(buckets)).tolist()
+                        windows = zip(deal, two.view(np.int64).tolist(), strict=True)
+                        rows += [(b, doc, lo + i, 1, h, own[i : i + length]) for i, (b, h) in enumerate(windows)]
                     size += n + length
                 if size > CHUNK:
                     yield frame(rows)
@@ -266,11 +273,17 @@ def phrase_texts(data: DataFrame, marks: DataFrame, length: int, buckets: int) -
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["bucket", "doc", "lo", "n", "data"])
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "doc", "lo", "n", "phrase", "data"])
+
+    return joined.mapInArrow(run, "bucket int, doc bigint, lo bigint, n int, phrase bigint, data binary")
+
 
-    return joined.mapInArrow(run, "bucket int, doc bigint, lo bigint, n int, data binary")
+def whole_hash(data: bytes) -> int:
+    """The hash of a phrase, as a signed number."""
+    buffer = np.frombuffer(data, np.uint8)
+    return int(Rolling(buffer, BASES[1]).of(np.array([0]), np.array([len(buffer)])).view(np.int64)[0])
 
 
 def suffix_order(phrases: DataFrame, length: int) -> DataFrame:
@@ -283,12 +296,15 @@ def suffix_order(phrases: DataFrame, length: int) -> DataFrame:
         buffer = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), np.uint8)
         doc, lo, n = (table.column(x).to_numpy() for x in ("doc", "lo", "n"))
         sizes = n.astype(np.int64) + length - 1
+        first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+        two = Rolling(buffer, BASES[1])
+        n = np.where(two.of(first, last).view(np.int64) == table.column("phrase").to_numpy(), n, 0)
         row = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(np.cumsum(sizes) - sizes, n) + inside
+        at = np.repeat(first, n) + inside
         columns = {
             "core": Rolling(buffer, BASES[0]).of(at, at + length),
-            "phrase": Rolling(buffer, BASES[1]).of(at, at + length),
+            "phrase": two.of(at, at + length),
             "doc": doc[row],
             "lo": lo[row] + inside,
         }
@@ -300,9 +316,9 @@ def suffix_order(phrases: DataFrame, length: int) -> DataFrame:
         # windows of a phrase that follow each other make one run
         new = np.ones(len(late), bool)
         new[1:] = (np.diff(late) != 1) | (np.diff(row[late]) != 0)
-        first = np.flatnonzero(new)
-        count = np.diff(np.concatenate([first, [len(late)]]))
-        return pa.table({"doc": columns["doc"][late[first]], "lo": columns["lo"][late[first]], "n": count.astype(np.int32)})
+        opens = np.flatnonzero(new)
+        count = np.diff(np.concatenate([opens, [len(late)]]))
+        return pa.table({"doc": columns["doc"][late[opens]], "lo": columns["lo"][late[opens]], "n": count.astype(np.int32)})
 
     return phrases.groupBy("bucket").applyInArrow(run, "doc bigint, lo bigint, n int")
 

@@ -54,6 +54,15 @@ def test_shared_passages_match_brute_force(spark, monkeypatch, hot):
     assert report(frame) == brute(rows)
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    """Places of one text say nothing of another's bytes, and other documents are right."""
+    shared = prose(61, 60)
+    rows = [(1, shared), (1, "short"), (1, prose(62, 60)), (2, shared[50:] + prose(63, 20)), (3, prose(62, 60)[30:300])]
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], SCHEMA)
+    found = {r[0]: r for r in report(frame) if r[0] != 1}
+    assert [found[i] for i in (2, 3)] == brute([rows[0], rows[3], (0, rows[2][1]), rows[4]])[2:]
+
+
 def test_pieces_of_a_long_text_meet(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 500)
     monkeypatch.setattr(substrings, "CHUNK", 2000)
@@ -76,5 +85,5 @@ def test_stage_keeps_rows_and_whole_characters(spark, odd_docs, no_docs):
     cut = substrings.without_repeats(odd_docs)
     assert cut.columns == odd_docs.columns and cut.count() == odd_docs.count()
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
-    assert texts[1] is None and texts[2] == "" and texts[4] == "é" * 50
+    assert texts[1] is None and texts[2] == "" and texts[4] == "é"
     assert substrings.removal_report(no_docs).collect() == [] == substrings.without_repeats(no_docs).collect()
