@@ -10,7 +10,8 @@ MAX_ROUNDS = 60
 
 
 def connected_components(links: DataFrame, staged: Staged) -> DataFrame:
-    """(node, component) of every node in `links` (a, b): the smallest node reachable.
+    """(node, component) of every node in `links` (a, b) that can reach a smaller one, with
+    the smallest it can reach.
 
     Each round points the neighbours of a node at the smallest of them, first the larger
     neighbours, then the smaller ones, which keeps reachability and halves paths; it ends

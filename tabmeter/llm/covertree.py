@@ -17,9 +17,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import Staged
+from tabmeter.llm.common import Staged, drawn
 from tabmeter.llm.components import connected_components
 
 COSINE = 0.93
@@ -262,39 +262,38 @@ def work_rows(homes: DataFrame, cells: Cells, reach: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = matrix(batch.column("unit")) if len(set(batch.column("n").to_pylist())) == 1 else None
             rows: list[tuple] = []
-            fields = zip(*(batch.column(x).to_pylist() for x in ("kind", "cell", "rep", "size")), strict=True)
             index: list[int] = []
-            for i, (kind, cell, rep, size) in enumerate(fields):
+            fields = zip(*(batch.column(x).to_pylist() for x in ("kind", "cell", "n", "rep", "size")), strict=True)
+            for i, (kind, cell, n, rep, size) in enumerate(fields):
                 key, lot = (kind, cell), _lot(rep)
-                if kind not in cells.pivots:
-                    rows.append((kind, 0, 0, 0, 2, rep, size))
-                    index.append(i)
-                    continue
-                blocks, own = cells.blocks[key], lot % cells.blocks[key]
-                if cell < cells.dense[kind]:  # a small ball's vectors all link, see linked_vectors
+                split = kind in cells.pivots
+                blocks = cells.blocks[key] if split else math.ceil(n / BLOCK)
+                own = lot % blocks
+                if not split or cell < cells.dense[kind]:  # a small ball's vectors all link, see linked_vectors
                     for other in range(blocks):
                         one, two = min(own, other), max(own, other)
                         rows.append((kind, cell, one, two, 2 if one == two else int(own == two), rep, size))
                         index.append(i)
+                if not split:
+                    continue
                 for visit in range(cells.visits.get(key, 0)):
                     rows.append((kind, cell, own, -1 - visit, 0, rep, size))
                     index.append(i)
-                unit = vectors[i] if vectors is not None else np.array(batch.column("unit")[i].as_py())
+                unit = batch.column("unit")[i].values.to_numpy()
                 for other in visited(cells, kind, cell, unit, reach):
                     lots = cells.visits.get((kind, other), 1)
                     for block in range(cells.blocks[kind, other]):
                         rows.append((kind, other, block, -1 - lot % lots, 1, rep, size))
                         index.append(i)
             if rows:
-                kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
-                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                types = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True)]
                 units = batch.column("unit").take(pa.array(index))
                 names = ["kind", "cell", "one", "two", "side", "rep", "size", "unit"]
                 yield pa.RecordBatch.from_arrays([*arrays, units], names)
 
-    return homes.withColumn("n", F.size("unit")).mapInArrow(run, WORK)
+    return homes.mapInArrow(run, WORK)
 
 
 def _lot(rep: int) -> int:
@@ -325,18 +324,19 @@ def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     kind = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string"))
     given = rows.select("vec_id", "embedding", "label", kind.alias("kind"))
     units = staged.write(unit_vectors(given), "units")
-    large = units.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    sizes = {row["kind"]: row["n"] for row in large.orderBy(F.desc("n"), "kind").limit(PIVOTS // 16).collect()}
+    kinds = staged.write(units.groupBy("kind").agg(F.count("*").alias("n")), "kinds")
+    large = kinds.where(F.col("n") > CELL).orderBy(F.desc("n"), "kind").limit(PIVOTS // 16)
+    sizes = {row["kind"]: row["n"] for row in large.collect()}  # the other kinds are one cell each
     total = sum(sizes.values())
     sample: dict[str, np.ndarray] = {}
     if sizes:
-        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(16, PIVOTS * n // total))])
-        rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("rep"), "rep"))
-        some = units.where(F.col("kind").isin(list(sizes))).select("kind", "rep", "unit", rank.alias("rank"))
-        drawn = some.where((F.col("rank") <= max(16, PIVOTS)) & (F.col("rank") <= share[F.col("kind")]))
-        for row in drawn.orderBy("kind", "rank").collect():  # PIVOTS rows, or 16 a label if that is more
+        share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, PIVOTS / total + 16 / n))])
+        some = units.where(F.col("kind").isin(list(sizes))).where(drawn(share[F.col("kind")], "rep"))
+        rows = some.select("kind", "rep", "unit").limit(4 * PIVOTS).collect()  # PIVOTS, and 16 a label, are expected
+        for row in sorted(rows, key=lambda row: (row["kind"], row["rep"])):
             sample.setdefault(row["kind"], []).append(row["unit"])
         sample = {k: np.array(v) for k, v in sample.items()}
+    sizes = {k: n for k, n in sizes.items() if k in sample}
     cells = choose_cells(sample, sizes, ball)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +348,13 @@ def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
                 own = np.flatnonzero(kinds == kind)
                 vectors = matrix(batch.column("unit").take(pa.array(own)))
                 cell[own], gap[own] = cells.home(kind, vectors, ball)
-            arrays = [batch.column("kind"), pa.array(cell), pa.array(gap), *(batch.column(x) for x in ("rep", "size", "unit"))]
-            yield pa.RecordBatch.from_arrays(arrays, ["kind", "cell", "gap", "rep", "size", "unit"])
+            names = ["n", "rep", "size", "unit"]
+            arrays = [batch.column("kind"), pa.array(cell), pa.array(gap), *(batch.column(x) for x in names)]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "cell", "gap", *names])
 
-    homes = units.mapInArrow(settle, "kind string, cell int, gap double, rep bigint, size bigint, unit array<double>")
+    homes = units.join(kinds, "kind").mapInArrow(
+        settle, "kind string, cell int, gap double, n bigint, rep bigint, size bigint, unit array<double>"
+    )
     if sizes:
         homes = staged.write(homes, "homes")
         some = F.col("kind").isin(list(sizes))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmeter.llm.common import Staged, rows_of
+from tabmeter.llm.common import Staged, drawn, rows_of
 from tabmeter.llm.linecrf import SYMBOLS
 
 FEATURES = (
@@ -126,15 +126,18 @@ def fold(column: str = "doc_id") -> Column:
 def train(table: DataFrame, labels: DataFrame) -> Preference:
     """The ranking of labelled rows outside the held-out fold.
 
-    Pairs come from at most PER_CLASS rows of each kind, by a hash of their ids; the cut
-    from quantiles over all labelled rows. Rows of `labels` without an id or a quality
+    Pairs come from about PER_CLASS rows of each kind, by a hash of their ids, twice as many
+    at most; the cut from quantiles over all labelled rows. Rows of `labels` without an id or a quality
     count for nothing; of several for one document the worst counts."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("liked"))
     known = table.where(fold() != HELD).join(marks, "doc_id").select("doc_id", "signs", (F.col("liked") >= 1).alias("liked"))
+    sizes = {row["liked"]: row["count"] for row in known.groupBy("liked").count().collect()}
     kinds = []
     for kind in (True, False):
-        some = known.where(F.col("liked") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "signs").limit(PER_CLASS).collect()
-        kinds.append(np.array([row["signs"] for row in some], float).reshape(-1, len(FEATURES)))
+        share = min(1.0, PER_CLASS / max(1, sizes.get(kind, 0)))
+        some = known.where((F.col("liked") == kind) & drawn(share, "doc_id")).select("doc_id", "signs").limit(2 * PER_CLASS)
+        rows = sorted((row["doc_id"], row["signs"]) for row in some.collect())
+        kinds.append(np.array([own for _, own in rows], float).reshape(-1, len(FEATURES)))
     if not len(kinds[0]) or not len(kinds[1]):
         return Preference()
     weights = fit_weights(*kinds)

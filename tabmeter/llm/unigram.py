@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmeter.llm.common import Staged, rows_of
+from tabmeter.llm.common import Staged, drawn, rows_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"  # begins a word
@@ -184,7 +184,6 @@ def word_counts(docs: DataFrame, sample_docs: int) -> DataFrame:
     if not shares:
         return known.select("lang", F.lit("").alias("word"), F.lit(0).cast("bigint").alias("n")).limit(0)
     limit = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +195,7 @@ def word_counts(docs: DataFrame, sample_docs: int) -> DataFrame:
                 arrays = [pa.array(x) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "n"])
 
-    counted = known.where(draw < limit).select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
+    counted = known.where(drawn(limit, "doc_id")).select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
