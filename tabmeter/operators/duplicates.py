@@ -1,67 +1,42 @@
-"""Exact count of repeated rows without moving whole rows through a shuffle."""
+"""Count of repeated rows without moving whole rows through a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmeter.functions.columns import ref
-from tabmeter.plans.staging import staged
 from tabmeter.table import Table
 
-# A row of so few fixed-width columns is no longer than its hash plus a count.
-NARROW_COLUMNS = 3
-# Repeated hashes are broadcast (8 bytes each) up to this many.
-BROADCAST_HASHES = 500_000
 
-
-def duplicate_count(source: DataFrame | Table, broadcast_hashes: int = BROADCAST_HASHES) -> int:
-    """Rows which equal an earlier row; missing equals missing.
-
-    Equal rows have equal hashes, so only rows whose hash repeats can be
-    duplicates. Grouping 8-byte hashes finds those, and whole rows are compared
-    among them alone: a hash collision therefore never changes the count. If
-    too many hashes repeat to broadcast, all rows are compared.
-    """
-    table = Table.of(source)
-    if _is_narrow(table):
-        return _repeats(table.df.select(*table.keys()))
-    hashed = table.df.select(_row_hash(table).alias("hash"))
-    repeated = hashed.groupBy("hash").count().where("count > 1")
-    with staged(repeated) as hashes:
-        groups, members = hashes.agg(F.count(F.lit(1)), F.sum("count")).first()
-        if groups == 0:
-            return 0
-        rows = table.df.select(*table.keys())
-        if groups > broadcast_hashes:
-            return _repeats(rows)
-        suspects = table.df.withColumn("__hash", _row_hash(table)).join(
-            F.broadcast(hashes.select(F.col("hash").alias("__hash"))), "__hash", "left_semi"
-        )
-        return members - suspects.select(*table.keys()).distinct().count()
+def row_digest(table: Table) -> list[Column]:
+    """128 bits that stand for a row: equal rows have the same, and among a million million
+    different rows the chance that any two share them is below one in 10^14. Hashes skip
+    NULLs, so where they are is hashed as well."""
+    keys = table.keys()
+    gaps = [key.isNull() for key in keys]
+    return [F.xxhash64(F.lit(seed), *gaps, *keys).alias(f"__digest_{seed}") for seed in (1, 2)]
 
 
-def duplicate_rows(source: DataFrame | Table) -> DataFrame:
-    """One row (row_count, distinct_rows, duplicate_rows), as one lazy query."""
-    table = Table.of(source)
-    rows = table.df.select(*table.keys())
-    groups = rows.groupBy(*[ref(c) for c in table.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    return groups.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
-        F.count(F.lit(1)).alias("distinct_rows"),
-    ).withColumn("duplicate_rows", F.col("row_count") - F.col("distinct_rows"))
+def row_groups(table: Table, *extra: Column) -> DataFrame:
+    """(n, ...) of each different row; `extra` are aggregates that are equal for equal rows.
 
+    Only digests are shuffled, and counted before, so a row that most others repeat costs
+    one number a task."""
+    digest = row_digest(table)
+    names = [f"__digest_{seed}" for seed in (1, 2)]
+    rows = table.df.select(*digest, *extra)
+    added = [F.max(name).alias(name) for name in rows.columns if name not in names]
+    return rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"), *added)
 
-def _repeats(rows: DataFrame) -> int:
-    return rows.count() - rows.distinct().count()
 
+def duplicate_count(source: DataFrame | Table) -> int:
+    """Rows which equal an earlier row; missing equals missing."""
+    return duplicate_rows(source).first()["duplicate_rows"]
 
-def _is_narrow(table: Table) -> bool:
-    kinds = table.types.values()
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return len(kinds) <= NARROW_COLUMNS and all(isinstance(k, fixed) for k in kinds)
 
-
-def _row_hash(table: Table):
-    """Spark's hash skips NULLs, so where they are is hashed as well."""
-    keys = table.keys()
-    return F.xxhash64(*[k.isNull() for k in keys], *keys)
+def duplicate_rows(source: DataFrame | Table) -> DataFrame:
+    """One row (row_count, distinct_rows, duplicate_rows), as one lazy query."""
+    return (
+        row_groups(Table.of(source))
+        .agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_rows"))
+        .withColumn("duplicate_rows", F.col("row_count") - F.col("distinct_rows"))
+    )

@@ -11,7 +11,7 @@ from tabmeter.functions.moments import kurtosis_g2, sample_std, skewness_g1
 from tabmeter.operators.common import moments
 from tabmeter.operators.completeness import column_nulls
 from tabmeter.operators.correlation import coefficients, varying
-from tabmeter.operators.duplicates import duplicate_count
+from tabmeter.operators.duplicates import duplicate_count, row_groups
 from tabmeter.operators.median import medians
 from tabmeter.operators.values import distinct_counts, top_values
 from tabmeter.plans.statpass import Probe, per_column, run_probes
@@ -128,15 +128,13 @@ def dataset_summary(source: DataFrame | Table) -> dict[str, Any]:
 def summary_frame(source: DataFrame | Table) -> DataFrame:
     """The dataset summary as one row, without the size estimate.
 
-    All of it comes from one grouping of whole rows: a group of n equal rows
+    All of it comes from one grouping of row digests: a group of n equal rows
     counts n rows, n - 1 duplicates, and n times its missing cells.
     """
     table = Table.of(source)
     width = len(table.columns)
     gaps = count_true([ref(c).isNull() for c in table.columns]).cast("bigint")
-    groups = table.df.select(*table.keys()).groupBy(*[ref(c) for c in table.columns])
-    counted = groups.agg(F.count(F.lit(1)).alias("__n")).withColumn("__gaps", gaps)
-    totals = counted.agg(
+    totals = row_groups(table, gaps.alias("__gaps")).agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
         F.lit(width).cast("bigint").alias("column_count"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_row_count"),

@@ -22,7 +22,6 @@ def test_every_way_of_counting_duplicates_agrees(spark):
     )
     expected = df.count() - df.selectExpr("a", "b", "to_json(c) c", "d").distinct().count()
     assert duplicate_count(df) == expected
-    assert duplicate_count(df, broadcast_hashes=0) == expected
     assert duplicate_rows(df).first()["duplicate_rows"] == expected
 
 
