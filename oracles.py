@@ -228,6 +228,85 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             f"WHEN {value} >= 50 THEN 'At Risk' ELSE 'Not Ready' END"
         )
 
+    # -- findings: fixed wording, one row for each condition that holds ---------
+    def finding(pillar: str, place: int, text: str, test: str, rows: str = "dq") -> str:
+        return f"SELECT '{pillar}' AS pillar, {place} AS place, {text} AS issue FROM {rows} HAVING {test}"
+
+    def said(*parts: str) -> str:
+        """Texts as literals, and from "=" on as expressions, joined."""
+        return " || ".join(f"CAST({x[1:]} AS VARCHAR)" if x.startswith("=") else "'" + x.replace("'", "''") + "'" for x in parts)
+
+    def listed(test: str, rows: str) -> str:
+        names = f"(SELECT string_agg(chr(39) || \"column\" || chr(39), ', ' ORDER BY ordinal) FROM (SELECT \"column\", ordinal FROM {rows} WHERE {test} ORDER BY ordinal LIMIT 5))"
+        return f"'[' || {names} || ']'"
+
+    def missing(place: int, test: str, limit: str) -> str:
+        names, more = listed(test, f"({null_pct})"), f"CASE WHEN count_if({test}) > 5 THEN '…' ELSE '' END"
+        text = said(f"=count_if({test})", f" column(s) have >{limit}% missing values: ", f"={names}", f"={more}")
+        return finding("completeness", place, text, f"count_if({test}) > 0", f"({null_pct})")
+
+    def count_and_pct(test: str) -> tuple[str, str]:
+        return f"=count_if({test})", f"={nearest(share(f'count_if({test})', 'count(*)'))}"
+
+    found = [
+        missing(0, "null_pct >= 50", "50.0"),
+        missing(1, "null_pct >= 20 AND null_pct < 50", "20.0"),
+        finding(
+            "completeness", 2, said(f"={sparse}", " rows (", f"={nearest(bad_pct)}", "%) have >50% of their fields missing"), f"{sparse} > 0"
+        ),
+    ]
+    bounds = {"quantity": "[1, 50]", "discount_rate": "[0.0, 1.0]", "sales": "[0.0, None]"}
+    for i, (c, test) in enumerate(ranges.items()):
+        n, part = count_and_pct(test)
+        text = said(f"Column '{c}': ", n, " values (", part, f"%) out of range {bounds[c]}")
+        found.append(finding("validity", i, text, f"count_if({test}) > 0"))
+    for i, (c, test) in enumerate(enums.items()):
+        n, part = count_and_pct(test)
+        sample = f"(SELECT string_agg(chr(39) || v || chr(39), ', ' ORDER BY v) FROM (SELECT DISTINCT trim(CAST({c} AS VARCHAR)) AS v FROM dq WHERE {test} ORDER BY v LIMIT 5))"
+        text = said(f"Column '{c}': ", n, " invalid values (", part, "%) not in allowed set. Sample: [", f"={sample}", "]")
+        found.append(finding("validity", 10 + i, text, f"count_if({test}) > 0"))
+    for i, (c, test) in enumerate(parses.items()):
+        n, part = count_and_pct(test)
+        text = said(f"DateTime column '{c}': ", n, " values (", part, "%) could not be parsed")
+        found.append(finding("validity", 20 + i, text, f"count_if({test}) > 0"))
+        text = said(f"Column '{c}': ", n, " values could not be parsed as datetime")
+        found.append(finding("timeliness", 10 * i, text, f"count_if({test}) > 0"))
+        low, high = f"min({parsed[c]})", f"max({parsed[c]})"
+        text = said(f"Column '{c}': earliest date ", f"=CAST({low} AS DATE)", " is before expected start 1993-01-01")
+        found.append(finding("timeliness", 10 * i + 1, text, f"{low} < TIMESTAMP '1993-01-01'"))
+        text = said(f"Column '{c}': latest date ", f"=CAST({high} AS DATE)", " is after expected end 2030-12-31")
+        found.append(finding("timeliness", 10 * i + 2, text, f"{high} > TIMESTAMP '2030-12-31'"))
+        text = said(f"Column '{c}': maximum temporal gap is ", f"=({gaps[c]})", " days (threshold: 90)")
+        found.append(finding("timeliness", 10 * i + 3, text, f"({gaps[c]}) > 90"))
+    for i, (c, test) in enumerate(ids.items()):
+        n, part = count_and_pct(test)
+        found.append(finding("validity", 30 + i, said(f"Required ID column '{c}' has ", n, " null values"), f"count_if({test}) > 0"))
+        text = said(f"ID column '{c}' has ", n, " null values (", part, "%)")
+        found.append(finding("uniqueness", 1 + i, text, f"count_if({test}) > 0"))
+    repeated = share(f"({dups})", "count(*)")
+    text = said(f"=({dups})", " duplicate rows found (", f"={nearest(repeated)}", "%) — exceeds threshold of 5.0%")
+    found.append(finding("uniqueness", 0, text, f"{repeated} > 5"))
+    n, part = count_and_pct(late)
+    text = said("Rule 'shipping_after_order': ", n, " rows (", part, "%) violate 'ship_date' >= 'order_date'")
+    found.append(finding("consistency", 0, text, f"count_if({late}) > 0"))
+    text = said("Rule 'late_delivery_risk_vs_status': ", f"=count_if({mismatch})", " rows have late_risk=1 but 'delivery_status' != 'F'")
+    found.append(finding("consistency", 1, text, f"count_if({mismatch}) > 0"))
+    outlying = f"SELECT *, list_position({[*DQ_NUMBERS]}, \"column\") AS place FROM ({zscores('dq', DQ_NUMBERS)}) WHERE outlier_pct > 5"
+    found.append(
+        "SELECT 'accuracy', place, "
+        + said("Column '", '="column"', "': ", "=outlier_count", " outliers (", "=outlier_pct", "%) detected via Z-score")
+        + f" FROM ({outlying})"
+    )
+    found.append("SELECT 'ai_readiness', 0, 'Only 3 numeric feature columns available for ML (minimum: 5)'")
+    found.append(
+        "SELECT 'ai_readiness', 9, 'Potential data leakage: columns [''delivery_status''] may directly encode the target. "
+        "Review before training.'"
+    )
+    issues = (
+        "SELECT pillar, CAST(row_number() OVER (PARTITION BY pillar ORDER BY place) - 1 AS INTEGER) AS seq, issue "
+        f"FROM ({union(f'({q})' for q in found)})"
+    )
+
     overall = f"SELECT {nearest('sum(weighted_score)')} AS overall_score FROM ({scored})"
     number = "CAST({c} AS DOUBLE)"
     lineitem_profile = union(
@@ -359,7 +438,7 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
         + " FROM events"
         for c in column_kinds["events"]
     )
-    found = {
+    answers = {
         "column_nulls": over_dq(
             "SELECT \"column\", null_count, null_pct, round(100 - null_pct, 2) AS score, "
             "CASE WHEN null_pct >= 50 THEN 'critical' WHEN null_pct >= 20 THEN 'warning' ELSE 'ok' END AS severity "
@@ -483,6 +562,7 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             "CASE WHEN overall_score >= 85 THEN '#2ecc71' WHEN overall_score >= 70 THEN '#f39c12' "
             f"WHEN overall_score >= 50 THEN '#e67e22' ELSE '#e74c3c' END AS band_color FROM ({overall})"
         ),
+        "issues": over_dq(issues),
         "csv_round_trip": (
             "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
             "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority, "
@@ -507,5 +587,5 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             for c in ("slashes", "slashes_minutes", "slashes_seconds", "year_first", "iso", "month_name", "digits")
         ),
     }
-    found |= {f"{p}_score": over_dq(q) for p, q in pillars.items()}
-    return found
+    answers |= {f"{p}_score": over_dq(q) for p, q in pillars.items()}
+    return answers
