@@ -13,7 +13,7 @@ from tabmeter.operators.completeness import column_nulls
 from tabmeter.operators.correlation import coefficients, varying
 from tabmeter.operators.duplicates import duplicate_count, row_groups
 from tabmeter.operators.median import medians
-from tabmeter.operators.values import distinct_counts, top_values
+from tabmeter.operators.values import distinct_counts, top_values, value_summary
 from tabmeter.plans.statpass import Probe, per_column, run_probes
 from tabmeter.result import share
 from tabmeter.table import Table
@@ -177,16 +177,10 @@ def profile(source: DataFrame | Table, rsd: float | None = None) -> dict[str, An
         ],
     )
     rows, width = int(stats["rows"]), len(table.columns)
-    unique = {r["column"]: r["unique_count"] for r in distinct_counts(table, rsd=rsd).collect()}
+    unique, tops = _values(table, rsd)
     measured = _measured(table)
     shapes = {r["column"]: r.asDict() for r in numeric_stats(table).collect()} if measured else {}
     middles = medians_of(table, measured)
-    tops: dict[str, dict[str, int]] = {}
-    counted = [c for c in table.columns if c not in measured]
-    if counted:
-        for r in sorted(top_values(table, counted).collect(), key=lambda r: r["rank"]):
-            tops.setdefault(r["column"], {})[r["value"]] = r["n"]
-
     columns = {}
     for name in table.columns:
         gaps = int(stats["nulls", name])
@@ -225,6 +219,21 @@ def profile(source: DataFrame | Table, rsd: float | None = None) -> dict[str, An
     }
 
 
+def _values(table: Table, rsd: float | None) -> tuple[dict[str, int], dict[str, dict[str, int]]]:
+    """The number of distinct values and the most frequent values by column."""
+    if rsd is None:
+        rows = value_summary(table).collect()
+    else:
+        rows = [*distinct_counts(table, rsd=rsd).collect(), *top_values(table).collect()]
+    unique, tops = {}, {}
+    for r in sorted(rows, key=lambda r: r.asDict().get("rank") or 0):
+        if r.asDict().get("rank"):
+            tops.setdefault(r["column"], {})[r["value"]] = r["n"]
+        else:
+            unique[r["column"]] = r["unique_count"]
+    return unique, tops
+
+
 def medians_of(table: Table, measured: list[str]) -> dict:
     """Medians of numbers, and of booleans as 0 and 1."""
     as_numbers = table.df.select(*[_number(table, c).alias(c) for c in measured])

@@ -93,7 +93,11 @@ def distinct_counts(
             ).alias("rows")
         )
         return found.select(F.inline("rows"))
-    found = [f.select("ordinal", "n") for f in value_counts(table, columns)]
+    return _unique(table, columns, value_counts(table, columns))
+
+
+def _unique(table: Table, columns: list[str], frames: list[DataFrame]) -> DataFrame:
+    found = [f.select("ordinal", "n") for f in frames]
     # A column without any value has no group, so each gets an empty one.
     every = F.explode(F.array(*[F.lit(table.ordinal(c)) for c in columns])).alias("ordinal")
     found.append(table.spark.range(1).select(every, F.lit(None).cast("bigint").alias("n")))
@@ -122,6 +126,17 @@ def top_values(
     return _ranked(table, value_counts(table, columns), [F.desc("n"), F.asc("value")], most)
 
 
+def value_summary(source: DataFrame | Table, most: int = TOP) -> DataFrame:
+    """(column, ordinal, unique_count, rank, value, n) of all columns: a row with the number of
+    distinct values of each column, and rows with its most frequent values. Both come from
+    the same grouping, which is shuffled once."""
+    table = Table.of(source)
+    frames = value_counts(table, table.columns)
+    unique = _unique(table, table.columns, frames)
+    top = _ranked(table, frames, [F.desc("n"), F.asc("value")], most)
+    return unique.unionByName(top, allowMissingColumns=True)
+
+
 def sample_values(
     source: DataFrame | Table, columns: list[str] | None = None, most: int = SAMPLE
 ) -> DataFrame:

@@ -202,3 +202,17 @@ def test_medians_by_narrowing(spark, monkeypatch, buckets):
 def test_median_without_values(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert medians(df, ["a", "b"]) == {"a": None, "b": 1.0}
+
+
+def test_values_are_grouped_and_shuffled_once(spark):
+    from tabmeter.operators.values import distinct_counts, top_values, value_summary
+
+    df = spark.range(500).selectExpr("id % 7 a", "CAST(id % 11 AS STRING) b", "CAST(id % 3 AS DOUBLE) c", "id > 9 d")
+    frame = value_summary(df)
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 3  # one for each family of types
+    found = {r["column"]: r["unique_count"] for r in rows if r["rank"] is None}
+    assert found == {r["column"]: r["unique_count"] for r in distinct_counts(df).collect()} == {"a": 7, "b": 11, "c": 3, "d": 2}
+    tops = sorted((r["column"], r["rank"], r["value"], r["n"]) for r in rows if r["rank"])
+    assert tops == sorted((r["column"], r["rank"], r["value"], r["n"]) for r in top_values(df, df.columns).collect())
