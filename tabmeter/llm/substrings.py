@@ -29,7 +29,7 @@ REACH = 10  # a trigger is the minimum of this many hashes on either side
 PIECE = 1 << 16  # texts are parsed in pieces of so many window starts
 CHUNK = 1 << 18  # pieces are parsed together up to so many bytes
 BLOCK = 16  # chunks whose phrases are packed together
-HOT = 4096  # from so many phrases of one core on, each window is dealt out by itself
+HOT = 1024  # from so many phrases of one core on, each window is dealt out by itself
 LAST = np.iinfo(np.int64).max  # where documents without an id stand in the order
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
