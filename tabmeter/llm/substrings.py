@@ -139,7 +139,7 @@ def pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...
         yield close()
 
 
-BLOBS = {"core": np.uint64, "phrase": np.uint64, "doc": np.int64, "lo": np.int64, "n": np.uint8}
+BLOBS = {"core": np.uint64, "phrase": np.uint64, "doc": np.int64, "lo": np.int64, "n": np.uint16}
 ENTRIES = "bucket int, core binary, phrase binary, doc binary, lo binary, n binary"
 
 
