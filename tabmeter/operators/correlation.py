@@ -28,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Up to this many sums are plain aggregates; beyond, whole Arrow batches are
 # multiplied as matrices, whose cost grows far more slowly with the columns.
 SUM_BUDGET = 60
+TASKS_PER_CORE = 4
 # Spread below this share of the raw squares is rounding error.
 RELATIVE_ZERO = 1e-12
 
@@ -109,9 +110,13 @@ def batch_sums(batches: Iterator[pa.RecordBatch], means: np.ndarray) -> Iterator
 
 
 def matrix_sums(table: Table, columns: list[str], stats: dict) -> DataFrame:
-    """The sums of every pair of a wide table: partial matrices, then added up."""
+    """The sums of every pair of a wide table: partial matrices, then added up.
+
+    A task adds up its batches before it sends a row for each pair, so input partitions are
+    put together until there are only a few tasks for each core."""
     means = np.array([stats["mean", c] for c in columns])
     values = table.df.select(*[table.number(c).alias(f"v{k}") for k, c in enumerate(columns)])
+    values = values.coalesce(TASKS_PER_CORE * table.spark.sparkContext.defaultParallelism)
     partial = values.mapInArrow(lambda batches: batch_sums(batches, means), SUMS_SCHEMA)
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
     return partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])

@@ -14,6 +14,7 @@ from tabmeter.operators.correlation import coefficients, varying
 from tabmeter.operators.duplicates import duplicate_count, row_groups
 from tabmeter.operators.median import medians
 from tabmeter.operators.values import distinct_counts, top_values, value_summary
+from tabmeter.plans.staging import staged
 from tabmeter.plans.statpass import Probe, per_column, run_probes
 from tabmeter.result import share
 from tabmeter.table import Table
@@ -162,13 +163,20 @@ def _summary_probes(table: Table) -> list[Probe]:
     ]
 
 
-def profile(source: DataFrame | Table, rsd: float | None = None) -> dict[str, Any]:
+def profile(
+    source: DataFrame | Table, rsd: float | None = None, *, materialize: bool = False
+) -> dict[str, Any]:
     """Statistics of every column and of the table as nested dictionaries.
 
     What is collected grows with the number of columns only. `rsd` accepts
-    approximate distinct counts of that relative deviation.
+    approximate distinct counts of that relative deviation. `materialize` first
+    writes the table to the shared folder: use it where the table is costly to
+    compute, as the passes read it several times.
     """
     table = Table.of(source)
+    if materialize:
+        with staged(table.df) as df:
+            return profile(Table.of(df, **table.date_options), rsd)
     stats = run_probes(
         table.df,
         [

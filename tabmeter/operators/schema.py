@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabmeter.functions.columns import pct, ratio, ref
 from tabmeter.functions.dates import is_datetime
 from tabmeter.operators.values import distinct_counts, sample_values
+from tabmeter.plans.staging import staged
 from tabmeter.plans.statpass import per_column
 from tabmeter.table import Table
 
@@ -98,9 +99,13 @@ def _semantic_type() -> Column:
     )
 
 
-def detect_schema(source: DataFrame | Table) -> dict[str, Any]:
-    """Descriptor per column, and the columns of each semantic type."""
+def detect_schema(source: DataFrame | Table, *, materialize: bool = False) -> dict[str, Any]:
+    """Descriptor per column, and the columns of each semantic type; `materialize` as for
+    `profile`."""
     table = Table.of(source)
+    if materialize:
+        with staged(table.df) as df:
+            return detect_schema(Table.of(df, **table.date_options))
     samples: dict[str, list[str]] = {}
     for r in sorted(sample_values(table).collect(), key=lambda r: (r["ordinal"], r["rank"])):
         samples.setdefault(r["column"], []).append(r["value"])

@@ -216,3 +216,11 @@ def test_values_are_grouped_and_shuffled_once(spark):
     assert found == {r["column"]: r["unique_count"] for r in distinct_counts(df).collect()} == {"a": 7, "b": 11, "c": 3, "d": 2}
     tops = sorted((r["column"], r["rank"], r["value"], r["n"]) for r in rows if r["rank"])
     assert tops == sorted((r["column"], r["rank"], r["value"], r["n"]) for r in top_values(df, df.columns).collect())
+
+
+def test_written_tables_read_the_same(spark):
+    from tabmeter import detect_schema, profile
+
+    df = spark.range(60).selectExpr("id AS order_id", "id % 4 AS size", "CAST(id % 3 AS STRING) AS kind", "date'2024-01-01' AS d")
+    assert profile(df, materialize=True) == profile(df)
+    assert detect_schema(df, materialize=True) == detect_schema(df)
