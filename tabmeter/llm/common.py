@@ -8,22 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A word is a run of anything but the six ASCII white-space characters.
-WORD = "[^\\x20\\x09-\\x0D]+"
-FIND_WORDS = regex.compile(WORD).findall
-#: ASCII capitals and their small letters; other alphabets keep their case.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWER_TABLE = str.maketrans(UPPER, LOWER)
-
-
-def ascii_lower(text: str | Column):
-    """The text with A-Z lowered, as a string or as a Column."""
-    return text.translate(LOWER_TABLE) if isinstance(text, str) else F.translate(text, UPPER, LOWER)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -77,5 +63,14 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(name).to_pylist() for name in names), strict=True)
 
 
+DRAWS = 1 << 40
+
+
+def drawn(share: float | Column, *names: str) -> Column:
+    """Whether a row is in a sample of about that share of all rows: a hash of the named
+    columns decides, so no task needs to see other rows, and it is the same each time."""
+    return F.pmod(F.xxhash64(F.lit("sample"), *names), F.lit(DRAWS)) < F.lit(share) * F.lit(float(DRAWS))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import FIND_WORDS, Staged, ascii_lower, rows_of
+from tabmeter.llm.common import Staged, rows_of
 from tabmeter.llm.components import connected_components
 
 SEED = 42
@@ -23,13 +23,14 @@ CHUNK = 1 << 16
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the hashes of all shingles of a text; 0 without words."""
-    words = FIND_WORDS(ascii_lower(text)) if text else []
+    # bytes know no letters and blanks but those of ASCII
+    words = (text or "").encode().lower().split()
     if not words:
         return 0
     if len(words) < width:
-        shingles = [" ".join(words)]
+        shingles = [b" ".join(words)]
     else:
-        shingles = map(" ".join, zip(*(words[i:] for i in range(width))))
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):  # bounded memory for very long texts
