@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import rows_of
+from tabmeter.llm.common import drawn, rows_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -159,8 +159,8 @@ class LineField:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineField:
-    """The field of a sample of `docs`: `sample_docs` rows by a hash of their ids, and up to
-    `sample_lines` lines of each. Only features of the sample reach the driver."""
+    """The field of a sample of `docs`: about `sample_docs` rows by a hash, twice as many at
+    most, and up to `sample_lines` lines of each. Only their features reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,9 +168,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = S
             kind = pa.list_(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([[list(f) for f in x] for x in found], kind)], ["lines"])
 
-    order = F.xxhash64(F.lit("sample"), "doc_id", F.length("text"))
-    picked = docs.select("doc_id", "text").orderBy(order, "doc_id", F.substring("text", 1, 64)).limit(sample_docs).select("text")
-    rows = picked.repartition(8).mapInArrow(run, "lines array<array<double>>").collect()
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    picked = docs.select("doc_id", "text").where(drawn(share, "doc_id", "text"))
+    rows = picked.mapInArrow(run, "lines array<array<double>>").limit(2 * sample_docs).collect()
     sequences = sorted([tuple(map(tuple, row["lines"])) for row in rows if row["lines"]])
     chosen = [list(s) for s in sequences]
     return LineField.fit(chosen, [[weak_label(f) for f in s] for s in chosen])
