@@ -29,7 +29,8 @@ PIVOTS = 4096  # bound of the sample that pivots are chosen from
 DENSE = 0.02  # share of a label's sample from which on a small ball is a cell of its own
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 SLACK = 1e-9  # bounds are kept this far from the threshold, so that rounding can't cross it
-SMALL = 1 << 16  # pairs that are compared at once rather than opened
+SMALL = 1 << 12  # pairs that are compared rather than opened
+AT_ONCE = 1 << 15  # pairs that are compared together
 
 
 @dataclass
@@ -46,20 +47,21 @@ def net(vectors: np.ndarray, some: np.ndarray, radius: float) -> list[tuple[int,
     """Centres more than `radius` apart among `some`, each with those it covers."""
     near = 1.0 - radius * radius / 2.0
     centres: list[int] = []
+    kept = np.empty((len(some), vectors.shape[1]))
     owner = np.full(len(some), -1)
     for at in range(0, len(some), 512):
         block = vectors[some[at : at + 512]]
-        if centres:
-            cosines = block @ vectors[centres].T
-            best = cosines.argmax(axis=1)
-            hit = cosines[np.arange(len(block)), best] >= near
-            owner[at : at + 512][hit] = best[hit]
+        cosines = block @ kept[: len(centres)].T
+        i, j = np.nonzero(cosines >= near)
+        order = np.lexsort([cosines[i, j], i])  # the last of a row is its nearest centre
+        owner[at + i[order]] = j[order]
         inner = block @ block.T
-        for i in range(len(block)):
+        for i in np.flatnonzero(owner[at : at + 512] < 0):
             if owner[at + i] < 0:
                 new = (inner[i] >= near) & (owner[at : at + 512] < 0)
                 new[i] = True
                 owner[at : at + 512][new] = len(centres)
+                kept[len(centres)] = block[i]
                 centres.append(int(some[at + i]))
     order = np.argsort(owner, kind="stable")
     groups = np.split(some[order], np.flatnonzero(np.diff(owner[order])) + 1)
@@ -110,7 +112,15 @@ class Links:
         """Pairs (one[k], two[k]) that are links."""
         np.add.at(self.counts, one, self.weights[two])
         np.add.at(self.counts, two, self.weights[one])
-        for i, j in zip(one.tolist(), two.tolist(), strict=True):
+        nodes, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+        a, b = place[: len(one)], place[len(one) :]
+        low, before = np.arange(len(nodes)), None
+        while before is None or (low != before).any():
+            before = low.copy()
+            np.minimum.at(low, a, before[b])
+            np.minimum.at(low, b, before[a])
+            low = low[low]
+        for i, j in zip(nodes[low].tolist(), nodes.tolist(), strict=True):
             self.join(i, j)
 
     def all_between(self, one: np.ndarray, two: np.ndarray) -> None:
@@ -122,35 +132,58 @@ class Links:
         self.counts[some] += self.weights[some].sum() - self.weights[some]
         self.star(some)
 
-    def compare(self, one: np.ndarray, two: np.ndarray) -> None:
-        i, j = np.nonzero(self.vectors[one] @ self.vectors[two].T >= self.cosine)
-        self.pairs(one[i], two[j])
+    def compare(self, ones: list[Node], twos: list[Node], i: np.ndarray, j: np.ndarray) -> None:
+        """Links between what ones[i[k]] and twos[j[k]] cover, for all k together."""
+        flat = [np.concatenate([n.members for n in x]) for x in (ones, twos)]
+        size = [np.array([len(n.members) for n in x]) for x in (ones, twos)]
+        first = [np.cumsum(x) - x for x in size]
+        many = size[0][i] * size[1][j]
+        begin = 0
+        for end in [*np.flatnonzero(np.diff(np.cumsum(many) // AT_ONCE)) + 1, len(many)]:
+            p, q, n = i[begin:end], j[begin:end], many[begin:end]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(size[1][q], n)
+            one = flat[0][np.repeat(first[0][p], n) + inside // wide]
+            two = flat[1][np.repeat(first[1][q], n) + inside % wide]
+            link = np.einsum("nd,nd->n", self.vectors[one], self.vectors[two]) >= self.cosine
+            self.pairs(one[link], two[link])
+            begin = end
 
     def between(self, ones: list[Node], twos: list[Node], same: bool = False) -> None:
         """Links between two lists of nodes, or (same) between different nodes of one list."""
-        centres = [self.vectors[[n.centre for n in x]] for x in (ones, twos)]
+        centres = [np.array([n.centre for n in x]) for x in (ones, twos)]
         radii = [np.array([n.radius for n in x]) for x in (ones, twos)]
-        single = [np.array([len(n.members) == 1 for n in x]) for x in (ones, twos)]
+        size = [np.array([len(n.members) for n in x]) for x in (ones, twos)]
+        # nodes of like radius together: the largest of a part bounds all of it
+        parts = [np.flatnonzero(radii[1] <= RADII[-3]), np.flatnonzero(radii[1] > RADII[-3])]
         for at in range(0, len(ones), 1024):
-            cosines = centres[0][at : at + 1024] @ centres[1].T
-            gap = distances(cosines)
-            both = radii[0][at : at + 1024, None] + radii[1][None, :]
-            close = gap - both <= self.reach + SLACK
-            if same:
-                close &= np.arange(len(twos))[None, :] > at + np.arange(len(close))[:, None]
-            alone = single[0][at : at + 1024, None] & single[1][None, :]
-            i, j = np.nonzero(close & alone & (cosines >= self.cosine))
-            self.pairs(
-                np.array([ones[at + k].centre for k in i], int), np.array([twos[k].centre for k in j], int)
-            )
-            for k, m in zip(*np.nonzero(close & ~alone), strict=True):
-                p, q = ones[at + k], twos[m]
-                if gap[k, m] + both[k, m] <= self.reach - SLACK:
-                    self.all_between(p.members, q.members)
-                elif len(p.members) * len(q.members) <= SMALL:
-                    self.compare(p.members, q.members)
-                else:
-                    self.between(p.children or [p], q.children or [q])
+            left = self.vectors[centres[0][at : at + 1024]]
+            for part in parts:
+                part = part[part > at] if same else part
+                if not len(part):
+                    continue
+                cosines = left @ self.vectors[centres[1][part]].T
+                most = self.reach + radii[0][at : at + 1024] + radii[1][part].max() + SLACK
+                least = np.where(most < 2.0, 1.0 - most * most / 2.0, -2.0) - SLACK
+                i, j = np.nonzero(cosines >= least[:, None])
+                gap, value, i, j = distances(cosines[i, j]), cosines[i, j], at + i, part[j]
+                both = radii[0][i] + radii[1][j]
+                close = gap - both <= self.reach + SLACK
+                if same:
+                    close &= j > i
+                i, j, gap, both, value = (x[close] for x in (i, j, gap, both, value))
+                alone = (size[0][i] == 1) & (size[1][j] == 1)
+                link = alone & (value >= self.cosine)
+                self.pairs(centres[0][i[link]], centres[1][j[link]])
+                whole = ~alone & (gap + both <= self.reach - SLACK)
+                for p, q in zip(i[whole], j[whole], strict=True):
+                    self.all_between(ones[p].members, twos[q].members)
+                small = size[0][i] * size[1][j] <= SMALL
+                for p, q in zip(i[~alone & ~whole & ~small], j[~alone & ~whole & ~small], strict=True):
+                    self.between(ones[p].children or [ones[p]], twos[q].children or [twos[q]])
+                few = ~alone & ~whole & small
+                if few.any():
+                    self.compare(ones, twos, i[few], j[few])
 
     def within(self, nodes: list[Node]) -> None:
         """All links among what the nodes of one list cover."""
@@ -160,7 +193,7 @@ class Links:
                 continue
             if 2.0 * node.radius <= self.reach - SLACK:
                 self.all_within(node.members)
-            elif len(node.members) ** 2 <= SMALL:
+            elif len(node.members) ** 2 <= 16 * SMALL:
                 i, j = np.nonzero(np.triu(self.vectors[node.members] @ self.vectors[node.members].T >= self.cosine, 1))
                 self.pairs(node.members[i], node.members[j])
             else:
@@ -280,12 +313,12 @@ def work_rows(homes: DataFrame, cells: Cells, reach: float) -> DataFrame:
                 for visit in range(cells.visits.get(key, 0)):
                     rows.append((kind, cell, own, -1 - visit, 0, rep, size))
                     index.append(i)
-                unit = batch.column("unit")[i].values.to_numpy()
-                for other in visited(cells, kind, cell, unit, reach):
-                    lots = cells.visits.get((kind, other), 1)
-                    for block in range(cells.blocks[kind, other]):
-                        rows.append((kind, other, block, -1 - lot % lots, 1, rep, size))
-                        index.append(i)
+            names, reps, weights = (batch.column(x).to_pylist() for x in ("kind", "rep", "size"))
+            for i, other in visits(cells, batch, reach):
+                lots = cells.visits.get((names[i], other), 1)
+                for block in range(cells.blocks[names[i], other]):
+                    rows.append((names[i], other, block, -1 - _lot(reps[i]) % lots, 1, reps[i], weights[i]))
+                    index.append(i)
             if rows:
                 types = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
                 arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True)]
@@ -300,11 +333,17 @@ def _lot(rep: int) -> int:
     return (rep * 0x9E3779B97F4A7C15 >> 20) & 0x7FFFFFFF
 
 
-def visited(cells: Cells, kind: str, cell: int, unit: np.ndarray, reach: float) -> list[int]:
-    """Later cells that may hold a vector within reach."""
-    gap = distances(cells.pivots[kind][cell + 1 :] @ unit)
-    radius = np.array([cells.radius.get((kind, c), -np.inf) for c in range(cell + 1, len(cells.pivots[kind]))])
-    return [cell + 1 + int(c) for c in np.flatnonzero(gap - radius <= reach + SLACK)]
+def visits(cells: Cells, batch: pa.RecordBatch, reach: float) -> Iterator[tuple[int, int]]:
+    """(row, cell): later cells of its kind that may hold a vector within reach of the row's."""
+    kinds, home = np.array(batch.column("kind").to_pylist(), object), batch.column("cell").to_numpy()
+    for kind in set(kinds) & cells.pivots.keys():
+        own = np.flatnonzero(kinds == kind)
+        pivots = cells.pivots[kind]
+        radius = np.array([cells.radius.get((kind, c), -np.inf) for c in range(len(pivots))])
+        gap = distances(matrix(batch.column("unit").take(pa.array(own))) @ pivots.T)
+        near = (gap - radius <= reach + SLACK) & (np.arange(len(pivots)) > home[own][:, None])
+        rows, others = np.nonzero(near)
+        yield from zip(own[rows].tolist(), others.tolist(), strict=True)
 
 
 def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -366,11 +405,8 @@ def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
         def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [
-                    (kind, other)
-                    for kind, cell, unit in zip(*(batch.column(x).to_pylist() for x in ("kind", "cell", "unit")), strict=True)
-                    for other in visited(cells, kind, cell, np.array(unit), reach)
-                ]
+                kinds = batch.column("kind").to_pylist()
+                out = [(kinds[i], other) for i, other in visits(cells, batch, reach)]
                 if out:
                     names = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32()), strict=True)]
                     yield pa.RecordBatch.from_arrays(names, ["kind", "cell"])
