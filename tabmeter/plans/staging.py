@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ def scratch_folder(spark: SparkSession) -> str:
     uses a temporary folder of its machine; a cluster has to name one."""
     if folder := spark.conf.get(SETTING, None):
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
     return _local_folder()
 
