@@ -3,9 +3,9 @@
 Each word of the licence templates has a posting for every template and place it stands at.
 The licence words of a file are joined with the postings; the place of a word in the file
 less its place in the template says where the template would begin, so words that agree on
-that stand as in the template. Alignments count if one of the file's rarest licence words
-points to them, if the key words of the template all stand in place, and if the words that
-do carry most of the template's weight, each weighing its inverse document frequency.
+that stand as in the template. Every licence word of a file is looked up. Alignments count if
+the key words of the template all stand in place, and if the words that do carry most of the
+template's weight, each weighing its inverse document frequency.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 COMMON = frozenset("a an and any are as at be by for in is it of on or that the this to with without under use".split())
 #: A word is a run of letters, digits and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RARE = 8  # licence words of a file that are looked up
 SHARE = 0.6  # of a template's weight that must stand in place
 
 
@@ -108,19 +107,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     seen = found.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count()
     spread = {row["word"]: row["count"] for row in seen.collect()}  # the templates' words at most
     weight = {word: math.log(1.0 + n_rows / (1.0 + spread.get(word, 0))) for word, *_ in postings()}
-    weighed = F.create_map(*[F.lit(x) for pair in sorted(weight.items()) for x in pair])
-    rarest = F.array_sort(
-        F.transform(F.array_distinct("hits.word"), lambda w: F.named_struct(F.lit("weight"), -weighed[w], F.lit("word"), w))
-    )
-    hits = found.select("row", F.slice(rarest, 1, RARE)["word"].alias("rare"), F.explode("hits").alias("hit"))
-    hits = hits.select("row", "hit.at", "hit.word", F.array_contains("rare", F.col("hit.word")).alias("rare"))
+    hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
     aligned = (
         hits.join(F.broadcast(posting_frame(spark, weight)), "word")
         .groupBy("row", "template", "label", "base", "total", "n_keys", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.sum("weight").alias("weight"), F.sum("key").alias("keys"), F.max("rare").alias("rare"))
+        .agg(F.sum("weight").alias("weight"), F.sum("key").alias("keys"))
         .withColumn("share", F.least(F.col("weight") / F.col("total"), F.lit(1.0)))
         .where(F.col("keys") == F.col("n_keys"))
-        .where(F.col("base") | (F.col("rare") & (F.col("share") >= SHARE)))
+        .where(F.col("base") | (F.col("share") >= SHARE))
         .withColumn("share", F.when(F.col("base"), 1.0).otherwise(F.col("share")))
     )
     base = F.col("base")

@@ -61,3 +61,14 @@ def test_no_python_in_the_plan(odd_docs, no_docs):
     plan = licenses.scan_licenses(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
     assert licenses.scan_licenses(no_docs).collect() == []
+
+
+def test_one_file_with_all_templates(spark):
+    text = f" {prose(3, 20)} ".join(wording for _, wording, _ in licenses.TEMPLATES)
+    rows = [(1, text, "en", "a", None), (2, prose(4, 50), "en", "a", None)]
+    rows += [(10 + i, wording, "en", "a", None) for i, (_, wording, _) in enumerate(licenses.TEMPLATES)]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1]["labels"] == ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
+    assert found[2]["labels"] == ""
+    for i, (label, *_) in enumerate(licenses.TEMPLATES):
+        assert label in found[10 + i]["labels"].split(",")
