@@ -65,6 +65,15 @@ class Staged:
                 staged._delete(staged.folder)
 
 
+ROW = "llm_row"
+
+
+def numbered(docs: DataFrame, staged: Staged) -> DataFrame:
+    """`docs` with a number of each row as ROW, written, so that each later read finds the
+    same numbers."""
+    return staged.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(name).to_pylist() for name in names), strict=True)
 

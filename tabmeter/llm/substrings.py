@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import Staged, shuffle_parts
+from tabmeter.llm.common import ROW, Staged, numbered, shuffle_parts
 
 LENGTH = 100
 GRAM = 16  # bytes under the rolling hash
@@ -30,7 +30,7 @@ PIECE = 1 << 16  # texts are parsed in pieces of so many window starts
 CHUNK = 1 << 18  # pieces are parsed together up to so many bytes
 BLOCK = 16  # chunks whose phrases are packed together
 HOT = 1024  # from so many phrases of one core on, each window is dealt out by itself
-LAST = np.iinfo(np.int64).max  # where documents without an id stand in the order
+LAST = np.iinfo(np.int64).max  # where rows without an id stand in the order
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -114,23 +114,23 @@ def parse(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
 
 
 def pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(buffer, starts, ends, doc, offset) of the batch's texts, cut so that every window
+    """(buffer, starts, ends, doc, row, offset) of the batch's texts, cut so that every window
     lies in exactly one piece."""
-    docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    held: list[tuple[bytes, int, int]] = []
+    docs, numbers = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc", "row"))
+    held: list[tuple[bytes, int, int, int]] = []
     size = 0
 
     def close() -> tuple[np.ndarray, ...]:
         buffer = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
         ends = np.cumsum([len(x[0]) for x in held])
         starts = np.concatenate([[0], ends[:-1]])
-        return buffer, starts, ends, np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held])
+        return buffer, starts, ends, *(np.array([x[i] for x in held], np.int64) for i in (1, 2, 3))
 
-    for doc, value in zip(docs, batch.column("data"), strict=True):
+    for doc, row, value in zip(docs, numbers, batch.column("data"), strict=True):
         data = value.as_py() or b""
         for at in range(0, max(0, len(data) - length + 1), PIECE):
             piece = data[at : at + PIECE + length - 1]
-            held.append((piece, doc, at))
+            held.append((piece, doc, row, at))
             size += len(piece)
             if size >= CHUNK:
                 yield close()
@@ -139,8 +139,9 @@ def pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...
         yield close()
 
 
-BLOBS = {"core": np.uint64, "phrase": np.uint64, "doc": np.int64, "lo": np.int64, "n": np.uint16}
-ENTRIES = "bucket int, core binary, phrase binary, doc binary, lo binary, n binary"
+BLOBS = {"core": np.uint64, "phrase": np.uint64, "doc": np.int64, "row": np.int64, "lo": np.int64, "n": np.uint16}
+PLACE = ("lo", "row", "doc", "phrase", "core")  # sort keys, the last one first
+ENTRIES = "bucket int, core binary, phrase binary, doc binary, row binary, lo binary, n binary"
 
 
 def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -167,16 +168,16 @@ def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in (x for batch in batches for x in blocks(pieces(batch, length))):
             parts = []
-            for buffer, starts, ends, doc, offset in block:
+            for buffer, starts, ends, doc, number, offset in block:
                 owner, lo, n, core, phrase = parse(buffer, starts, ends, length)
-                parts.append((core, phrase, doc[owner], lo - starts[owner] + offset[owner], n))
+                parts.append((core, phrase, doc[owner], number[owner], lo - starts[owner] + offset[owner], n))
             columns = dict(zip(BLOBS, map(np.concatenate, zip(*parts, strict=True)), strict=True))
             bucket = (columns["core"] % np.uint64(buckets)).astype(np.int64)
             same = columns["core"] ^ (columns["phrase"] * np.uint64(BASES[0]))
             order = np.argsort(same)
             twin = np.diff(same[order]) == 0
             many = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-            many = many[np.lexsort([columns[x][many] for x in ("lo", "doc", "phrase", "core")])]
+            many = many[np.lexsort([columns[x][many] for x in PLACE])]
             late = repeats(columns, many)
             bucket[late] = buckets + columns["core"][late] % np.uint64(buckets)
             if len(bucket):
@@ -189,14 +190,14 @@ def repeats(columns: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
     """Of the sorted places, those with the same phrase at an earlier place."""
     if not len(order):
         return order
-    core, phrase, doc, lo = (columns[x][order] for x in ("core", "phrase", "doc", "lo"))
+    core, phrase, row, lo = (columns[x][order] for x in ("core", "phrase", "row", "lo"))
     new = np.concatenate([[True], (np.diff(core) != 0) | (np.diff(phrase) != 0)])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order[(doc != doc[head]) | (lo != lo[head])]
+    return order[(row != row[head]) | (lo != lo[head])]
 
 
 def dictionary(packed: DataFrame, buckets: int) -> DataFrame:
-    """(doc, lo, n, core, phrase, hot): settled places, whose windows all have an earlier copy
+    """(doc, row, lo, n, core, hot): settled places, whose windows all have an earlier copy
     (core is null), and the first places of phrases that share a core with other phrases."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -210,7 +211,7 @@ def dictionary(packed: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(columns["core"])
             twin = np.diff(columns["core"][order]) == 0
             many = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-            many = many[np.lexsort([columns[x][many] for x in ("lo", "doc", "phrase", "core")])]
+            many = many[np.lexsort([columns[x][many] for x in PLACE])]
             late = repeats(columns, many)
             new = np.ones(len(many), bool)
             core, phrase = columns["core"][many], columns["phrase"][many]
@@ -224,47 +225,42 @@ def dictionary(packed: DataFrame, buckets: int) -> DataFrame:
         return pa.table(
             {
                 "doc": columns["doc"][rows],
+                "row": columns["row"][rows],
                 "lo": columns["lo"][rows],
                 "n": columns["n"][rows].astype(np.int32),
                 "core": pa.array(core, mask=np.arange(len(rows)) < len(late)),
-                "phrase": columns["phrase"].view(np.int64)[rows],
                 "hot": np.concatenate([np.zeros(len(late), bool), hot]),
             }
         )
 
     return packed.groupBy("bucket").applyInArrow(
-        run, "doc bigint, lo bigint, n int, core bigint, phrase bigint, hot boolean"
+        run, "doc bigint, row bigint, lo bigint, n int, core bigint, hot boolean"
     )
 
 
 def phrase_texts(data: DataFrame, marks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, doc, lo, n, phrase, data): the bytes of the phrases whose suffixes are to be
+    """(bucket, doc, row, lo, n, data): the bytes of the phrases whose suffixes are to be
     sorted.
 
     Phrases with the same core meet in one bucket. Where a core has very many, their
-    windows go each to the bucket of its own hash. The phrase's hash goes along, as rows that
-    share a doc_id may differ in their texts."""
-    span = F.struct("lo", "n", "core", "phrase", "hot")
-    wanted = marks.where("core IS NOT NULL").groupBy("doc").agg(F.collect_list(span).alias("spans"))
-    joined = data.join(wanted, data.doc_id == wanted.doc).select("doc_id", "data", "spans")
+    windows go each to the bucket of its own hash."""
+    span = F.struct("lo", "n", "core", "hot")
+    wanted = marks.where("core IS NOT NULL").groupBy("row").agg(F.collect_list(span).alias("spans"))
+    joined = data.join(wanted, "row").select("doc", "row", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, value, spans in zip(*(batch.column(x) for x in ("doc_id", "data", "spans")), strict=True):
-                doc, view = doc.as_py(), memoryview(value.as_py())
-                for lo, n, core, phrase, hot in {tuple(x.values()) for x in spans.as_py()}:
+            for doc, row, value, spans in zip(*(batch.column(x) for x in ("doc", "row", "data", "spans")), strict=True):
+                doc, row, view = doc.as_py(), row.as_py(), memoryview(value.as_py())
+                for lo, n, core, hot in (x.values() for x in spans.as_py()):
                     own = bytes(view[lo : lo + n - 1 + length])
-                    if len(own) < n - 1 + length:
-                        continue
                     if not hot:
-                        rows.append(((core % (1 << 64)) % buckets, doc, lo, n, phrase, own))
-                    elif whole_hash(own) == phrase:
-                        one, two = (Rolling(np.frombuffer(own, np.uint8), base).grams(length) for base in BASES)
-                        deal = (one % np.uint64(buckets)).tolist()
-                        windows = zip(deal, two.view(np.int64).tolist(), strict=True)
-                        rows += [(b, doc, lo + i, 1, h, own[i : i + length]) for i, (b, h) in enumerate(windows)]
+                        rows.append(((core % (1 << 64)) % buckets, doc, row, lo, n, own))
+                    else:
+                        deal = Rolling(np.frombuffer(own, np.uint8), BASES[0]).grams(length) % np.uint64(buckets)
+                        rows += [(b, doc, row, lo + i, 1, own[i : i + length]) for i, b in enumerate(deal.tolist())]
                     size += n + length
                 if size > CHUNK:
                     yield frame(rows)
@@ -273,69 +269,65 @@ def phrase_texts(data: DataFrame, marks: DataFrame, length: int, buckets: int) -
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["bucket", "doc", "lo", "n", "phrase", "data"])
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "doc", "row", "lo", "n", "data"])
 
-    return joined.mapInArrow(run, "bucket int, doc bigint, lo bigint, n int, phrase bigint, data binary")
-
-
-def whole_hash(data: bytes) -> int:
-    """The hash of a phrase, as a signed number."""
-    buffer = np.frombuffer(data, np.uint8)
-    return int(Rolling(buffer, BASES[1]).of(np.array([0]), np.array([len(buffer)])).view(np.int64)[0])
+    return joined.mapInArrow(run, "bucket int, doc bigint, row bigint, lo bigint, n int, data binary")
 
 
 def suffix_order(phrases: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, n): runs of windows that also start at an earlier place.
+    """(row, lo, n): runs of windows that also start at an earlier place.
 
     All suffixes of a bucket's phrases are sorted by 128 bits of hash of their first `length`
     bytes, and equal ones by their place: only equality matters, not the alphabet."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         buffer = np.frombuffer(b"".join(x.as_py() for x in table.column("data")), np.uint8)
-        doc, lo, n = (table.column(x).to_numpy() for x in ("doc", "lo", "n"))
+        doc, number, lo, n = (table.column(x).to_numpy() for x in ("doc", "row", "lo", "n"))
         sizes = n.astype(np.int64) + length - 1
-        first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes)
-        two = Rolling(buffer, BASES[1])
-        n = np.where(two.of(first, last).view(np.int64) == table.column("phrase").to_numpy(), n, 0)
+        first = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(first, n) + inside
         columns = {
             "core": Rolling(buffer, BASES[0]).of(at, at + length),
-            "phrase": two.of(at, at + length),
+            "phrase": Rolling(buffer, BASES[1]).of(at, at + length),
             "doc": doc[row],
+            "row": number[row],
             "lo": lo[row] + inside,
         }
         order = np.argsort(columns["core"])
         twin = np.diff(columns["core"][order]) == 0
         many = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
-        many = many[np.lexsort([columns[x][many] for x in ("lo", "doc", "phrase", "core")])]
+        many = many[np.lexsort([columns[x][many] for x in PLACE])]
         late = np.sort(repeats(columns, many))
         # windows of a phrase that follow each other make one run
         new = np.ones(len(late), bool)
         new[1:] = (np.diff(late) != 1) | (np.diff(row[late]) != 0)
         opens = np.flatnonzero(new)
         count = np.diff(np.concatenate([opens, [len(late)]]))
-        return pa.table({"doc": columns["doc"][late[opens]], "lo": columns["lo"][late[opens]], "n": count.astype(np.int32)})
+        return pa.table({"row": columns["row"][late[opens]], "lo": columns["lo"][late[opens]], "n": count.astype(np.int32)})
 
-    return phrases.groupBy("bucket").applyInArrow(run, "doc bigint, lo bigint, n int")
+    return phrases.groupBy("bucket").applyInArrow(run, "row bigint, lo bigint, n int")
 
 
-def repeated_spans(docs: DataFrame, staged: Staged, length: int = LENGTH) -> DataFrame:
-    """(doc, lo, n): windows of `length` bytes starting at lo .. lo + n - 1 of document
-    `doc` that also start at an earlier place of the corpus. Null ids are read as the last."""
-    data = with_bytes(docs)
-    buckets = 8 * shuffle_parts(docs.sparkSession)
+def repeated_spans(rows: DataFrame, staged: Staged, length: int = LENGTH) -> DataFrame:
+    """(row, lo, n): windows of `length` bytes starting at lo .. lo + n - 1 of a numbered row
+    that also start at an earlier place of the corpus. Rows without an id come last, rows of
+    one id in the order of their numbers."""
+    data = with_bytes(rows)
+    buckets = 8 * shuffle_parts(rows.sparkSession)
     marks = staged.write(dictionary(entries(data, length, buckets), buckets), "marks")
     found = staged.write(suffix_order(phrase_texts(data, marks, length, buckets), length), "runs")
-    return marks.where("core IS NULL").select("doc", "lo", "n").unionAll(found)
+    return marks.where("core IS NULL").select("row", "lo", "n").unionAll(found)
 
 
-def with_bytes(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")
+def with_bytes(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"),
+        F.col(ROW).alias("row"),
+        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"),
     )
 
 
@@ -354,21 +346,21 @@ def cut(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int,
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     staged = Staged(docs.sparkSession)
-    spans = repeated_spans(docs, staged, length)
-    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("llm_spans"))
-    key = F.coalesce(docs["doc_id"], F.lit(int(LAST)))
-    return docs.join(lists, key == lists["doc"], "left").drop(lists["doc"])
+    rows = numbered(docs, staged)
+    spans = repeated_spans(rows, staged, length)
+    lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("llm_spans"))
+    return rows.join(lists, rows[ROW] == lists["row"], "left").drop(lists["row"])
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of `docs` (doc_id, text).
 
-    A byte goes if a string of `length` bytes around it also starts earlier: in a document
-    of smaller doc_id, or earlier in the same one; strings may overlap and never cross
-    documents. Null texts are empty, as are empty ones: nothing goes. Rows that share a
-    doc_id are the same document: a string at the same place is no earlier copy, and what
-    goes from one goes from all. Documents without an id are one such document, the last.
-    An empty table gives an empty result; other columns are not read.
+    A byte goes if a string of `length` bytes around it also starts earlier: in a row of
+    smaller doc_id, in an earlier row of the same one, or earlier in the same row; strings
+    may overlap and never cross rows. Null texts are empty, as are empty ones: nothing goes.
+    Rows that share a doc_id are texts of their own, in the order of the numbers they are
+    written with; rows without an id come last, in that order too. An empty table gives an
+    empty result; other columns are not read.
     """
     joined = _with_spans(docs.select("doc_id", "text"), length)
 

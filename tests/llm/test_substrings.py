@@ -87,3 +87,17 @@ def test_stage_keeps_rows_and_whole_characters(spark, odd_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert texts[1] is None and texts[2] == "" and texts[4] == "é"
     assert substrings.removal_report(no_docs).collect() == [] == substrings.without_repeats(no_docs).collect()
+
+
+def test_each_row_is_cut_by_its_own_spans(spark):
+    """Null and shared ids: clean rows stay whole, and copies at equal places go."""
+    seen, clean, other, twin = (prose(i, 60) for i in (71, 72, 73, 74))
+    rows = [(1, seen), (2, other), (2, seen[:250]), (2, other), (None, seen[40:300]), (None, clean), (None, twin), (None, twin)]
+    rows += [(None, None), (2, None), (None, prose(75, 20) + clean[:150])]
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], SCHEMA).coalesce(1)
+    ranked = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    whole = {rank: r for rank, *r in brute([(rank, rows[i][1]) for rank, i in enumerate(ranked)])}
+    wanted = [(rows[i][0], *whole[rank]) for rank, i in enumerate(ranked)]
+    assert report(frame) == sorted(wanted, key=str)
+    texts = [r["text"] for r in substrings.without_repeats(frame).collect() if r["doc_id"] is None]
+    assert clean in texts and texts.count(twin) == 1 and texts.count("") == 2
