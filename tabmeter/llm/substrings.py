@@ -29,6 +29,7 @@ REACH = 10  # a trigger is the minimum of this many hashes on either side
 PIECE = 1 << 16  # texts are parsed in pieces of so many window starts
 CHUNK = 1 << 18  # pieces are parsed together up to so many bytes
 BLOCK = 16  # chunks whose phrases are packed together
+RUN = 1 << 15  # settled windows that follow each other make one run up to so many places
 HOT = 1024  # from so many phrases of one core on, each window is dealt out by itself
 LAST = np.iinfo(np.int64).max  # where rows without an id stand in the order
 
@@ -148,7 +149,8 @@ def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
     """The phrases of all texts, packed by bucket of their core.
 
     A phrase that a block of texts holds more than once goes to its bucket once; its later places
-    are settled already and go to the buckets from `buckets` on, which no core shares.
+    are settled already. Those that follow each other become one run, which goes to one of the
+    buckets from `buckets` on by its row, as settled places need not meet.
     """
 
     def packed(columns: dict[str, np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
@@ -179,13 +181,30 @@ def entries(data: DataFrame, length: int, buckets: int) -> DataFrame:
             many = order[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]
             many = many[np.lexsort([columns[x][many] for x in PLACE])]
             late = repeats(columns, many)
-            bucket[late] = buckets + columns["core"][late] % np.uint64(buckets)
+            bucket[late] = buckets + columns["row"][late] % buckets
+            alone = merged(columns, late)
+            columns, bucket = {name: values[alone] for name, values in columns.items()}, bucket[alone]
             if len(bucket):
                 yield packed(columns, bucket)
 
     return data.mapInArrow(run, ENTRIES)
 
 
+def merged(columns: dict[str, np.ndarray], late: np.ndarray) -> np.ndarray:
+    """Which places stay once settled ones that follow each other are merged into the first,
+    whose n is then that of the run."""
+    alone = np.ones(len(columns["lo"]), bool)
+    if len(late):
+        late = late[np.lexsort([columns["lo"][late], columns["row"][late]])]
+        row, lo, n = (columns[x][late] for x in ("row", "lo", "n"))
+        ends, new = lo + n, np.ones(len(late), bool)
+        new[1:] = (np.diff(row) != 0) | (lo[1:] != ends[:-1]) | (np.diff(lo // RUN) != 0)
+        opens = np.flatnonzero(new)
+        columns["n"][late[opens]] = ends[np.append(opens[1:], len(late)) - 1] - lo[opens]
+        alone[late[~new]] = False
+    return alone
+
+
 def repeats(columns: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
     """Of the sorted places, those with the same phrase at an earlier place."""
     if not len(order):

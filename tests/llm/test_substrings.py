@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tabmeter.llm import substrings
+from tabmeter.llm.common import Staged, numbered
 from llm_cases import SCHEMA, identity, prose
 
 
@@ -101,3 +102,14 @@ def test_each_row_is_cut_by_its_own_spans(spark):
     assert report(frame) == sorted(wanted, key=str)
     texts = [r["text"] for r in substrings.without_repeats(frame).collect() if r["doc_id"] is None]
     assert clean in texts and texts.count(twin) == 1 and texts.count("") == 2
+
+
+def test_settled_places_are_runs_dealt_by_row(spark):
+    rows = [(1, "x" * 120_000)] + [(i, prose(5, 40)) for i in range(2, 18)]
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], SCHEMA).coalesce(1)
+    data = substrings.with_bytes(numbered(frame, Staged(spark)))
+    settled = [r for r in substrings.entries(data, 100, 8).collect() if r["bucket"] >= 8]
+    n = {r["bucket"]: np.frombuffer(r["n"], np.uint16) for r in settled if 1 in np.frombuffer(r["doc"], np.int64)}
+    assert sum(len(x) for x in n.values()) < 10 and sum(int(x.sum()) for x in n.values()) > 119_000
+    assert len({r["bucket"] for r in settled}) == 8
+    assert report(frame) == brute(rows)
