@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near copies the document with the smallest id stays."""
+    """Operator 7: of each group of near copies the row with the smallest id stays."""
     return simhash.keep_one(docs)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import Staged, rows_of
+from tabmeter.llm.common import ROW, Staged, numbered, rows_of
 from tabmeter.llm.components import connected_components
 
 SEED = 42
@@ -200,12 +200,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = 2) -> Dat
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, all columns kept.
-
-    Of rows that repeat a doc_id one stays; rows without a doc_id have nothing that names
-    them and stay."""
-    groups = near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("llm_keep_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["llm_keep_id"], "left_semi")
-    ranked = kept.dropDuplicates(["doc_id"])
-    return ranked.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies, all columns kept.
+
+    Rows are grouped each by its own text, whatever their ids. The smallest doc_id stays; of
+    rows that share it the smallest hash of the text, then the smallest row number. Rows
+    without an id come last. Rows with neither an id nor a word all stay."""
+    staged = Staged(docs.sparkSession)
+    rows = numbered(docs, staged)
+    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias(ROW), "fingerprint", "component_id")
+    places = rows.select(ROW, "doc_id", F.xxhash64("text").alias("llm_hash"))
+    members = staged.write(named.join(places, ROW), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "llm_hash", ROW)
+    first = members.groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{ROW}")
+    blank = members.where(F.col("doc_id").isNull() & (F.col("fingerprint") == "0" * (BITS // 4))).select(ROW)
+    return rows.join(first.unionAll(blank), ROW, "left_semi").select(*docs.columns)

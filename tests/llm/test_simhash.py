@@ -91,3 +91,15 @@ def test_one_of_each_group_stays_and_empty_tables_pass(spark, odd_docs, no_docs)
     assert ids.count(None) == 2 and ids.count(7) == 1 and ids.count(1) == 1 and ids.count(2) == 0 and ids.count(100) == 1
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.keep_one(no_docs).collect() == []
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    one, two, three, four = (prose(i, 50) for i in (21, 22, 23, 24))
+    rows = [(1, one), (1, two), (None, one), (None, three), (None, three), (None, three), (5, four), (3, four), (3, four)]
+    for parts in (1, 4):
+        frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], SCHEMA).repartition(parts)
+        kept = simhash.keep_one(frame)
+        assert kept.schema == frame.schema
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+            [(1, one), (1, two), (None, three), (3, four)], key=str
+        )
