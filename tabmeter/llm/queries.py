@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import chat, covertree, licenses, linecrf, packing, preference, simhash, sql, substrings, unigram, wordbpe
+from tabmeter.llm import bisector, chat, covertree, licenses, linecrf, packing, preference, simhash, sql, substrings, unigram, vectorcodes, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,14 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": _table("documents", simhash.near_duplicates),
     "op9_licenses": _table("documents", licenses.scan_licenses),
     "op10_unigram": _table("documents", unigram.predict_languages),
+    "op11_vector_codes": _table("embeddings", vectorcodes.compression_report),
+    "op12_bisector": _table("embeddings", bisector.cluster_vectors),
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": sql.CHAT, "op3_covertree": sql.VECTORS}
+ORACLES: dict[str, str] = {"op1_chat": sql.CHAT, "op3_covertree": sql.VECTORS} | {
+    "op11_vector_codes": sql.CODED,
+    "op12_bisector": sql.CLUSTERED,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tabmeter.llm import bisector, vectorcodes
 from tabmeter.llm.chat import BUDGET, CLOSE, HISTORY_TOKENS, OPEN, TURN_TOKENS
 from tabmeter.llm.covertree import COSINE
 
@@ -74,3 +75,89 @@ SELECT vec_id,
     vec_id <= coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS kept
 FROM given
 """
+
+
+def _sound(scale: int, width: str) -> str:
+    """Kept vectors as rows (rid, vec_id, label, place, x) of integers, places from 0."""
+    return f"""
+given AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, embedding AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND {width}
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS MATERIALIZED (
+    SELECT rid, i AS place, CAST(floor({scale} * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS x
+    FROM (SELECT rid, e, unnest(range(len(e))) AS i FROM given)
+)"""
+
+
+FLOOR = "CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _clusters() -> str:
+    steps = [
+        _sound(bisector.SCALE, f"len(embedding) = {bisector.DIMENSIONS}"),
+        f"""c0 AS MATERIALIZED (
+    SELECT cluster, place, x AS c FROM cells JOIN (
+        SELECT rid, row_number() OVER (ORDER BY sha256('{bisector.SEED}:' || vec_id)) - 1 AS cluster FROM given
+    ) USING (rid) WHERE cluster < {bisector.CLUSTERS}
+)""",
+    ]
+    for i in range(1, bisector.ROUNDS + 2):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, cluster, distance FROM (
+        SELECT rid, cluster, sum((x - c) * (x - c)) AS distance FROM cells JOIN c{i - 1} USING (place) GROUP BY rid, cluster
+    ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1
+)""")
+        steps.append(f"""c{i} AS MATERIALIZED (
+    SELECT cluster, place, coalesce(m, c) AS c FROM c{i - 1} LEFT JOIN (
+        SELECT cluster, place, {FLOOR} AS m FROM a{i} JOIN cells USING (rid) GROUP BY cluster, place
+    ) USING (cluster, place)
+)""")
+    last = bisector.ROUNDS + 1
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+    CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{last} JOIN given USING (rid) JOIN (
+    SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY place)) AS centroid_sha256
+    FROM c{last - 1} GROUP BY cluster
+) USING (cluster)
+"""
+
+
+def _codes() -> str:
+    parts, entries = vectorcodes.PARTS, vectorcodes.ENTRIES
+    steps = [
+        _sound(vectorcodes.SCALE, f"len(embedding) > 0 AND len(embedding) % {parts} = 0"),
+        f"""split AS MATERIALIZED (
+    SELECT rid, place // (len(e) // {parts}) AS part, place % (len(e) // {parts}) AS place, x
+    FROM cells JOIN given USING (rid)
+)""",
+        f"c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, place, x AS c FROM split WHERE rid <= {entries})",
+    ]
+    for i in range(1, vectorcodes.ROUNDS + 2):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT rid, part, entry, distance FROM (
+        SELECT rid, part, entry, sum((x - c) * (x - c)) AS distance
+        FROM split JOIN c{i - 1} USING (part, place) GROUP BY rid, part, entry
+    ) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY distance, entry) = 1
+)""")
+        steps.append(f"""c{i} AS MATERIALIZED (
+    SELECT part, entry, place, coalesce(m, c) AS c FROM c{i - 1} LEFT JOIN (
+        SELECT part, entry, place, {FLOOR} AS m FROM a{i} JOIN split USING (rid, part) GROUP BY part, entry, place
+    ) USING (part, entry, place)
+)""")
+    last = vectorcodes.ROUNDS + 1
+    return "WITH " + ", ".join(steps) + f""", coded AS (
+    SELECT rid, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, sum(distance) AS error
+    FROM a{last} GROUP BY rid
+)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error,
+    CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM c{last - 1}) AS codebooks_sha256
+FROM coded JOIN given USING (rid)
+"""
+
+
+CLUSTERED = _clusters()
+CODED = _codes()
