@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tabmeter.llm import bisector, chat, covertree, licenses, linecrf, packing, preference, simhash, sql, substrings, unigram, vectorcodes, wordbpe
+from tabmeter.llm import bisector, chat, covertree, debruijn, licenses, linecrf, packing, preference, simhash, sql, substrings, unigram, vectorcodes, wordbpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +34,14 @@ QUERIES: dict[str, Query] = {
     "op10_unigram": _table("documents", unigram.predict_languages),
     "op11_vector_codes": _table("embeddings", vectorcodes.compression_report),
     "op12_bisector": _table("embeddings", bisector.cluster_vectors),
+    "op13_debruijn": _table("documents", debruijn.removal_report),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": sql.CHAT, "op3_covertree": sql.VECTORS} | {
     "op11_vector_codes": sql.CODED,
     "op12_bisector": sql.CLUSTERED,
+    "op13_debruijn": sql.PASSAGES,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabmeter.llm import bisector, vectorcodes
+from tabmeter.llm import bisector, debruijn, vectorcodes
 from tabmeter.llm.chat import BUDGET, CLOSE, HISTORY_TOKENS, OPEN, TURN_TOKENS
 from tabmeter.llm.covertree import COSINE
 
@@ -161,3 +161,33 @@ FROM coded JOIN given USING (rid)
 
 CLUSTERED = _clusters()
 CODED = _codes()
+
+
+WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
+
+LEADS = ", ".join(f"lead(word, {i}) OVER w" for i in range(1, debruijn.LENGTH))
+
+PASSAGES = f"""
+WITH given AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words FROM documents
+), placed AS MATERIALIZED (
+    SELECT rid, doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM given
+), windows AS MATERIALIZED (
+    SELECT rid, doc_id, i, lead(i, {debruijn.LENGTH - 1}) OVER w AS last, md5(concat_ws(' ', word, {LEADS})) AS edge
+    FROM placed WINDOW w AS (PARTITION BY rid ORDER BY i)
+), first AS (
+    SELECT edge, min(doc_id) AS doc_id FROM windows WHERE last IS NOT NULL GROUP BY edge
+), late AS MATERIALIZED (
+    SELECT rid, i FROM windows w JOIN first f USING (edge)
+    WHERE last IS NOT NULL AND coalesce(w.doc_id > f.doc_id, f.doc_id IS NOT NULL)
+), marked AS (
+    SELECT rid, word, i, max(l.i) OVER (PARTITION BY rid ORDER BY p.i) AS window_before
+    FROM placed p LEFT JOIN late l USING (rid, i)
+), kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+    FROM marked WHERE coalesce(i - window_before, {debruijn.LENGTH}) >= {debruijn.LENGTH} GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM given LEFT JOIN kept USING (rid)
+"""

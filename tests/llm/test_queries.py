@@ -14,10 +14,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_chat", "op3_covertree", "op11_vector_codes", "op12_bisector"])
+@pytest.mark.parametrize("name", ["op1_chat", "op3_covertree", "op11_vector_codes", "op12_bisector", "op13_debruijn"])
 def test_query_matches_its_oracle(spark, name):
     assert compare(spark, duck(SF_DIR), name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
 
