@@ -6,14 +6,15 @@ smallest hash of four words, the core. Equal windows have equal cores, so only p
 a core that several documents hold matter, and a phrase that is alone with its core is a
 path of edges that nothing else holds. Phrases that share a core with others are opened into
 single edges. Edges and paths that stand in two documents or more are the repeated pieces of
-the graph. Pieces that meet in a node where one piece ends and one begins are joined: first
-those that follow each other in their source document, by place, then the remaining ones by
-joins that double the distance to the head of a path each time. Places of a phrase map to
-pieces, pieces to paths and to the document they come from first; a span of a later document
-that lies on a path goes.
-
-Pieces are compared by hashes of the words' bytes at their source places together with their
-core. A path may pass a node inside a phrase at which another path ends or begins.
+the graph. Windows of a phrase that follow each other and stand first in the same other phrase make one
+part; the windows that a phrase owns itself are the pieces that make up the graph. Pieces
+that meet in a node where one piece ends and one begins are joined: first those that follow
+each other in their source document, by place, then the remaining ones by joins that double
+the distance to the head of a path each time. Parts map to pieces, pieces to paths and to the
+document they come from; a span of a later document that lies on a path goes.
+
+Phrases and edges are compared by a hash of their words at their own places together with
+their core, 128 bits in all. A path may pass a node inside a phrase at which another path ends or begins.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,6 +39,7 @@ BLOCK = 1 << 22  # words among whose phrases copies are settled before any shuff
 SAMPLE_DOCS = 4096  # documents drawn to find cores that very many share
 HOT_SHARE = 0.01  # of the drawn documents
 HOT_CORES = 10_000
+SALTS = 32  # tasks that share the phrases of a hot core
 LAST = np.iinfo(np.int64).max  # where rows without an id stand in the order
 BLANK = re.compile(rb"[ \t-\r]")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -58,34 +61,46 @@ def word_chunks(data: bytes, overlap: int) -> Iterator[tuple[int, list[bytes]]]:
         first, at = first + len(words) - len(carry), end
 
 
-class Joined:
-    """Words joined by blanks, and hashes of stretches of them."""
+_POWERS: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
-    def __init__(self, words: list[bytes]) -> None:
-        self.data = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.starts = self.ends - sizes
 
-    def hashes(self, first: np.ndarray, count: np.ndarray | int) -> np.ndarray:
-        data = memoryview(self.data)
-        ends = self.ends[first + count - 1].tolist()
-        found = (xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(self.starts[first].tolist(), ends, strict=True))
-        return np.fromiter(found, np.uint64, len(first)).view(np.int64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
+
 
+class Hashes:
+    """Hashes of any stretch of words, from prefix sums over the hashes of the words."""
 
-def phrases(words: list[bytes], ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(core, first window, windows) of the phrases of texts that end at the words `ends`."""
+    def __init__(self, words: list[bytes]) -> None:
+        n = len(words)
+        if len(_POWERS[0]) <= n:
+            for i, base in enumerate((int(BASE), pow(int(BASE), -1, 1 << 64))):
+                row = np.full(max(2 * n, 2 * CHUNK), base, np.uint64)
+                row[0] = 1
+                _POWERS[i] = np.multiply.accumulate(row)
+        single = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(single * _POWERS[0][:n], out=self.sums[1:])
+
+    def of(self, first: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+        return _mixed((self.sums[first + count] - self.sums[first]) * _POWERS[1][first])
+
+    def all(self, count: int) -> np.ndarray:
+        """Those of all stretches of one length."""
+        places = max(0, len(self.sums) - count)
+        return _mixed((self.sums[count:] - self.sums[:places]) * _POWERS[1][:places])
+
+
+def phrases(words: list[bytes], ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(core, phrase, first window, windows) of the phrases of texts that end at the words
+    `ends`; `phrase` is the hash of all words under it."""
     gram = min(GRAM, length)
     count, width = len(words) - length + 1, length - gram + 1
     if count <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    single = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    grams = single[: len(words) - gram + 1].copy()
-    for i in range(1, gram):
-        grams = grams * BASE + single[i : len(words) - gram + 1 + i]
-    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
-    grams ^= grams >> np.uint64(32)
+        return (np.empty(0, np.int64),) * 4
+    hashes = Hashes(words)
+    grams = hashes.all(gram)
     core, place = grams[:count].copy(), np.arange(count)
     for i in range(1, width):
         other = grams[i : i + count]
@@ -99,7 +114,25 @@ def phrases(words: list[bytes], ends: np.ndarray, length: int) -> tuple[np.ndarr
     first = np.flatnonzero(new)
     stops = np.flatnonzero(new | ~inside)
     after = np.append(stops, count)[np.searchsorted(stops, first, "right")]
-    return core[first].view(np.int64), first, after - first
+    phrase = hashes.of(first, after - first + length - 1)
+    return core[first].view(np.int64), phrase.view(np.int64), first, after - first
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Tidy(Staged):
+    """Staged tables whose shuffle files go as soon as a table is written: nothing reads them
+    again, and together they would be many times the input."""
+
+    def write(self, frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        conf = self.spark.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            return super().write(frame, name, compression)
+        finally:
+            conf.set(CLEANUP, before)
 
 
 COLUMNS = ("core", "phrase", "doc", "row", "lo")
@@ -114,10 +147,9 @@ def _parsed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[in
     def close() -> tuple[int, dict[str, np.ndarray]]:
         doc, row, base, ends = (np.array(x, np.int64) for x in zip(*owners, strict=True))
         starts = np.concatenate([[0], ends[:-1]])
-        core, first, n = phrases(words, ends, length)
+        core, phrase, first, n = phrases(words, ends, length)
         own = np.searchsorted(ends, first, "right")
         lo = first - starts[own] + base[own]
-        phrase = Joined(words).hashes(first, n + length - 1)
         return len(words), {"core": core, "phrase": phrase, "doc": doc[own], "row": row[own], "lo": lo, "n": n}
 
     for batch in batches:
@@ -218,55 +250,111 @@ def shared_places(found: DataFrame) -> DataFrame:
     return wide.where(free | F.col("several")).select(*found.columns, (free | F.col("mixed")).alias("mixed"))
 
 
-def pieces_of(texts: DataFrame, known: DataFrame, length: int) -> DataFrame:
-    """(core, phrase, i, piece, tail, head, doc, row, lo, n, hi): each phrase at its first place
-    as one piece, or as one piece a window if it is mixed; `tail` and `head` are the hashes of
+def opened_phrases(texts: DataFrame, known: DataFrame, length: int) -> DataFrame:
+    """(core, phrase, hot, i, edge, tail, head, doc, row, lo, n, hi): each phrase at its first
+    place as one row, or as one a window if it is mixed; `tail` and `head` are the hashes of
     its first and last node."""
-    fields = F.struct("lo", "n", "core", "phrase", "mixed", "hi")
+    fields = F.struct("lo", "n", "core", "phrase", "mixed", "hot", "hi")
     lists = known.groupBy("doc", "row").agg(F.sort_array(F.collect_list(fields)).alias("wanted"))
     joined = texts.join(lists, ["doc", "row"])
-    names = ["core", "phrase", "i", "piece", "tail", "head", "doc", "row", "lo", "n", "hi"]
+    names = ["core", "phrase", "hot", "i", "edge", "tail", "head", "doc", "row", "lo", "n", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            columns = (batch.column(x) for x in ("doc", "row", "data", "wanted"))
-            for doc, row, data, wanted in zip(*columns, strict=True):
-                flat = pa.StructArray.from_arrays(wanted.values.flatten(), fields=list(wanted.values.type))
-                asked = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            docs, rows = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc", "row"))
+            lists = batch.column("wanted")
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            asked = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+            asked |= {x: np.repeat(own, np.diff(ends, prepend=0)) for x, own in (("doc", docs), ("row", rows))}
+            held: list[bytes] = []
+            spots: list[tuple[int, int, int]] = []  # phrases from, to, place of word 0 in held
+            for number, data in enumerate(batch.column("data")):
+                if (docs[number], rows[number]) == last:  # equal rows follow each other
+                    continue
+                last = docs[number], rows[number]
+                begin = ends[number - 1] if number else 0
+                lo = asked["lo"][begin : ends[number]]
                 for base, words in word_chunks(data.as_py(), length - 1):
-                    from_, to = np.searchsorted(asked["lo"], [base, base + max(0, len(words) - length + 1)])
+                    from_, to = np.searchsorted(lo, [base, base + max(0, len(words) - length + 1)])
                     if from_ < to:
-                        own = {name: values[from_:to] for name, values in asked.items()}
-                        yield opened(Joined(words), own, base, doc.as_py(), row.as_py())
-
-    def opened(words: Joined, own: dict[str, np.ndarray], base: int, doc: int, row: int) -> pa.RecordBatch:
+                        spots.append((begin + from_, begin + to, len(held) - base))
+                        held += words
+                    if len(held) >= CHUNK:
+                        yield opened(held, spots, asked)
+                        held, spots = [], []
+            if spots:
+                yield opened(held, spots, asked)
+
+    def opened(held: list[bytes], spots: list[tuple[int, int, int]], asked: dict[str, np.ndarray]) -> pa.RecordBatch:
+        words, pick = Hashes(held), np.concatenate([np.arange(a, b) for a, b, _ in spots])
+        own = {name: values[pick] for name, values in asked.items()}
+        shift = np.repeat([x for _, _, x in spots], [b - a for a, b, _ in spots])
         mixed = own["mixed"].astype(bool)
         times = np.where(mixed, own["n"], 1)
         of = np.repeat(np.arange(len(times)), times)
         i = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         n = np.where(mixed, 1, own["n"])[of]
         lo = own["lo"][of] + i
-        piece = own["phrase"][of]
-        piece[mixed[of]] = words.hashes(lo[mixed[of]] - base, length)
-        tail, head = words.hashes(lo - base, length - 1), words.hashes(lo - base + n, length - 1)
-        same = np.zeros(len(of), np.int64)
-        kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 6 + [pa.int32(), pa.int64()]
-        arrays = [own["core"][of], own["phrase"][of], i, piece, tail, head, same + doc, same + row, lo, n, own["hi"][of]]
+        at, edge = lo + shift[of], own["phrase"][of]
+        edge[mixed[of]] = words.of(at[mixed[of]], length).view(np.int64)
+        tail, head = (words.of(x, length - 1).view(np.int64) for x in (at, at + n))
+        arrays = [own["core"][of], own["phrase"][of], own["hot"].astype(bool)[of], i, edge, tail, head]
+        arrays += [own["doc"][of], own["row"][of], lo, n, own["hi"][of]]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 6, pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x).cast(kind) for x, kind in zip(arrays, kinds, strict=True)], names)
 
     return joined.mapInArrow(
         run,
-        "core bigint, phrase bigint, i int, piece bigint, tail bigint, head bigint, doc bigint, row bigint, "
-        "lo bigint, n int, hi bigint",
+        "core bigint, phrase bigint, hot boolean, i int, edge bigint, tail bigint, head bigint, doc bigint, "
+        "row bigint, lo bigint, n int, hi bigint",
     )
 
 
-def repeated_pieces(opened: DataFrame) -> DataFrame:
-    """(core, piece, tail, head, doc, row, lo, n): the pieces that stand in two documents, each
-    at its first place."""
-    place = F.struct("doc", "row", "lo", "n", "tail", "head")
-    found = opened.groupBy("core", "piece").agg(F.min(place).alias("first"), F.max("hi").alias("hi"))
-    return found.where("first.doc < hi").select("core", "piece", "first.*")
+def parts_of(opened: DataFrame) -> DataFrame:
+    """(core, phrase, i, n, owner, at, doc, row, lo, tail, head): the windows of each phrase that
+    stand in two documents, as stretches that the phrase `owner` holds from its window `at` on
+    at the first place of all. Where a phrase is its own owner, doc, row and lo are that place.
+
+    All steps are by core, so rows are dealt out once. Only windows of hot cores, which very
+    many phrases may hold, are counted first and salted."""
+    place, same = F.struct("doc", "row", "lo", "phrase", "i"), ["core", "edge"]
+    most = opened.where(~F.col("hot")).repartition("core")
+    most = most.withColumns({x: f.over(Window.partitionBy(*same)) for x, f in (("source", F.min(place)), ("top", F.max("hi")))})
+    crowd = opened.where("hot").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    counted = crowd.groupBy(*same).agg(F.min(place).alias("source"), F.max("hi").alias("top"))
+    counted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    crowd = crowd.join(counted, [*same, "salt"])
+    return _stretches(most).unionByName(_stretches(crowd))
+
+
+def _stretches(sourced: DataFrame) -> DataFrame:
+    order = Window.partitionBy("core", "phrase").orderBy("i")
+
+    def before(value: Column) -> Column:
+        return F.lag(value).over(order)
+
+    ends, stops = F.col("i") + F.col("n"), F.col("source.i") + F.col("n")
+    follows = (
+        (before(ends) == F.col("i"))
+        & (before(F.col("source.phrase")) == F.col("source.phrase"))
+        & (before(stops) == F.col("source.i"))
+    )
+    # windows that stand in one document only are left out first, so they part stretches
+    repeated = sourced.where("source.doc < top").withColumn("opens", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+    numbered = repeated.withColumn("number", F.sum("opens").over(order))
+    return numbered.groupBy("core", "phrase", "number").agg(
+        F.min("i").alias("i"),
+        F.sum("n").alias("n"),
+        F.min("source.phrase").alias("owner"),
+        F.min("source.i").alias("at"),
+        F.min("source.doc").alias("doc"),
+        F.min("source.row").alias("row"),
+        F.min("source.lo").alias("lo"),
+        F.min_by("tail", "i").alias("tail"),
+        F.max_by("head", "i").alias("head"),
+    ).drop("number")
 
 
 def runs_of(pieces: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
@@ -333,28 +421,34 @@ def paths_of(runs: DataFrame, joints: DataFrame, staged: Staged) -> DataFrame:
 
 
 def repeated_paths(texts: DataFrame, found: DataFrame, staged: Staged, length: int) -> DataFrame:
-    """(core, phrase, parts): for each phrase its windows on repeated paths, as structs
-    (i, n, doc, path, at): n windows from window i on are those of `path` from `at` on, and
-    stand first in document `doc`."""
+    """(core, phrase, i, n, doc, path, at): windows i .. i + n - 1 of a phrase are those of `path`
+    from `at` on, and stand first in document `doc`."""
     first = F.min(F.struct("doc", "row", "lo", "n")).alias("first")
     known = found.where(F.col("kind") != LATE).groupBy("core", "phrase")
-    known = known.agg(first, F.max("doc").alias("hi"), F.max("mixed").alias("mixed"))
+    known = known.agg(first, F.max("doc").alias("hi"), F.max("mixed").alias("mixed"), F.max(F.col("kind") == HOT).alias("hot"))
     known = known.where(F.col("mixed") | (F.col("first.doc") < F.col("hi")))
-    opened = staged.write(pieces_of(texts, known.select("core", "phrase", "hi", "mixed", "first.*"), length), "opened")
-    pieces = staged.write(repeated_pieces(opened), "pieces")
+    known = known.select("core", "phrase", "hi", "mixed", "hot", "first.*")
+    opened = staged.write(opened_phrases(texts, known, length), "opened")
+    parts = staged.write(parts_of(opened), "parts")
+    staged.drop(opened)
+    pieces = parts.where("owner = phrase").select("core", "phrase", F.col("i").alias("begin"), "tail", "head", "doc", "row", "lo", "n")
     runs, joints = runs_of(pieces, staged)
     runs = staged.write(runs, "runs")
     paths = paths_of(runs, joints, staged)
     placed = runs.join(paths, "run", "left").select(
         "core",
-        "piece",
-        F.col("doc").alias("source"),
+        F.col("phrase").alias("owner"),
+        "begin",
+        F.col("n").alias("size"),
+        "doc",
         F.coalesce("path", "run").alias("path"),
-        (F.col("at") + F.coalesce("skip", F.lit(0))).alias("at"),
+        (F.col("at") + F.coalesce("skip", F.lit(0))).alias("offset"),
+    )
+    held = parts.select("core", "phrase", "i", "n", "owner", F.col("at").alias("inner")).join(placed, ["core", "owner"])
+    inside = (F.col("inner") >= F.col("begin")) & (F.col("inner") < F.col("begin") + F.col("size"))
+    return held.where(inside).select(
+        "core", "phrase", "i", "n", "doc", "path", (F.col("offset") + F.col("inner") - F.col("begin")).alias("at")
     )
-    placed = staged.write(placed, "placed")
-    parts = opened.join(placed, ["core", "piece"]).groupBy("core", "phrase")
-    return parts.agg(F.collect_set(F.struct("i", "n", F.col("source").alias("doc"), "path", "at")).alias("parts"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -368,15 +462,15 @@ def _texts(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, row, spans): the windows of each text that start in a smaller document too, as
     structs (lo, n): n windows from word lo on. `row` is a hash of doc_id and text."""
-    staged, texts = Staged(docs.sparkSession), _texts(docs)
+    staged, texts = Tidy(docs.sparkSession), _texts(docs)
     found = staged.write(shared_places(places(texts, length, hot_cores(texts, length))), "places")
-    parts = repeated_paths(texts, found, staged, length)
+    parts = staged.write(repeated_paths(texts, found, staged, length), "spans")
     open_, late = found.where(F.col("kind") != LATE), found.where(F.col("kind") == LATE)
-    mapped = open_.select("core", "phrase", F.col("doc").alias("own"), "row", F.col("lo").alias("start")).join(
-        parts.select("core", "phrase", F.explode("parts").alias("part")), ["core", "phrase"]
+    mapped = open_.select("core", "phrase", F.col("doc").alias("own"), "row", "lo").join(
+        parts.select("core", "phrase", "i", F.col("n").alias("size"), F.col("doc").alias("source")), ["core", "phrase"]
     )
-    gone = mapped.where("part.doc < own").select(
-        F.col("own").alias("doc"), "row", (F.col("start") + F.col("part.i")).alias("lo"), F.col("part.n").alias("n")
+    gone = mapped.where("source < own").select(
+        F.col("own").alias("doc"), "row", (F.col("lo") + F.col("i")).alias("lo"), F.col("size").cast("int").alias("n")
     )
     spans = gone.unionAll(late.select("doc", "row", "lo", "n"))
     return spans.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("lo", "n"))).alias("spans"))
@@ -391,11 +485,13 @@ def cut(data: bytes, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[str, i
     ends = ends[np.append(np.flatnonzero(new)[1:], len(lo)) - 1] if len(lo) else ends
     kept, total = [], 0
     for first, words in word_chunks(data, 0):
-        number = np.arange(first, first + len(words))
-        open_ = np.searchsorted(starts, number, "right") == np.searchsorted(ends, number, "right")
-        if part := b" ".join(compress(words, open_.tolist())):
-            kept.append(part)
         total = first + len(words)
+        if len(starts):
+            number = np.arange(first, total)
+            open_ = np.searchsorted(starts, number, "right") == np.searchsorted(ends, number, "right")
+            words = compress(words, open_.tolist())
+        if part := b" ".join(words):
+            kept.append(part)
     return b" ".join(kept).decode(), total, list(zip(starts.tolist(), (ends - starts).tolist(), strict=True))
 
 

@@ -107,7 +107,7 @@ def test_paths_are_whole(spark):
     texts = debruijn._texts(spark.createDataFrame(rows, "doc_id bigint, text string"))
     staged = Staged(spark)
     found = staged.write(debruijn.shared_places(debruijn.places(texts, 13, np.empty(0, np.int64))), "places")
-    parts = debruijn.repeated_paths(texts, found, staged, 13).select(F.explode("parts").alias("p")).select("p.*")
+    parts = debruijn.repeated_paths(texts, found, staged, 13)
     placed = parts.selectExpr("path", "explode(sequence(at, at + n - 1)) AS at", "doc").distinct().collect()
     assert len({r["path"] for r in placed}) == 1 and {r["doc"] for r in placed} == {1}
     assert sorted(r["at"] for r in placed) == list(range(len(passage.split()) - 12))
@@ -147,7 +147,7 @@ def test_phrases_cover_each_window_once(monkeypatch):
     for first, words in debruijn.word_chunks(data, 12):
         assert words == whole[first : first + len(words)]
         if len(words) >= 13:
-            _, lo, n = debruijn.phrases(words, np.array([len(words)]), 13)
+            _, _, lo, n = debruijn.phrases(words, np.array([len(words)]), 13)
             seen += [first + a + i for a, b in zip(lo.tolist(), n.tolist()) for i in range(b)]
     assert seen == list(range(len(whole) - 12))
 
