@@ -299,6 +299,22 @@ def _whole_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SKETCH = 400  # what a quantile sketch remembers; ranks are off by 2.3 / SKETCH at most
+
+
+def _median_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ranks of sketched medians are as near the middle as promised."""
+    items = table(spark, sf_dir, "lineitem")
+    found = {r["column"]: r["median"] for r in median_frame(items, accuracy=SKETCH).collect()}
+    rows = []
+    for name, middle in found.items():
+        value, n = F.col(name).cast("double"), F.count(name)
+        room = n * (2.3 / SKETCH)
+        near = (F.count_if(value < middle) <= n / 2 + room) & (F.count_if(value <= middle) >= n / 2 - room)
+        rows.append(F.struct(F.lit(name).alias("column"), n.alias("n"), near.alias("near")))
+    return items.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def _text_summary(frame: DataFrame) -> DataFrame:
     return frame.select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
 
@@ -312,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "skewness", "kurtosis"
     ),
     "median_profile": lambda s, d: median_frame(table(s, d, "lineitem")),
+    "median_sketches": _median_sketches,
     "skew_kurtosis": lambda s, d: numeric_stats(table(s, d, "events")).select(
         "column", (F.col("skewness") + 0.0).alias("skewness"), (F.col("kurtosis") + 0.0).alias("kurtosis")
     ),

@@ -454,6 +454,9 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             f"SELECT '{c}' AS \"column\", {nearest(f'median({c})', 4)} AS median FROM lineitem"
             for c in LINEITEM
         ),
+        "median_sketches": union(
+            f"SELECT '{c}' AS \"column\", count({c}) AS n, TRUE AS near FROM lineitem" for c in LINEITEM
+        ),
         "skew_kurtosis": union(
             f"SELECT '{c}' AS \"column\", round(skewness({c}), 4) + 0.0 AS skewness, round(kurtosis({c}), 4) + 0.0 AS kurtosis FROM events"
             for c in ("event_id", "user_id", "value")

@@ -7,7 +7,7 @@ import pytest
 from tabmeter import column_table, dataset_summary, profile
 from tabmeter.operators.correlation import correlation_matrix, is_wide
 from tabmeter.operators import median
-from tabmeter.operators.median import medians
+from tabmeter.operators.median import median_frame, medians
 from tabmeter.operators.profile import missing_map, numeric_stats, summary_frame, top_missing
 from tabmeter.operators.values import distinct_counts, sample_values, top_values
 
@@ -179,9 +179,9 @@ def test_top_values_limit_ranks_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("buckets", [2, 7, 4096])
-def test_medians_by_narrowing(spark, monkeypatch, buckets):
-    monkeypatch.setattr(median, "BUCKETS", buckets)
+@pytest.mark.parametrize("bits", [1, 5, 12])
+def test_medians_by_narrowing(spark, monkeypatch, bits):
+    monkeypatch.setattr(median, "BITS", bits)
     rng = np.random.default_rng(11)
     n = 3000
     pdf = pd.DataFrame(
@@ -199,6 +199,44 @@ def test_medians_by_narrowing(spark, monkeypatch, buckets):
         assert found[name] == pytest.approx(pdf[name].median(), abs=1e-12), name
 
 
+def test_doubles_keep_their_order_as_integers():
+    values = [-np.inf, -1e300, -2.0, -1e-300, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.5, 2.0, 1e300, np.inf]
+    found = median.ordered(np.array(values))
+    assert (np.diff(found) > 0).all()
+    assert [median.unordered(int(x)) for x in found] == values
+
+
+def test_six_passes_are_enough_for_any_shape(spark, monkeypatch):
+    passes, count = [], median.count_ranges
+    monkeypatch.setattr(median, "count_ranges", lambda *a: passes.append(1) or count(*a))
+    rng = np.random.default_rng(5)
+    exponents = rng.uniform(-300, 300, 4001)
+    close = 1.0 + np.arange(4001) * 2.0**-52
+    pdf = pd.DataFrame(
+        {
+            "far": 10.0**exponents * np.where(np.arange(4001) % 2 == 0, 1, -1),
+            "positive": 10.0**exponents,
+            "close": close,
+            "both": np.where(np.arange(4001) % 2 == 0, close, 10.0**exponents),
+        }
+    )
+    found = medians(spark.createDataFrame(pdf), list(pdf))
+    assert found == {name: np.sort(pdf[name])[2000] for name in pdf}
+    assert len(passes) <= 6
+
+
+def test_sketched_medians_are_near_the_middle(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": rng.exponential(size=20_000), "same": 7.0, "none": None, "some": np.nan}, dtype="float64")
+    pdf.loc[:99, "some"] = np.arange(100)
+    rows = median_frame(spark.createDataFrame(pdf).repartition(7), accuracy=400).collect()
+    found = {r["column"]: r["median"] for r in rows}
+    assert found["same"] == 7.0 and found["none"] is None and abs(found["some"] - 49.5) <= 1
+    assert abs((pdf["x"] <= found["x"]).mean() - 0.5) < 2.3 / 400
+    with pytest.raises(ValueError, match="accuracy"):
+        median_frame(spark.createDataFrame(pdf), accuracy=4)
+
+
 def test_median_without_values(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert medians(df, ["a", "b"]) == {"a": None, "b": 1.0}
