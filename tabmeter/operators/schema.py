@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabmeter.functions.columns import pct, ratio, ref
 from tabmeter.functions.dates import is_datetime
-from tabmeter.operators.values import distinct_counts, sample_values
+from tabmeter.operators.values import SAMPLE, distinct_counts, value_summary
 from tabmeter.plans.staging import staged
 from tabmeter.plans.statpass import per_column
 from tabmeter.table import Table
@@ -24,11 +24,12 @@ TEXT_VALUES = 100
 SEMANTIC_TYPES = ("numeric", "categorical", "datetime", "boolean", "text", "id")
 
 
-def classify_columns(source: DataFrame | Table) -> DataFrame:
+def classify_columns(source: DataFrame | Table, unique: DataFrame | None = None) -> DataFrame:
     """(column, ordinal, semantic_type, spark_type, null_count, null_pct,
     unique_count, cardinality_ratio) per column.
 
-    Dates are recognised by the share of all values that parse.
+    Dates are recognised by the share of all values that parse. `unique` has the distinct
+    counts (ordinal, unique_count), where they are known.
     """
     table = Table.of(source)
 
@@ -48,7 +49,8 @@ def classify_columns(source: DataFrame | Table) -> DataFrame:
         ]
 
     counted = per_column(table.df, table.columns, build, fields=4)
-    unique = distinct_counts(table).select("ordinal", "unique_count")
+    if unique is None:
+        unique = distinct_counts(table).select("ordinal", "unique_count")
     # Both sides have one row per column.
     joined = counted.join(unique, "ordinal").withColumn(
         "cardinality_ratio", ratio(F.col("unique_count"), F.col("n"))
@@ -106,11 +108,17 @@ def detect_schema(source: DataFrame | Table, *, materialize: bool = False) -> di
     if materialize:
         with staged(table.df) as df:
             return detect_schema(Table.of(df, **table.date_options))
+    if not table.columns:
+        return {"columns": {}} | {f"{kind}_cols": [] for kind in SEMANTIC_TYPES}
     samples: dict[str, list[str]] = {}
-    for r in sorted(sample_values(table).collect(), key=lambda r: (r["ordinal"], r["rank"])):
+    # a few rows a column
+    rows = value_summary(table, SAMPLE, by_count=False).collect()
+    for r in sorted((r for r in rows if r["rank"]), key=lambda r: (r["ordinal"], r["rank"])):
         samples.setdefault(r["column"], []).append(r["value"])
+    counts = [(r["ordinal"], r["unique_count"]) for r in rows if not r["rank"]]
+    unique = table.spark.createDataFrame(counts, "ordinal int, unique_count bigint")
     columns: dict[str, dict] = {}
-    for r in sorted(classify_columns(table).collect(), key=lambda r: r["ordinal"]):
+    for r in sorted(classify_columns(table, unique).collect(), key=lambda r: r["ordinal"]):
         columns[r["column"]] = {
             "dtype": r["semantic_type"],
             "spark_type": r["spark_type"],

@@ -1,15 +1,19 @@
 """Statistics against pandas, which the tests alone use as an oracle."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from tabmeter import column_table, dataset_summary, profile
 from tabmeter.operators.correlation import correlation_matrix, is_wide
-from tabmeter.operators import median
+from tabmeter.operators import median, values
 from tabmeter.operators.median import median_frame, medians
 from tabmeter.operators.profile import missing_map, numeric_stats, summary_frame, top_missing
 from tabmeter.operators.values import distinct_counts, sample_values, top_values
+from tabmeter.table import Table
 
 INF = float("inf")
 
@@ -175,8 +179,35 @@ def test_ties_are_broken_by_value(spark):
 
 def test_top_values_limit_ranks_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("CAST(id % 7 AS STRING) v")
-    plan = top_values(df)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    table = Table.of(df)
+    ranked = values._candidates(values.value_counts(table, ["v"]), True, 5)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("lookup", [2, 10_000])
+def test_long_texts_rank_as_whole_texts(spark, monkeypatch, lookup):
+    """Texts with equal first letters tie until they are looked up, few or many of them."""
+    monkeypatch.setattr(values, "LOOKUP", lookup)
+    head = "é" * values.HEAD
+    texts = [head + str(i) for i in range(40)] * 2 + [head] * 2 + ["short"] * 3 + [head + "7"] + [None, ""]
+    df = spark.createDataFrame([(t, i % 3) for i, t in enumerate(texts)], "text string, k int").repartition(4)
+    counts = Counter(t for t in texts if t is not None)
+    expected = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:6]
+    found = top_values(df, ["text"], 6).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in found] == expected and [r["rank"] for r in found] == [1, 2, 3, 4, 5, 6]
+    smallest = sample_values(df, ["text"], 4).orderBy("rank").collect()
+    assert [r["value"] for r in smallest] == sorted(counts)[:4]
+    unique = {r["column"]: r["unique_count"] for r in values.value_summary(df).collect() if r["n"] is None}
+    assert unique == {"text": len(counts), "k": 3}
+    assert distinct_counts(df, ["text"]).first()["unique_count"] == len(counts)
+
+
+def test_texts_are_grouped_without_moving_them(spark):
+    df = spark.createDataFrame([("long text " * 20, 1)], "text string, k int")
+    for frame in values.value_counts(Table.of(df), ["text"]):
+        plan = frame._jdf.queryExecution().executedPlan()
+        exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.toString())
+        assert exchanges and all("digest_1" in x and "text" not in x for x in exchanges)
 
 
 @pytest.mark.parametrize("bits", [1, 5, 12])
@@ -200,10 +231,10 @@ def test_medians_by_narrowing(spark, monkeypatch, bits):
 
 
 def test_doubles_keep_their_order_as_integers():
-    values = [-np.inf, -1e300, -2.0, -1e-300, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.5, 2.0, 1e300, np.inf]
-    found = median.ordered(np.array(values))
+    numbers = [-np.inf, -1e300, -2.0, -1e-300, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.5, 2.0, 1e300, np.inf]
+    found = median.ordered(np.array(numbers))
     assert (np.diff(found) > 0).all()
-    assert [median.unordered(int(x)) for x in found] == values
+    assert [median.unordered(int(x)) for x in found] == numbers
 
 
 def test_six_passes_are_enough_for_any_shape(spark, monkeypatch):
@@ -246,8 +277,8 @@ def test_values_are_grouped_and_shuffled_once(spark):
     from tabmeter.operators.values import distinct_counts, top_values, value_summary
 
     df = spark.range(500).selectExpr("id % 7 a", "CAST(id % 11 AS STRING) b", "CAST(id % 3 AS DOUBLE) c", "id > 9 d")
-    frame = value_summary(df)
-    rows = frame.collect()
+    rows, frame = value_summary(df).collect(), values._summary(Table.of(df), 5, True)
+    frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") == 3  # one for each family of types
     found = {r["column"]: r["unique_count"] for r in rows if r["rank"] is None}
