@@ -11,6 +11,7 @@ words are, and only sums for each piece are gathered.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -41,8 +42,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
-WORDS = re.compile(r"[^\W\d_]+").findall
+# \w takes fractions, superscripts and number forms for letters; Unicode's categories L do not.
+NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and unicodedata.category(c)[0] != "L")
+LETTER = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]")
+WORDS = re.compile(f"{LETTER.pattern}+").findall
 
 
 @cache

@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -98,3 +99,17 @@ def test_odd_rows(odd_docs, no_docs, spark):
     digits = spark.createDataFrame([(1, "123 _ ...", None, None, None)], SCHEMA)
     model = unigram.Languages(["en"], np.full((len(unigram.pieces(PATH)[0]) + 1, 1), 1e-5), PATH)
     assert unigram.predict_languages(digits, model).first()["lang_pred"] == "und"
+
+
+def test_letters_are_those_of_the_categories_l():
+    assert unigram.WORDS("½ ² ① Ⅷ 日本 a_b éÀ ª x2y 一 ٣") == ["日本", "a", "b", "éÀ", "ª", "x", "y", "一"]
+    for c in map(chr, range(0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert bool(unigram.LETTER.fullmatch(c)) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+
+
+def test_texts_of_number_forms_have_no_language(spark):
+    rows = [(4 * i + k, TEXTS[lang], lang, "s", 1) for i in range(12) for k, lang in enumerate(TEXTS)]
+    rows += [(1000, "½ ² ①", None, "s", 1), (1001, "Ⅷ 3/4", None, "s", 1)]
+    found = {r["doc_id"]: r["lang_pred"] for r in unigram.predict_languages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1000] == found[1001] == "und" and found[0] == "en"
