@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import importlib.util
 import os
 import sys
 import uuid
@@ -89,7 +88,7 @@ DQ_RULES = {
     "consistency_rules": [
         {
             "name": "shipping_after_order",
-            "description": "Shipping date must be >= Order date",
+            "description": "Nothing leaves before it is ordered",
             "left_column": "ship_date",
             "right_column": "order_date",
             "operator": ">=",
@@ -191,6 +190,17 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, path).withColumn("o_orderdate", F.to_date("o_orderdate").cast("string"))
 
 
+# Cells with quotes and line breaks, by a fixed rule.
+NOTE = """CASE WHEN c_custkey % 7 = 0 THEN concat('say "', c_name, '"', chr(10), 'twice, or more')
+    WHEN c_custkey % 11 = 0 THEN concat(chr(10), c_name, ',"') ELSE c_name END"""
+
+
+def _csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch_file(spark, "notes.csv")
+    write_csv(table(spark, sf_dir, "customer").select("c_custkey", F.expr(NOTE).alias("note"), "c_mktsegment"), path)
+    return load_table(spark, path)
+
+
 def _json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch_file(spark, "events.json")
     source = table(spark, sf_dir, "events")
@@ -393,6 +403,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issues": lambda s, d: issue_frame(s, _score(s, d)),
     "recommendations": lambda s, d: recommendation_frame(s, _score(s, d)),
     "csv_round_trip": _csv_round_trip,
+    "csv_line_breaks": _csv_line_breaks,
     "json_round_trip": _json_round_trip,
     "preview_count": _preview_count,
     "parquet_table": _parquet_table,
@@ -400,11 +411,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _llm():
-    """The queries of the training-data subpackage, or None where it isn't installed."""
-    if importlib.util.find_spec("tabmeter.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    """The queries of the training-data subpackage, or None where it can't be imported."""
+    try:
+        from tabmeter.llm import queries as llm_queries
+    except ImportError:
         return None
-    from tabmeter.llm import queries as llm_queries
-
     return llm_queries
 
 
@@ -417,4 +428,5 @@ def oracle_sql() -> dict[str, str]:
     from oracles import oracles
 
     llm = _llm()
-    return oracles(DQ_COLUMNS) | (llm.ORACLES if llm else {})
+    own = oracles(DQ_COLUMNS) | {"csv_line_breaks": f"SELECT c_custkey, {NOTE} AS note, c_mktsegment FROM customer"}
+    return own | (llm.ORACLES if llm else {})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabmeter.functions.columns import NUMBER, ref
 from tabmeter.plans.statpass import Probe, run_probes
+from tabmeter.sources.records import has_open_lines, read_records
 
 # Cells of a text file that stand for a missing value.
 MISSING_TOKENS = (
@@ -69,8 +70,8 @@ def load_table(
     """Read a file or a folder of files by its suffix.
 
     `nrows` previews that many rows of a CSV. Files are split between tasks, as
-    large ones need; `multiline` reads each in one task, so that quoted CSV cells
-    may hold line breaks. JSON that doesn't read as lines is read as documents.
+    large ones need, also where quoted CSV cells hold line breaks; `multiline` reads each
+    in one task. JSON that doesn't read as lines is read as documents.
     """
     suffix = PurePosixPath(str(source)).suffix.lower()
     if suffix not in SUPPORTED:
@@ -113,13 +114,12 @@ def read_csv(
 
 
 def _strings(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", JAVA_ENCODINGS.get(encoding.lower(), encoding))
-        .option("multiLine", multiline)
-        .option("escape", '"')
-    )
-    raw = reader.csv(path)
+    java = JAVA_ENCODINGS.get(encoding.lower(), encoding)
+    if not multiline and has_open_lines(spark, path):
+        raw = read_records(spark, path, java)
+    else:
+        reader = spark.read.option("header", True).option("encoding", java).option("multiLine", multiline)
+        raw = reader.option("escape", '"').csv(path)
     if encoding.lower() != "cp1252":
         return raw
     controls, letters = zip(*WINDOWS_LETTERS.items())
@@ -162,4 +162,6 @@ def _typed(cell: Column, kinds: int) -> Column:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Cells are written as they are, blanks at their ends too; quotes inside are doubled."""
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
