@@ -45,7 +45,15 @@ UNKNOWN = "und"
 # \w takes fractions, superscripts and number forms for letters; Unicode's categories L do not.
 NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and unicodedata.category(c)[0] != "L")
 LETTER = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]")
-WORDS = re.compile(f"{LETTER.pattern}+").findall
+_RUNS, _LETTERS = re.compile(r"[^\W\d_]+").findall, re.compile(f"{LETTER.pattern}+").findall
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text. Only runs with number forms take the slow pattern."""
+    runs = _RUNS(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [word for run in runs for word in ([run] if run.isalpha() else _LETTERS(run))]
 
 
 @cache
@@ -160,7 +168,7 @@ def cut(words: list[str]) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in small letters."""
-    return cut(WORDS(text.lower())) if text else []
+    return cut(letter_runs(text.lower())) if text else []
 
 
 class Languages:
