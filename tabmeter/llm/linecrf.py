@@ -9,6 +9,7 @@ then finds the likeliest marks of all lines of every document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ BLANKS = " \t\n\v\f\r"
 SPAN = 8  # words in a window for repeats
 MIN_WORDS, MAX_REPEATED = 20, 30  # base rule: words at least, per cent of repeated words at most
 CONTENT_SHARE = 0.5  # of the words, in content lines, for a document to stay
-SAMPLE_DOCS, SAMPLE_LINES = 1000, 32  # bound of the training sample
+SAMPLE_DOCS, STRETCH = 1000, 32  # bound of the training sample: documents, lines of one in a row
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 
 FEATURES = ("bias", "symbols", "capitals", "sameness", "repeat", "short", "open", "bare", "marked", "digits")
@@ -158,13 +159,24 @@ class LineField:
         return cls(weights, follow)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineField:
+def stretch(text: str | None, lines: list[Line], size: int) -> list[Line]:
+    """The lines that a document teaches: it is cut into equal stretches of at most `size`
+    lines, and a hash of its text draws one, so every line is as likely as any other."""
+    parts = -(-len(lines) // size)
+    if parts < 2:
+        return lines
+    turn = zlib.crc32((text or "").encode()) % parts
+    return lines[turn * len(lines) // parts : (turn + 1) * len(lines) // parts]
+
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = STRETCH) -> LineField:
     """The field of a sample of `docs`: about `sample_docs` rows by a hash, twice as many at
-    most, and up to `sample_lines` lines of each. Only their features reach the driver."""
+    most, and a stretch of up to `size` lines of each, drawn from the whole text. Only the
+    lines' features reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measured(text)[1][:sample_lines] for (text,) in rows_of(batch, "text")]
+            found = [stretch(text, measured(text)[1], size) for (text,) in rows_of(batch, "text")]
             kind = pa.list_(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([[list(f) for f in x] for x in found], kind)], ["lines"])
 
@@ -218,7 +230,11 @@ NAMES = [
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `quality_rules` keeps, with all their columns."""
+    """The rows of `docs` that `quality_rules` keeps, with all their columns.
+
+    Each row is judged by its own text: null and empty texts go, repeated rows and rows of
+    one doc_id stay or go each, a doc_id may be null, and a share of exactly half stays. An
+    empty table stays empty; further columns pass whatever their names."""
     field, columns = train(docs), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

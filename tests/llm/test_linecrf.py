@@ -73,3 +73,23 @@ def test_junk_goes_and_prose_stays(spark):
         rows.append((i, text, "en", "a", None))
     found = linecrf.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r["doc_id"] for r in found if not r["kept"]} == junk
+
+
+def test_training_reads_whole_texts(spark):
+    rows = []
+    for i in range(60):
+        clean = [prose(9000 + 45 * i + j, 12) for j in range(40)]
+        loud = [" ".join(w + "***" for w in prose(70_000 + 60 * i + j, 9).split()) for j in range(60)]
+        rows.append((i, "\n".join(clean + loud), "en", "a", None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    field = linecrf.train(docs)
+    assert field.weights.any()
+    assert all(linecrf.judged(text, field)[6] < 0.6 for _, text, *_ in rows)
+    assert all(not r["kept"] for r in linecrf.quality_rules(docs, field).collect() if r["content_share"] < 0.5)
+
+
+def test_stretches_cover_every_line_evenly():
+    lines = [(float(i),) for i in range(100)]
+    found = Counter(x for i in range(4000) for x in linecrf.stretch(f"text {i}", lines, 32))
+    assert set(found) == set(lines) and max(found.values()) < 1.3 * min(found.values())
+    assert linecrf.stretch(None, [], 32) == [] and linecrf.stretch("a", lines[:32], 32) == lines[:32]
