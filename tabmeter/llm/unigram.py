@@ -4,7 +4,7 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 a word is the sum, over all ways to cut it into pieces, of the product of their chances; a
 forward pass over the word computes it, and a text's chance is the product over its words.
 The probabilities are fitted by expectation and maximisation: the expected uses of every
-piece come from the forward and backward sums of the training words, computed where the
+piece come from the forward sums of the training words and a walk back, computed where the
 words are, and only sums for each piece are gathered.
 """
 
@@ -30,10 +30,10 @@ MARK = "▁"  # begins a word
 SAMPLE_DOCS = 400  # training documents of each language, about
 ROUNDS = 3
 FLOOR = 0.05  # expected uses added to every piece of every language
-PART = 40  # letters of a word that are summed in one go; longer words are cut there
-HELD = 1 << 19  # words whose chances a task remembers
+STEPS = 32  # letters after which the sums of a word are brought back into range
+HELD = 1 << 23  # letters of the words whose chances a task remembers
 BLOCK = 1 << 22  # bytes of text handled together
-BULK = 1 << 15  # words summed at a time
+BULK = 1 << 18  # letters of the words summed at a time, about
 LETTERS = 140_000.0  # letters there are, any of which the piece for unknown ones may be
 #: Nats that are taken out of each letter's cost, to keep products in range: of letters that
 #: are pieces, and of others.
@@ -118,57 +118,69 @@ class Lattice:
         self.begin = self.first + np.arange(len(words))
         self.finish = self.begin + self.sizes
         self.nodes = len(flat) + len(words)
+        self.reach = int(self.size.max(initial=1))
         spread = np.concatenate([[0.0], np.cumsum(np.where(strange, FAR, SCALE))])
         self.spread = spread[self.first + self.sizes] - spread[self.first]
         letter = self.node - shift[start[order]]
         self.gain = np.exp(spread[letter + self.size] - spread[letter])[:, None]
 
-    def forward(self, chances: np.ndarray) -> np.ndarray:
-        """For each node and language the summed chance of all ways to get there."""
+    def forward(self, chances: np.ndarray, keep: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each word and language the summed chance of all ways through it, and the log of
+        what was divided out of it. `keep` receives, place by place, the share of each piece
+        in the sum at its end.
+
+        Sums of long words leave the range of doubles. Every STEPS letters the last sums of a
+        word, as far back as a piece reaches, are divided by their largest."""
         chances = spread_unknown(chances)
         sums = np.zeros((self.nodes, chances.shape[1]))
+        logs = np.zeros((len(self.sizes), chances.shape[1]))
         sums[self.begin] = 1.0
         for t in range(1, len(self.cuts) - 1):
             a, b = self.cuts[t], self.cuts[t + 1]
-            if a < b:
-                part = sums[self.node[a:b]] * chances[self.piece[a:b]] * self.gain[a:b]
-                heads = np.flatnonzero(np.diff(self.end[a:b], prepend=-1))
-                sums[self.end[a:b][heads]] = np.add.reduceat(part, heads, axis=0)
-        return sums
+            part = sums[self.node[a:b]] * chances[self.piece[a:b]] * self.gain[a:b]
+            end = self.end[a:b]
+            heads = np.flatnonzero(np.diff(end, prepend=-1))
+            sums[end[heads]] = np.add.reduceat(part, heads, axis=0)
+            if keep is not None:
+                keep.append(part / np.maximum(sums[end], 1e-300))
+            if t % STEPS == 0 and len(on := np.flatnonzero(self.sizes > t)):
+                back = self.begin[on, None] + np.arange(max(0, t - self.reach), t + 1)
+                peak = np.maximum(sums[back].max(axis=1), 1e-300)
+                sums[back] /= peak[:, None]
+                logs[on] += np.log(peak)
+        return sums[self.finish], logs
 
     def log_chances(self, chances: np.ndarray) -> np.ndarray:
-        whole = np.maximum(self.forward(chances)[self.finish], 1e-300)
-        return np.log(whole) - self.spread[:, None]
+        whole, logs = self.forward(chances)
+        return np.log(np.maximum(whole, 1e-300)) + logs - self.spread[:, None]
 
     def uses(self, chances: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece in each language, each word counted `weight` times."""
-        ahead, costs = self.forward(chances), spread_unknown(chances)
-        behind = np.zeros_like(ahead)
-        behind[self.finish] = 1.0
-        out = np.zeros_like(chances)
-        whole = np.maximum(ahead[self.finish], 1e-300)
-        share = np.zeros_like(ahead)
-        share[self.finish] = weight / whole
+        """Expected uses of every piece in each language, each word counted `weight` times.
+
+        From the end of a word backwards, the expected visits of a place are dealt out to the
+        pieces that end there by their shares in its sum, and so reach where they begin."""
+        shares: list[np.ndarray] = []
+        self.forward(chances, shares)
+        out, visits = np.zeros_like(chances), np.zeros((self.nodes, chances.shape[1]))
+        visits[self.finish] = weight
         for t in range(len(self.cuts) - 2, 0, -1):
             a, b = self.cuts[t], self.cuts[t + 1]
-            if a == b:
-                continue
-            node, end, piece = self.node[a:b], self.end[a:b], self.piece[a:b]
-            cost = costs[piece] * self.gain[a:b]
-            np.add.at(out, piece, ahead[node] * cost * behind[end] * share[end])
-            np.add.at(behind, node, cost * behind[end])
-            share[node] = share[end]
+            dealt = visits[self.end[a:b]] * shares.pop()
+            np.add.at(out, self.piece[a:b], dealt)
+            np.add.at(visits, self.node[a:b], dealt)
         return out
 
 
-def cut(words: list[str]) -> list[str]:
-    """Words of at most PART letters; what is cut off a longer one is a word of its own."""
-    return [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
-
-
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in small letters."""
-    return cut(letter_runs(text.lower())) if text else []
+    return letter_runs(text.lower()) if text else []
+
+
+def bulks(words: list[str]) -> Iterator[slice]:
+    """Stretches of words that are summed together: about BULK letters, one word at least."""
+    sizes = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    borders = [0, *(np.flatnonzero(np.diff(sizes // BULK)) + 1).tolist(), len(words)]
+    return (slice(a, b) for a, b in zip(borders, borders[1:], strict=False) if a < b)
 
 
 class Languages:
@@ -179,7 +191,7 @@ class Languages:
 
     def log_chances(self, words: list[str]) -> np.ndarray:
         """The log chance of each word in each language."""
-        parts = [Lattice(words[i : i + BULK], self.path).log_chances(self.chances) for i in range(0, len(words), BULK)]
+        parts = [Lattice(words[own], self.path).log_chances(self.chances) for own in bulks(words)]
         return np.concatenate(parts) if parts else np.empty((0, len(self.names)))
 
 
@@ -229,8 +241,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, path: str | None = No
             total = np.zeros_like(now)
             for batch in batches:
                 rows = [*rows_of(batch, "lang", "word", "n")]
-                for at in range(0, len(rows), BULK):
-                    some = rows[at : at + BULK]
+                for own in bulks([word for _, word, _ in rows]):
+                    some = rows[own]
                     weight = np.zeros((len(some), now.shape[1]))
                     weight[np.arange(len(some)), [number[lang] for lang, _, _ in some]] = [n for _, _, n in some]
                     total += Lattice([w for _, w, _ in some], path).uses(now, weight)
@@ -254,13 +266,15 @@ def predict_languages(docs: DataFrame, model: Languages | None = None) -> DataFr
     being equally likely before it. Texts that are null or have no letter are `und` with
     score 0, as is everything if no row teaches a language. Ties go to the first language
     by name. Rows are judged each by its own text; a null doc_id is not held out; an empty
-    table gives an empty result; other columns are not read.
+    table gives an empty result; other columns are not read. A run of letters is summed
+    whole, however long; its pieces take some hundred bytes of memory a letter.
     """
     model = model or train(docs)
     held = F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        held = 0
         table = np.zeros((1024, len(model.names)))
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
@@ -268,14 +282,16 @@ def predict_languages(docs: DataFrame, model: Languages | None = None) -> DataFr
                 if not len(block):
                     continue
                 part = batch.slice(block[0], len(block))
-                if len(known) > HELD:
+                if held > HELD:
                     known.clear()
+                    held = 0
                 names, scores = [], []
                 texts = [words_of(text) if model.names else [] for text in part.column("text").to_pylist()]
                 fresh = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in known]
                 if len(known) + len(fresh) > len(table):
                     table = np.concatenate([table[: len(known)], np.zeros((len(known) + 2 * len(fresh), table.shape[1]))])
                 table[len(known) : len(known) + len(fresh)] = model.log_chances(fresh)
+                held += sum(map(len, fresh))
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
                 for words in texts:
                     if not words:

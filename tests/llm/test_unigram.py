@@ -63,6 +63,36 @@ def test_long_and_strange_words_stay_in_range(chances):
     assert np.isfinite(found).all() and (found > -1500).all()
 
 
+def test_long_runs_are_summed_whole(chances):
+    """A run of 200 letters against a sum in logarithms, letter by letter."""
+    own, _ = unigram.pieces(PATH)
+    number = {t: i for i, t in enumerate(own)}
+    words = [(TEXTS["en"] + TEXTS["de"]).replace(" ", "")[:200].ljust(200, "z"), "ʬ日" * 500, "the"]
+    for word, found in zip(words, unigram.Lattice(words, PATH).log_chances(chances), strict=True):
+        text = unigram.MARK + word
+        logs = [np.zeros(chances.shape[1])]
+        for end in range(1, len(text) + 1):
+            ways = [logs[end - 1] + np.log(chances[-1] / unigram.LETTERS)]
+            ways += [
+                logs[start] + np.log(chances[number[text[start:end]]])
+                for start in range(max(0, end - 40), end)
+                if text[start:end] in number
+            ]
+            logs.append(np.logaddexp.reduce(ways))
+        assert np.allclose(found, logs[-1], rtol=1e-9, atol=1e-8)
+
+
+def test_uses_of_a_long_run_are_the_gradient(chances):
+    words, weight = [("theinteresting" * 20)], np.ones((1, 3))
+    uses = unigram.Lattice(words, PATH).uses(chances, weight)
+    own, _ = unigram.pieces(PATH)
+    for piece in ("th", "ing", "e"):
+        k, more = own.index(piece), chances.copy()
+        more[k] *= 1 + 1e-6
+        change = unigram.Lattice(words, PATH).log_chances(more) - unigram.Lattice(words, PATH).log_chances(chances)
+        assert np.allclose(change[0] / 1e-6, uses[k], rtol=1e-3, atol=1e-6)
+
+
 def corpus(spark):
     rows = []
     for i in range(90):
