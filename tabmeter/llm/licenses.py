@@ -1,20 +1,21 @@
 """Licence scan with a positional index of rare words, in DataFrame operations only.
 
-Each word of the licence templates has a posting for every template and place it stands at.
-The licence words of a file are joined with the postings; the place of a word in the file
-less its place in the template says where the template would begin, so words that agree on
-that stand as in the template. Every licence word of a file is looked up. Alignments count if
-the key words of the template all stand in place, and if the words that do carry most of the
-template's weight, each weighing its inverse document frequency.
+The index has a posting for each template: the rarest word of its key phrase and the place
+that word has in the template. As a template counts only where its whole key phrase stands,
+each of its places in a text has that word. The text's words are looked up in the postings;
+the place of a word in the text less its place in the template says where the template
+would begin. There the key phrase must stand word by word, and the words that stand in place
+must carry most of the template's weight, each weighing its inverse document frequency.
 """
 
 from __future__ import annotations
 
 import math
+import operator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from tabmeter.llm.common import Staged
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Label, wording, and the phrase of it that must stand in place.
 TEMPLATES = (
@@ -33,59 +34,79 @@ TEMPLATES = (
 )
 #: Phrases whose every place counts.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
-#: Words that are too common to look up; what stands in their places isn't compared.
-COMMON = frozenset("a an and any are as at be by for in is it of on or that the this to with without under use".split())
 #: A word is a run of letters, digits and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SMALL, LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHARE = 0.6  # of a template's weight that must stand in place
 
 
-def postings() -> list[tuple[str, int, str, bool, int, bool]]:
-    """(word, template, label, base, place, key) of every word that is looked up."""
-    rows = []
-    whole = [(label, text, key, False) for label, text, key in TEMPLATES]
-    whole += [(label, text, text, True) for label, text in BASE]
-    for number, (label, text, key, base) in enumerate(whole):
-        words, keys = text.split(), key.split()
-        start = next(i for i in range(len(words)) if words[i : i + len(keys)] == keys)
-        for place, word in enumerate(words):
-            if word not in COMMON:
-                rows.append((word, number, label, base, place, start <= place < start + len(keys)))
-    return rows
-
-
-def posting_frame(spark: SparkSession, weight: dict[str, float]) -> DataFrame:
-    """The postings, with each word's weight and its template's weight and key words: a table
-    of fixed size."""
-    rows = postings()
-    total: dict[int, float] = {}
-    keys: dict[int, int] = {}
-    for word, number, _, _, _, key in rows:
-        total[number] = total.get(number, 0.0) + weight[word]
-        keys[number] = keys.get(number, 0) + key
-    values = ", ".join(
-        f"('{word}', {number}, '{label}', {str(base).lower()}, {place}, {int(key)}, "
-        f"double({weight[word]!r}), double({total[number]!r}), {keys[number]})"
-        for word, number, label, base, place, key in rows
-    )
-    names = "word, template, label, base, place, key, weight, total, n_keys"
-    return spark.sql(f"SELECT * FROM VALUES {values} AS postings({names})")
+@dataclass(frozen=True)
+class Template:
+    """A wording, and where the key phrase is in it; all of a base phrase is key."""
+
+    label: str
+    words: tuple[str, ...]
+    key: range
+    base: bool
+
+    def opener(self, weight: dict[str, float]) -> int:
+        """The place of the rarest word of the key phrase, the first of equals."""
+        return max(self.key, key=lambda i: (weight[self.words[i]], -i))
+
+
+def templates() -> list[Template]:
+    found = []
+    for label, text, phrase, base in [(*t, False) for t in TEMPLATES] + [(*t, t[1], True) for t in BASE]:
+        words, key = tuple(text.split()), tuple(phrase.split())
+        start = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        found.append(Template(label, words, range(start, start + len(key)), base))
+    return found
+
 
+def vocabulary() -> list[str]:
+    return sorted({word for t in templates() for word in t.words})
 
-def licence_words(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, hits): how many words each text has, and which licence words
-    stand where."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    vocabulary = sorted({word for word, *_ in postings()})
 
-    def known(hit: Column) -> Column:
-        return hit["word"].isin(vocabulary)
+def words_column() -> Column:
+    """The words of `text`, A-Z in small letters."""
+    return F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), LARGE, SMALL), F.lit(WORD), F.lit(0))
 
-    numbered = F.transform("words", lambda w, i: F.named_struct(F.lit("at"), i, F.lit("word"), F.lower(w)))
-    return (
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words"))
-        .select("row", "doc_id", F.size("words").cast("bigint").alias("n_words"), F.filter(numbered, known).alias("hits"))
+
+def rarity(docs: DataFrame) -> dict[str, float]:
+    """The inverse document frequency of the templates' words in `docs`."""
+    known = F.array_intersect(words_column(), F.array(*map(F.lit, vocabulary())))
+    # the empty word stands for the rows themselves
+    held = docs.select(F.explode(F.concat(F.array(F.lit("")), known)).alias("word")).groupBy("word").count()
+    spread = {row["word"]: row["count"] for row in held.collect()}  # the templates' words at most
+    return {word: math.log(1.0 + spread.get("", 0) / (1.0 + spread.get(word, 0))) for word in vocabulary()}
+
+
+def places(template: Template, weight: dict[str, float]) -> Column:
+    """(label, base, start, share) of every place where the template stands, an array."""
+    opener = template.opener(weight)
+    total = sum(weight[word] for word in template.words)
+
+    def stands(at: Column, i: int) -> Column:
+        # a negative place is no place, so nothing stands before a text
+        return F.coalesce(F.get("words", at - F.lit(opener - i)) == template.words[i], F.lit(False))
+
+    def share(at: Column) -> Column:
+        if template.base:
+            return F.lit(1.0)
+        parts = [F.when(stands(at, i), weight[word]).otherwise(0.0) for i, word in enumerate(template.words)]
+        return F.least(reduce(operator.add, parts) / F.lit(total or 1.0), F.lit(1.0))
+
+    here = F.filter("hits", lambda at: reduce(operator.and_, [stands(at, i) for i in template.key]))
+    found = F.transform(
+        here,
+        lambda at: F.struct(
+            F.lit(template.label).alias("label"),
+            F.lit(template.base).alias("base"),
+            (at - F.lit(opener)).cast("bigint").alias("start"),
+            share(at).alias("share"),
+        ),
     )
+    return F.filter(found, lambda x: x["share"] >= SHARE)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -99,44 +120,27 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     and empty labels. Rows are scanned each by its own text, whatever its doc_id, null or
     repeated. An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    staged = Staged(spark)
-    table = staged.write(licence_words(docs), "words")
-    found = table.where(F.size("hits") > 0)
-    n_rows = table.count()
-    seen = found.select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").count()
-    spread = {row["word"]: row["count"] for row in seen.collect()}  # the templates' words at most
-    weight = {word: math.log(1.0 + n_rows / (1.0 + spread.get(word, 0))) for word, *_ in postings()}
-    hits = found.select("row", F.explode("hits").alias("hit")).select("row", "hit.at", "hit.word")
-    aligned = (
-        hits.join(F.broadcast(posting_frame(spark, weight)), "word")
-        .groupBy("row", "template", "label", "base", "total", "n_keys", (F.col("at") - F.col("place")).alias("start"))
-        .agg(F.sum("weight").alias("weight"), F.sum("key").alias("keys"))
-        .withColumn("share", F.least(F.col("weight") / F.col("total"), F.lit(1.0)))
-        .where(F.col("keys") == F.col("n_keys"))
-        .where(F.col("base") | (F.col("share") >= SHARE))
-        .withColumn("share", F.when(F.col("base"), 1.0).otherwise(F.col("share")))
-    )
-    base = F.col("base")
-    by_row = aligned.groupBy("row").agg(
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("bigint").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("bigint").alias("last_word"),
-        F.collect_set(F.when(base, F.col("label"))).alias("base_labels"),
-        F.collect_set("label").alias("labels"),
-        F.max("share").alias("score"),
+    weight = rarity(docs)
+    openers = sorted({t.words[t.opener(weight)] for t in templates()})
+    looked_up = F.transform("words", lambda word, at: F.when(word.isin(openers), at))
+    found = F.concat(*[places(t, weight) for t in templates()])
+    rows = (
+        docs.select("doc_id", words_column().alias("words"))
+        .select("doc_id", "words", F.array_compact(looked_up).alias("hits"))
+        .select("doc_id", F.size("words").cast("bigint").alias("n_words"), found.alias("found"))
+        .select("doc_id", "n_words", "found", F.filter("found", lambda x: x["base"]).alias("base"))
     )
 
     def listed(name: str) -> Column:
-        return F.coalesce(F.array_join(F.array_sort(name), ","), F.lit("")).alias(name)
+        return F.array_join(F.array_sort(F.array_distinct(f"{name}.label")), ",")
 
-    return table.select("row", "doc_id", "n_words").join(by_row, "row", "left").select(
+    return rows.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_base", F.lit(0).cast("bigint")).alias("n_base"),
-        "first_word",
-        "last_word",
-        listed("base_labels"),
-        listed("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.start").alias("first_word"),
+        F.array_max("base.start").alias("last_word"),
+        listed("base").alias("base_labels"),
+        listed("found").alias("labels"),
+        F.coalesce(F.array_max("found.share"), F.lit(0.0)).alias("score"),
     )

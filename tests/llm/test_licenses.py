@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -50,11 +51,53 @@ def test_key_words_must_stand_in_place(spark):
     assert found[1]["labels"] == "" and found[2]["labels"] == "apache" and found[2]["first_word"] == 33
 
 
-def test_words_weigh_by_their_rarity(spark):
-    frame = licenses.posting_frame(spark, {word: 1.0 for word, *_ in licenses.postings()})
-    rows = frame.collect()
-    assert all(r["total"] == sum(1 for x in rows if x["template"] == r["template"]) for r in rows)
-    assert {r["n_keys"] for r in rows if r["base"]} == {2, 3}
+def test_the_rarest_key_word_opens(spark):
+    weight = {word: 1.0 for word in licenses.vocabulary()} | {"license": 0.1, "public": 3.0, "software": 9.0}
+    opened = {t.words[t.opener(weight)] for t in licenses.templates()}
+    assert {"mit", "apache", "public"} <= opened and not {"license", "software"} & opened
+    rows = [(i, "a license" + " mit" * (i == 0), "en", "a", None) for i in range(9)]
+    found = licenses.rarity(spark.createDataFrame(rows, SCHEMA))
+    assert found["mit"] > found["license"] and found["apache"] > found["mit"]
+
+
+def stands(text):
+    """The labels found by trying every template at every place."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = set()
+    for t in licenses.templates():
+        for start in range(-len(t.words), len(words)):
+            here = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)]
+            if all(here[i] for i in t.key) and sum(here) >= 0.6 * len(here):
+                found.add(t.label)
+    return ",".join(sorted(found))
+
+
+def test_labels_match_brute_force(spark, monkeypatch):
+    """With all words equally rare, over wordings with words left out, changed and joined."""
+    monkeypatch.setattr(licenses, "rarity", lambda docs: {word: 1.0 for word in licenses.vocabulary()})
+    draw, rows = random.Random(3), []
+    for i in range(400):
+        words = draw.choice(licenses.TEMPLATES)[1].split() + draw.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(draw.randint(0, 4)):
+            words[draw.randrange(len(words))] = draw.choice(["of", "not", "license", "public", "MIT"])
+        at = draw.randrange(4)
+        rows.append((i, " ".join(words[at : len(words) - draw.randrange(6)]), "en", "a", None))
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: stands(text) for i, text, *_ in rows}
+    assert len(set(found.values())) > 10
+
+
+def test_every_word_of_a_key_phrase_is_compared(spark):
+    texts = [
+        "licensed for cc or nc",
+        "licensed via cc not nc",
+        "permission was hereby granted free from charge to any person obtaining a copy of this software",
+        "licensed under cc by nc",
+    ]
+    rows = [(i, t, "en", "a", None) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {0: "", 1: "", 2: "", 3: "cc"}
 
 
 def test_no_python_in_the_plan(odd_docs, no_docs):
