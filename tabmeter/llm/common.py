@@ -68,10 +68,18 @@ class Staged:
 ROW = "llm_row"
 
 
-def numbered(docs: DataFrame, staged: Staged) -> DataFrame:
-    """`docs` with a number of each row as ROW, written, so that each later read finds the
-    same numbers."""
-    return staged.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def free(name: str, columns: list[str]) -> str:
+    """`name`, made longer until no column has it, in capitals or not."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, staged: Staged, name: str = ROW) -> DataFrame:
+    """`docs` with a number of each row in a further column, written, so that each later read
+    finds the same numbers."""
+    return staged.write(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:

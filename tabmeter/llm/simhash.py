@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import ROW, Staged, numbered, rows_of
+from tabmeter.llm.common import ROW, Staged, free, numbered, rows_of
 from tabmeter.llm.components import connected_components
 
 SEED = 42
@@ -206,12 +206,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows that share it the smallest hash of the text, then the smallest row number. Rows
     without an id come last. Rows with neither an id nor a word all stay."""
     staged = Staged(docs.sparkSession)
-    rows = numbered(docs, staged)
-    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    number = free(ROW, docs.columns)
+    rows = numbered(docs, staged, number)
+    groups = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
     named = groups.select(F.col("doc_id").alias(ROW), "fingerprint", "component_id")
-    places = rows.select(ROW, "doc_id", F.xxhash64("text").alias("llm_hash"))
+    places = rows.select(F.col(number).alias(ROW), "doc_id", F.xxhash64("text").alias("llm_hash"))
     members = staged.write(named.join(places, ROW), "members")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "llm_hash", ROW)
     first = members.groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{ROW}")
     blank = members.where(F.col("doc_id").isNull() & (F.col("fingerprint") == "0" * (BITS // 4))).select(ROW)
-    return rows.join(first.unionAll(blank), ROW, "left_semi").select(*docs.columns)
+    stay = first.unionAll(blank).withColumnRenamed(ROW, number)
+    return rows.join(stay, number, "left_semi").select(*[f"`{c}`" for c in docs.columns])

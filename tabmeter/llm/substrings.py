@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabmeter.llm.common import ROW, Staged, numbered, shuffle_parts
+from tabmeter.llm.common import ROW, Staged, free, numbered, shuffle_parts
 
 LENGTH = 100
 GRAM = 16  # bytes under the rolling hash
@@ -350,25 +350,31 @@ def with_bytes(rows: DataFrame) -> DataFrame:
     )
 
 
-def cut(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int, int]:
-    """The bytes that no span covers, how many are covered, and in how many runs."""
+def cut(data: bytes, spans: list[dict] | None, length: int, whole: bool = False) -> tuple[bytes, int, int]:
+    """The bytes that no span covers, how many are covered, and in how many runs. With `whole`
+    a character that loses one of its bytes loses all."""
     if not spans:
         return data, 0, 0
     lo, n = (np.array([x[name] for x in spans]) for name in ("lo", "n"))
     ends = np.minimum(lo + n - 1 + length, len(data))
     size = len(data) + 1
     edge = np.bincount(np.minimum(lo, len(data)), minlength=size) - np.bincount(ends, minlength=size)
-    gone = np.cumsum(edge[:-1]) > 0
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+    gone, flat = np.cumsum(edge[:-1]) > 0, np.frombuffer(data, np.uint8)
+    if whole and len(flat):
+        heads = np.flatnonzero(flat & 0xC0 != 0x80)
+        gone = np.repeat(np.logical_or.reduceat(gone, heads), np.diff(heads, append=len(flat)))
+    kept = flat[~gone].tobytes()
     return kept, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """The rows with a list of their spans, and the name of that column."""
     staged = Staged(docs.sparkSession)
-    rows = numbered(docs, staged)
-    spans = repeated_spans(rows, staged, length)
-    lists = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("llm_spans"))
-    return rows.join(lists, rows[ROW] == lists["row"], "left").drop(lists["row"])
+    number, list_name = free(ROW, docs.columns), free("llm_spans", docs.columns)
+    rows = numbered(docs, staged, number)
+    spans = repeated_spans(rows.select("doc_id", "text", F.col(number).alias(ROW)), staged, length)
+    lists = spans.groupBy(F.col("row").alias(number)).agg(F.collect_list(F.struct("lo", "n")).alias(list_name))
+    return rows.join(lists, number, "left"), list_name
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -381,7 +387,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     written with; rows without an id come last, in that order too. An empty table gives an
     empty result; other columns are not read.
     """
-    joined = _with_spans(docs.select("doc_id", "text"), length)
+    joined, _ = _with_spans(docs.select("doc_id", "text"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -403,15 +409,17 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with repeated strings cut from `text`, all rows and columns kept.
 
-    A character that loses some of its bytes goes whole; null texts stay null."""
-    joined = _with_spans(docs, length)
+    A character that loses some of its bytes goes whole; null texts stay null, empty ones
+    empty. Ties, repeated rows, shared and missing ids are as in `removal_report`; further
+    columns pass whatever their names."""
+    joined, list_name = _with_spans(docs, length)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                None if text.as_py() is None else cut(text.as_py().encode(), spans.as_py(), length)[0].decode(errors="ignore")
-                for text, spans in zip(batch.column("text"), batch.column("llm_spans"), strict=True)
+                None if text.as_py() is None else cut(text.as_py().encode(), spans.as_py(), length, whole=True)[0].decode()
+                for text, spans in zip(batch.column("text"), batch.column(list_name), strict=True)
             ]
             arrays = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in columns]
             yield pa.RecordBatch.from_arrays(arrays, columns)

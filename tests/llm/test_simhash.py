@@ -103,3 +103,10 @@ def test_one_row_of_each_group_whatever_its_id(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
             [(1, one), (1, two), (None, three), (3, four)], key=str
         )
+
+
+def test_a_column_named_like_the_row_number_stays(spark, odd_docs):
+    docs = odd_docs.selectExpr("*", "'mine' AS llm_row", "'hash' AS llm_hash")
+    found = simhash.keep_one(docs)
+    assert found.columns == docs.columns
+    assert {(r["llm_row"], r["llm_hash"]) for r in found.collect()} == {("mine", "hash")}

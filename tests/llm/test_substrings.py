@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabmeter.llm import substrings
 from tabmeter.llm.common import Staged, numbered
@@ -113,3 +114,21 @@ def test_settled_places_are_runs_dealt_by_row(spark):
     assert sum(len(x) for x in n.values()) < 10 and sum(int(x.sum()) for x in n.values()) > 119_000
     assert len({r["bucket"] for r in settled}) == 8
     assert report(frame) == brute(rows)
+
+
+def test_no_letter_is_made_of_two_halves(spark):
+    """Cuts that begin and end inside characters: what is left has only letters of the text."""
+    shared = "".join(random.Random(8).choices("абвгдежзиклмнопрстуфхцчшы", k=120))
+    rows = [(1, "xé" + shared + "é!"), (2, "aЩ" + shared + "ìb")]  # é and Щ end, é and ì begin alike
+    frame = spark.createDataFrame([(d, t, "en", "a", None) for d, t in rows], SCHEMA)
+    found = {r["doc_id"]: r["text"] for r in substrings.without_repeats(frame).collect()}
+    assert found == {1: rows[0][1], 2: "ab"}
+    assert substrings.cut("aЖ1éb".encode(), [{"lo": 2, "n": 1}], 3, whole=True)[0] == b"ab"
+    assert substrings.cut("aЖ1éb".encode(), [{"lo": 2, "n": 1}], 3)[0].decode() == "aЩb"
+
+
+def test_columns_with_inner_names_stay(spark, odd_docs):
+    docs = odd_docs.withColumns({"llm_row": F.lit("mine"), "llm_spans": F.lit("too"), "Llm_row_": F.lit(1)})
+    found = substrings.without_repeats(docs)
+    assert found.columns == docs.columns
+    assert {(r["llm_row"], r["llm_spans"], r["Llm_row_"]) for r in found.collect()} == {("mine", "too", 1)}
