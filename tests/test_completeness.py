@@ -1,74 +1,71 @@
-"""Exact scores derived by hand from the formulas."""
+"""Scores of tank logs, worked out from the formula: the mean share filled, less half the
+share of rows that are mostly empty."""
+
+import pytest
 
 from tabmeter import check_completeness
 
-CONFIG = {
-    "pillars": {
-        "completeness": {"thresholds": {"critical_null_pct": 50.0, "warning_null_pct": 20.0}}
-    },
-    "columns": {"known_sparse_columns": []},
-}
+LIMITS = {"pillars": {"completeness": {"thresholds": {"critical_null_pct": 60.0, "warning_null_pct": 25.0}}}}
+TANKS = "tank string, litres double, sealed boolean"
+
 
+def checked(spark, rows, schema=TANKS, **columns):
+    return check_completeness(spark.createDataFrame(rows, schema), LIMITS | {"columns": columns})
 
-def test_perfect(spark):
-    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "a int, b string")
-    found = check_completeness(df, CONFIG)
-    assert (found.score, found.issues) == (100.0, [])
-    assert (found.passed_checks, found.total_checks) == (2, 2)
 
+def gaps(spark, flags):
+    """A row for each set of flags: T, L and S say which of the three fields are filled."""
+    full = {"T": "north", "L": 12.5, "S": True}
+    return checked(spark, [tuple(full[x] if x in own else None for x in "TLS") for own in flags])
 
-def test_all_missing(spark):
-    df = spark.createDataFrame([(None, None)] * 3, "a int, b string")
-    assert check_completeness(df, CONFIG).score == 0.0
 
+@pytest.mark.parametrize(
+    ("flags", "score", "bad", "passed"),
+    [
+        (["TLS"] * 6, 100.0, 0, 3),
+        ([""] * 7, 0.0, 7, 0),
+        (["TS"] * 3 + ["TLS"] * 5, 87.5, 0, 2),
+        (["T", "TL", "TLS", "TLS"], round((100 + 75 + 50) / 3 - 25 / 2, 2), 1, 1),
+        (["S", "L", "", "TLS"], round((25 + 50 + 50) / 3 - 75 / 2, 2), 3, 0),
+    ],
+)
+def test_scores(spark, flags, score, bad, passed):
+    found = gaps(spark, flags)
+    assert found.score == pytest.approx(score, abs=0.005)
+    assert found.details["bad_row_count"] == bad
+    assert (found.passed_checks, found.total_checks) == (passed, 3)
 
-def test_partial(spark):
-    df = spark.createDataFrame([(1.0,), (None,), (3.0,), (None,), (5.0,)], "a double")
-    found = check_completeness(df, CONFIG)
-    assert found.score == 40.0
-    assert found.issues == [
-        "1 column(s) have >20.0% missing values: ['a']",
-        "2 rows (40.0%) have >50% of their fields missing",
+
+def test_wording(spark):
+    assert gaps(spark, ["TLS"] * 6).issues == []
+    issues = gaps(spark, ["T", "T", "TS", "TS", "TS", "TS", "TS", "TLS"]).issues
+    assert issues == [
+        "1 column(s) have >60.0% missing values: ['litres']",
+        "1 column(s) have >25.0% missing values: ['sealed']",
+        "2 rows (25.0%) have >50% of their fields missing",
     ]
 
 
-def test_nan_is_missing_and_infinity_is_not(spark):
-    rows = [(1.0,), (float("nan"),), (float("inf"),), (None,)]
-    found = check_completeness(spark.createDataFrame(rows, "a double"), CONFIG)
-    assert found.details["columns"]["a"]["null_count"] == 2
+def test_sparse_columns_are_not_held_against_a_table(spark):
+    rows = [(f"t{i}", float(i), None) for i in range(9)]
+    plain, told = checked(spark, rows), checked(spark, rows, known_sparse_columns=["sealed"])
+    assert (plain.score, told.score) == (pytest.approx(66.67, abs=0.005), 100.0)
+    assert told.details["columns"]["sealed"]["null_count"] == 9 and told.details["critical_columns"] == []
 
 
-def test_known_sparse_column_is_not_penalised(spark):
-    config = {**CONFIG, "columns": {"known_sparse_columns": ["sparse_col"]}}
-    rows = [(None, 1), (None, 2), (None, 3)]
-    found = check_completeness(
-        spark.createDataFrame(rows, "sparse_col string, good_col int"), config
-    )
-    assert found.score == 100.0
-    assert found.details["columns"]["sparse_col"]["null_pct"] == 100.0
+def test_nan_counts_as_missing_infinity_does_not(spark):
+    rows = [("a", float("-inf"), True), ("b", float("nan"), True), ("c", 0.0, True)]
+    assert checked(spark, rows).details["columns"]["litres"]["null_count"] == 1
 
 
-def test_no_rows(spark):
-    found = check_completeness(spark.createDataFrame([], "a int"), CONFIG)
+def test_a_table_without_rows(spark):
+    found = checked(spark, [])
     assert (found.score, found.passed_checks, found.total_checks) == (0.0, 0, 1)
     assert found.issues == ["Dataset has no rows"]
 
 
-def test_rows_mostly_missing(spark):
-    rows = [(1, None, None, None), (None, None, None, None), (3, 4, 5, 6)]
-    found = check_completeness(spark.createDataFrame(rows, "a int, b int, c int, d int"), CONFIG)
-    assert found.details["bad_row_count"] == 2
-    assert found.details["bad_row_pct"] == 66.67
-    assert found.score == 8.33
-
-
-def test_odd_column_names(spark):
-    df = spark.createDataFrame([(1, None)], "`a.b (c)` int, `order ``date` string")
-    found = check_completeness(df, CONFIG)
-    assert found.details["columns"]["order `date"]["null_count"] == 1
-    assert found.details["columns"]["a.b (c)"]["null_count"] == 0
-
-
-def test_nested_columns_are_counted(spark):
-    df = spark.createDataFrame([([1.0],), (None,)], "v array<float>")
-    assert check_completeness(df, CONFIG).details["columns"]["v"]["null_count"] == 1
+def test_names_and_types_of_all_kinds(spark):
+    rows = [(None, [1], "x"), (7, None, "y")]
+    found = checked(spark, rows, "`flow.rate (l/s)` int, `list of ``ports` array<int>, plain string")
+    nulls = {name: own["null_count"] for name, own in found.details["columns"].items()}
+    assert nulls == {"flow.rate (l/s)": 1, "list of `ports": 1, "plain": 0}
