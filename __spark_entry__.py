@@ -240,6 +240,12 @@ DATE_FORMS = {
     "iso": "yyyy-MM-dd",
     "month_name": "d-MMM-yyyy",
     "digits": "yyyyMMdd",
+    "month_word": "d MMM yyyy",
+    "month_first": "MMM d, yyyy",
+    "dots": "d.M.yyyy",
+    "half_days": "M/d/yyyy h:mm a",
+    "year_first_minutes": "yyyy/M/d H:mm",
+    "short_year": "M/d/yy",
 }
 
 

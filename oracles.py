@@ -587,7 +587,10 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             f"SELECT '{c}' AS \"column\", CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS min_date, "
             "CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS max_date, "
             "date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS date_range_days FROM orders"
-            for c in ("slashes", "slashes_minutes", "slashes_seconds", "year_first", "iso", "month_name", "digits")
+            for c in (
+                "slashes", "slashes_minutes", "slashes_seconds", "year_first", "iso", "month_name", "digits",
+                "month_word", "month_first", "dots", "half_days", "year_first_minutes", "short_year",
+            )
         ),
     }
     answers |= {f"{p}_score": over_dq(q) for p, q in pillars.items()}

@@ -16,8 +16,17 @@ DATE_FORMATS = (
     "yyyy/M/d H:mm:ss",
     "d-MMM-yyyy",
     "yyyyMMdd",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "d.M.yyyy",
+    "M/d/yyyy h:mm a",
+    "yyyy/M/d H:mm",
+    "M/d/yy",
 )
 
+# Years of two digits up to this one are after 2000, as in POSIX.
+LAST_SHORT_YEAR = 2068
+
 # Numbers beyond what 64 bits of nanoseconds hold are no dates.
 NANOSECONDS = 2.0**63
 
@@ -36,6 +45,8 @@ def shape(pattern: str) -> str:
         elif run[0] in "yudHhKkmsSn" or run in ("M", "MM", "L", "LL"):
             # Patterns without separators need the width of each part.
             found += "[0-9]+" if separated else f"[0-9]{{{len(run)}}}"
+        elif run[0] in "MLEa":
+            found += "[^0-9]{1,20}"
         elif part.group(2):
             found += ".+"
         else:
@@ -50,7 +61,11 @@ def is_datetime(dtype: T.DataType) -> bool:
 def wall_clock(text: Column, pattern: str) -> Column:
     """The time a text tells by a pattern, in no time zone; NULL where it tells none."""
     readable = F.try_to_timestamp(text, F.lit(pattern)).isNotNull()
-    return F.when(readable, F.to_timestamp_ntz(text, F.lit(pattern)))
+    instant = F.to_timestamp_ntz(text, F.lit(pattern))
+    if re.search(r"(?<![yu])(yy|uu)(?![yu])", pattern):
+        before = instant - F.make_ym_interval(F.lit(100), F.lit(0))
+        instant = F.when(F.year(instant) > LAST_SHORT_YEAR, before).otherwise(instant)
+    return F.when(readable, instant)
 
 
 def as_instant(

@@ -19,6 +19,7 @@ from types import ModuleType
 
 from py4j.protocol import Py4JError
 from pyspark import inheritable_thread_target
+from pyspark.errors import PythonException, QueryExecutionException, UnknownException
 from pyspark.sql import DataFrame
 
 from tabmeter.config import DEFAULT_SCORING, PILLARS, Rules
@@ -49,6 +50,9 @@ MODULES: dict[str, ModuleType] = {
     "ai_readiness": ai_readiness,
 }
 
+# Errors of the engine and its workers. They say nothing of the rules or the data.
+ENGINE_ERRORS = (Py4JError, PythonException, QueryExecutionException, UnknownException, MemoryError)
+
 # Wording for a pillar that cannot run, colours without a band.
 FAILED_ISSUE = "Pillar failed: {error}"
 PLAIN_COLOR = "#666666"
@@ -213,8 +217,8 @@ def _run_pillars(table: Table, rules: Rules) -> tuple[int, dict[str, Outcome]]:
     failed: dict[str, Outcome] = {}
 
     def gather(ask: Callable[[ModuleType], list]) -> list:
-        """What the pillars ask for; one whose rules cannot be planned fails alone. An
-        error of the engine itself says nothing of the rules and is raised."""
+        """What the pillars ask for; one whose rules cannot be planned fails alone.
+        ENGINE_ERRORS are raised."""
         wanted = []
         for name, module in MODULES.items():
             if name in failed:
@@ -225,7 +229,7 @@ def _run_pillars(table: Table, rules: Rules) -> tuple[int, dict[str, Outcome]]:
                     # Resolves the expressions without running anything.
                     table.df.agg(*[p.expr for p in asked])
                 wanted += asked
-            except Py4JError:
+            except ENGINE_ERRORS:
                 raise
             except Exception as error:
                 failed[name] = _failure(name, error)
@@ -242,7 +246,7 @@ def _run_pillars(table: Table, rules: Rules) -> tuple[int, dict[str, Outcome]]:
     def assess(name: str) -> Outcome:
         try:
             return MODULES[name].assess(table, rules, stats)
-        except Py4JError:
+        except ENGINE_ERRORS:
             raise
         except Exception as error:
             return _failure(name, error)

@@ -1,9 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabmeter import detect_schema, load_table, write_csv
-from tabmeter.functions.dates import shape
+from tabmeter.functions.dates import as_instant, shape
 
 
 def types_of(found):
@@ -161,3 +162,21 @@ def test_csv_sink(spark, tmp_path):
     path = str(tmp_path / "out.csv")
     write_csv(spark.createDataFrame([(1, None), (2, "x")], "a int, `b c` string"), path)
     assert sorted(tuple(r) for r in load_table(spark, path).collect()) == [(1, None), (2, "x")]
+
+
+def test_dates_in_common_forms(spark):
+    texts = {
+        "31 Jan 2018": "2018-01-31 00:00:00",
+        "Jan 31, 2018": "2018-01-31 00:00:00",
+        "31.01.2018": "2018-01-31 00:00:00",
+        "1/31/18": "2018-01-31 00:00:00",
+        "1/31/98": "1998-01-31 00:00:00",
+        "1/31/2018 10:56 PM": "2018-01-31 22:56:00",
+        "2018/01/31 10:56": "2018-01-31 10:56:00",
+        "31/1/18": None,
+        "Jan 32, 2018": None,
+        "in Jan 31, 2018 or so": None,
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = frame.select("t", as_instant(F.col("t"), frame.schema["t"].dataType).cast("string").alias("at")).collect()
+    assert {r["t"]: r["at"] for r in found} == texts
