@@ -159,6 +159,15 @@ def _pillar(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _auto_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timeliness without configured columns: dates are found by type, name and content."""
+    unnamed = DQ_RULES | {"columns": {k: v for k, v in DQ_RULES["columns"].items() if k != "datetime_columns"}}
+    found = check("timeliness", dq(spark, sf_dir), unnamed)
+    return found.to_frame(spark, "timeliness").select(
+        "pillar", "score", "passed_checks", "total_checks", F.size("issues").alias("issue_count")
+    )
+
+
 def _events_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zscore_outliers(table(spark, sf_dir, "events"))
 
@@ -390,6 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "column", F.col("day").cast("string").alias("day"), "gap_days"
     ),
     "timeliness_score": _pillar("timeliness"),
+    "auto_dates_score": _auto_dates,
     "zscore_outliers": _events_zscores,
     "zscore_outliers_dq": lambda s, d: zscore_outliers(dq(s, d), DQ_RULES),
     "accuracy_score": _pillar("accuracy"),
