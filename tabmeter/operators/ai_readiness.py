@@ -10,14 +10,7 @@ from tabmeter.config import Rules
 from tabmeter.functions.columns import ratio, ref
 from tabmeter.functions.moments import sample_std, skewness_from_sums, skewness_g1
 from tabmeter.operators.common import moments, row_count
-from tabmeter.operators.correlation import (
-    coefficients,
-    is_wide,
-    pair_coefficients,
-    pair_probes,
-    varying,
-    wide_coefficients,
-)
+from tabmeter.operators.correlation import named, strong_pairs
 from tabmeter.plans.statpass import Probe, per_column, run_probes
 from tabmeter.result import Outcome, Tally, no_rows
 from tabmeter.table import Table
@@ -55,7 +48,7 @@ def probes(table: Table, rules: Rules) -> list[Probe]:
 
 
 def follow_up(table: Table, rules: Rules, stats: dict) -> list[Probe]:
-    """Centred cubes for the skewness; product sums unless the table is wide."""
+    """Centred cubes for the skewness."""
     wanted = []
     for name in features(table, rules):
         mean = stats["mean", name]
@@ -64,9 +57,6 @@ def follow_up(table: Table, rules: Rules, stats: dict) -> list[Probe]:
         centred = table.number(name) - mean
         cubes = F.sum(centred * centred * centred)
         wanted.append(Probe(("cubes", name), cubes, 1, table.ordinal(name)))
-    live = varying(features(table, rules), stats)
-    if not is_wide(live, stats):
-        wanted += pair_probes(table, live, stats)
     return wanted
 
 
@@ -77,12 +67,14 @@ def skewness(stats: dict, column: str) -> float | None:
     return skewness_from_sums(n, (n - 1) * stats["std", column] ** 2, cubes)
 
 
-def high_pairs(found: dict, names: list[str], limit: float) -> list[tuple[str, str, float]]:
-    """(later column, earlier column, |r|) of the strong pairs, in column order."""
-    at = {c: i for i, c in enumerate(names)}
-    strong = [(b, a, abs(r)) for (a, b), r in found.items() if r is not None and abs(r) >= limit]
-    strong.sort(key=lambda pair: (at[pair[0]], at[pair[1]]))
-    return [(b, a, round(r, 3)) for b, a, r in strong]
+def high_pairs(
+    table: Table, names: list[str], stats: dict, limit: float
+) -> tuple[int, list[tuple[str, str, float]]]:
+    """How many pairs are strong, and the first of them in column order: (later column,
+    earlier column, |r|)."""
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("j", "i", "r"))), 1, PAIRS_LISTED)
+    n, top = strong_pairs(table, names, stats, limit).agg(F.count(F.lit(1)), listed).first()
+    return n, [(names[j], names[i], round(r, 3)) for j, i, r in top]
 
 
 def class_counts(source: DataFrame | Table, target: str) -> DataFrame:
@@ -115,11 +107,8 @@ def assess(table: Table, rules: Rules, stats: dict) -> Outcome:
     tally.check(not flat, VARIANCE_ISSUE.format(n=len(flat), names=flat))
 
     limit = rules.threshold("ai_readiness", "max_correlation")
-    live = varying(names, stats)
-    wide = is_wide(live, stats)
-    found = wide_coefficients(table, live, stats) if wide else pair_coefficients(live, stats)
-    pairs = high_pairs(found, names, limit)
-    tally.check(not pairs, PAIR_ISSUE.format(n=len(pairs), limit=limit, top=pairs[:3]))
+    strong, pairs = high_pairs(table, names, stats, limit)
+    tally.check(not strong, PAIR_ISSUE.format(n=strong, limit=limit, top=pairs[:3]))
 
     limit = rules.threshold("ai_readiness", "max_skewness")
     values = {c: skewness(stats, c) for c in names}
@@ -134,7 +123,7 @@ def assess(table: Table, rules: Rules, stats: dict) -> Outcome:
     details = {
         "feature_count": len(names),
         "zero_variance_columns": flat,
-        "high_correlation_pairs": pairs[:PAIRS_LISTED],
+        "high_correlation_pairs": pairs,
         "highly_skewed_columns": skewed,
         "leakage_risk_columns": leaks,
     }
@@ -168,9 +157,10 @@ def correlated_pairs(source: DataFrame | Table, config: dict | None = None) -> D
     table, rules = Table.of(source), Rules.of(config)
     names = features(table, rules)
     stats = run_probes(table.df, probes(table, rules))
-    found = coefficients(table, names, stats)
-    pairs = high_pairs(found, names, rules.threshold("ai_readiness", "max_correlation"))
-    return table.spark.createDataFrame(pairs, "column string, other string, r double")
+    found = strong_pairs(table, names, stats, rules.threshold("ai_readiness", "max_correlation"))
+    return found.select(
+        named(names, "j").alias("column"), named(names, "i").alias("other"), F.round("r", 3).alias("r")
+    )
 
 
 def feature_spread(source: DataFrame | Table, config: dict | None = None) -> DataFrame:

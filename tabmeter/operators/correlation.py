@@ -1,23 +1,20 @@
 """Pairwise-complete Pearson correlation.
 
 Each pair needs six sums over the rows in which both values are present. The
-values are centred by the column mean first, so the sums stay accurate. Of two
-columns without missing values only the product sum is unknown, as the others
-follow from their moments.
+values are centred by the column mean first, so the sums stay accurate. Coefficients are worked
+out and filtered in Spark, whatever the number of columns.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabmeter.functions.columns import ref
 from tabmeter.operators.common import moments
 from tabmeter.plans.statpass import Probe, run_probes
 from tabmeter.table import Table
@@ -25,15 +22,15 @@ from tabmeter.table import Table
 # Tasks receive these functions themselves and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Up to this many sums are plain aggregates; beyond, whole Arrow batches are
-# multiplied as matrices, whose cost grows far more slowly with the columns.
-SUM_BUDGET = 60
-TASKS_PER_CORE = 4
 # Spread below this share of the raw squares is rounding error.
 RELATIVE_ZERO = 1e-12
+# Pairs in a batch that a task sends.
+BATCH_PAIRS = 10_000
 
-SUMS_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-PAIR_SCHEMA = "row_column string, row_ordinal int, col_column string, col_ordinal int, r double"
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+SUMS_SCHEMA = "i int, j int, " + ", ".join(f"{c} double" for c in SUMS)
+R_SCHEMA = "i int, j int, r double"
+MATRIX_SCHEMA = "row_column string, row_ordinal int, col_column string, col_ordinal int, r double"
 
 
 def varying(columns: list[str], stats: dict) -> list[str]:
@@ -41,52 +38,10 @@ def varying(columns: list[str], stats: dict) -> list[str]:
     return [c for c in columns if (stats["std", c] or 0.0) > 0.0]
 
 
-def is_wide(columns: list[str], stats: dict) -> bool:
-    full = [stats["present", c] == stats["rows"] for c in columns]
-    return sum(1 if a and b else 6 for a, b in combinations(full, 2)) > SUM_BUDGET
-
-
-def pair_probes(table: Table, columns: list[str], stats: dict) -> list[Probe]:
-    """Sums of every pair, for a table that is not wide."""
-    wanted = []
-    for a, b in combinations(columns, 2):
-        x, y = (table.number(c) - stats["mean", c] for c in (a, b))
-        wanted.append(Probe(("sxy", a, b), F.sum(x * y), 1))
-        if stats["present", a] == stats["present", b] == stats["rows"]:
-            continue
-        both = ref(a).isNotNull() & ref(b).isNotNull()
-        parts = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y}
-        wanted.append(Probe(("n", a, b), F.count_if(both), 1))
-        wanted += [Probe((k, a, b), F.sum(F.when(both, v)), 1) for k, v in parts.items()]
-    return wanted
-
-
-def pair_coefficients(columns: list[str], stats: dict) -> dict[tuple[str, str], float | None]:
-    """r of every pair from the sums of `pair_probes`."""
-    found = {}
-    for a, b in combinations(columns, 2):
-        sxy = stats["sxy", a, b]
-        if ("n", a, b) in stats:
-            sums = [stats[k, a, b] for k in ("n", "sx", "sy", "sxx", "syy")]
-        else:
-            n = stats["rows"]
-            sums = [n, 0.0, 0.0, *((n - 1) * stats["std", c] ** 2 for c in (a, b))]
-        found[a, b] = _coefficient(*sums, sxy)
-    return found
-
-
-def _coefficient(n, sx, sy, sxx, syy, sxy) -> float | None:
-    if not n or None in (sx, sy, sxx, syy, sxy):
-        return None
-    x_spread, y_spread = sxx - sx * sx / n, syy - sy * sy / n
-    if not (x_spread > RELATIVE_ZERO * sxx and y_spread > RELATIVE_ZERO * syy):
-        return None
-    r = (sxy - sx * sy / n) / (x_spread * y_spread) ** 0.5
-    return max(-1.0, min(1.0, r)) if r == r else None
-
-
-def batch_sums(batches: Iterator[pa.RecordBatch], means: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Six sums per pair over the batches of one task."""
+def batch_sums(
+    batches: Iterator[pa.RecordBatch], means: np.ndarray, places: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Six sums per pair over the batches of one task, which holds four matrices."""
     width = len(means)
     i, j = np.triu_indices(width, k=1)
     n, s, q, p = (np.zeros((width, width)) for _ in range(4))
@@ -99,50 +54,64 @@ def batch_sums(batches: Iterator[pa.RecordBatch], means: np.ndarray) -> Iterator
         s += centred.T @ mask
         q += (centred * centred).T @ mask
         p += centred.T @ centred
-    yield pa.RecordBatch.from_arrays(
+    sums = pa.RecordBatch.from_arrays(
         [
-            pa.array(i, pa.int32()),
-            pa.array(j, pa.int32()),
+            pa.array(places[i], pa.int32()),
+            pa.array(places[j], pa.int32()),
             *(pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])),
         ],
-        names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
+        names=["i", "j", *SUMS],
     )
+    for start in range(0, sums.num_rows, BATCH_PAIRS):
+        yield sums.slice(start, BATCH_PAIRS)
+
 
+def pair_sums(table: Table, columns: list[str], stats: dict) -> DataFrame:
+    """The sums of every pair of varying columns, by their places among the columns.
 
-def matrix_sums(table: Table, columns: list[str], stats: dict) -> DataFrame:
-    """The sums of every pair of a wide table: partial matrices, then added up.
+    Whole Arrow batches are multiplied as matrices where they are read; a task sends one row
+    for each pair, and the rows are added up by pair, in the tasks of the shuffle."""
+    live = varying(columns, stats)
+    means = np.array([stats["mean", c] for c in live])
+    places = np.array([columns.index(c) for c in live])
+    values = table.df.select(*[table.number(c).alias(f"v{k}") for k, c in enumerate(live)])
+    partial = values.mapInArrow(lambda batches: batch_sums(batches, means, places), SUMS_SCHEMA)
+    return partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in SUMS])
 
-    A task adds up its batches before it sends a row for each pair, so input partitions are
-    put together until there are only a few tasks for each core."""
-    means = np.array([stats["mean", c] for c in columns])
-    values = table.df.select(*[table.number(c).alias(f"v{k}") for k, c in enumerate(columns)])
-    values = values.coalesce(TASKS_PER_CORE * table.spark.sparkContext.defaultParallelism)
-    partial = values.mapInArrow(lambda batches: batch_sums(batches, means), SUMS_SCHEMA)
-    names = ("n", "sx", "sy", "sxx", "syy", "sxy")
-    return partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
 
+def pair_coefficients(table: Table, columns: list[str], stats: dict) -> DataFrame:
+    """(i, j, r) of every pair of varying columns, by their places, i before j.
 
-def wide_coefficients(
-    table: Table, columns: list[str], stats: dict
-) -> dict[tuple[str, str], float | None]:
-    return {
-        (columns[r["i"]], columns[r["j"]]): _coefficient(
-            r["n"], r["sx"], r["sy"], r["sxx"], r["syy"], r["sxy"]
-        )
-        for r in matrix_sums(table, columns, stats).collect()
-    }
+    r is NULL where it has no meaning: no common rows, or no spread among them."""
+    if len(varying(columns, stats)) < 2:
+        return table.spark.createDataFrame([], R_SCHEMA)
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    sx, sy, sxx, syy, sxy = (F.col(c) for c in SUMS[1:])
+    x_spread, y_spread = sxx - sx * sx / n, syy - sy * sy / n
+    spread = F.nullif(x_spread * y_spread, F.lit(0.0))
+    r = (sxy - sx * sy / n) / F.sqrt(spread)
+    some = (x_spread > sxx * RELATIVE_ZERO) & (y_spread > syy * RELATIVE_ZERO)
+    sound = F.when(some & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return pair_sums(table, columns, stats).select("i", "j", sound.alias("r"))
 
 
 def coefficients(
     table: Table, columns: list[str], stats: dict
 ) -> dict[tuple[str, str], float | None]:
-    """r by (earlier column, later column) for every pair of varying columns."""
-    live = varying(columns, stats)
-    if len(live) < 2:
-        return {}
-    if is_wide(live, stats):
-        return wide_coefficients(table, live, stats)
-    return pair_coefficients(live, stats | run_probes(table.df, pair_probes(table, live, stats)))
+    """r by (earlier column, later column), for a report that lists every pair."""
+    found = pair_coefficients(table, columns, stats).collect()
+    return {(columns[i], columns[j]): r for i, j, r in found}
+
+
+def strong_pairs(table: Table, columns: list[str], stats: dict, limit: float) -> DataFrame:
+    """(j, i, r): the pairs with |r| at or above the limit, later column first."""
+    found = pair_coefficients(table, columns, stats).where(F.abs("r") >= limit)
+    return found.select("j", "i", F.abs("r").alias("r"))
+
+
+def named(columns: list[str], place: str) -> Column:
+    """The name of the column at a place."""
+    return F.array(*[F.lit(c) for c in columns])[F.col(place)]
 
 
 def correlation_matrix(source: DataFrame | Table, first: int | None = None) -> DataFrame:
@@ -153,18 +122,26 @@ def correlation_matrix(source: DataFrame | Table, first: int | None = None) -> D
     """
     table = Table.of(source)
     columns = table.numeric[:first]
+    if not columns:
+        return table.spark.createDataFrame([], MATRIX_SCHEMA)
     wanted = [Probe("rows", F.count(F.lit(1))), *(p for c in columns for p in moments(table, c))]
     stats = run_probes(table.df, wanted)
-    return matrix_frame(table, columns, coefficients(table, columns, stats), varying(columns, stats))
-
-
-def matrix_frame(table: Table, columns, found: dict, live: list[str]) -> DataFrame:
-    cells = []
-    for a, row in enumerate(columns):
-        for b, column in enumerate(columns):
-            if a == b:
-                r = 1.0 if row in live else None
-            else:
-                r = found.get((row, column) if a < b else (column, row))
-            cells.append((row, a, column, b, None if r is None else round(r, 4)))
-    return table.spark.createDataFrame(cells, PAIR_SCHEMA)
+    sides = [
+        F.struct(F.col(a).alias("row_ordinal"), F.col(b).alias("col_ordinal")) for a, b in ("ij", "ji")
+    ]
+    found = pair_coefficients(table, columns, stats)
+    found = found.select(F.explode(F.array(*sides)).alias("at"), "r").select("at.*", "r")
+    varies = F.array(*[F.lit(c in varying(columns, stats)) for c in columns])[F.col("row_ordinal")]
+    others = F.sequence(F.lit(0), F.lit(len(columns) - 1))
+    cells = table.spark.range(len(columns)).select(
+        F.col("id").cast("int").alias("row_ordinal"), F.explode(others).alias("col_ordinal")
+    )
+    own = F.col("row_ordinal") == F.col("col_ordinal")
+    r = F.when(own, F.when(varies, 1.0)).otherwise(F.rint(F.col("r") * 1e4) / 1e4)
+    return cells.join(found, ["row_ordinal", "col_ordinal"], "left").select(
+        named(columns, "row_ordinal").alias("row_column"),
+        "row_ordinal",
+        named(columns, "col_ordinal").alias("col_column"),
+        "col_ordinal",
+        r.alias("r"),
+    )

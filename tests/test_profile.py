@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from tabmeter import column_table, dataset_summary, profile
-from tabmeter.operators.correlation import correlation_matrix, is_wide
+from tabmeter.operators.correlation import correlation_matrix, strong_pairs
 from tabmeter.operators import median, values
 from tabmeter.operators.median import median_frame, medians
 from tabmeter.operators.profile import missing_map, numeric_stats, summary_frame, top_missing
@@ -104,7 +104,6 @@ def test_wide_correlation_matches_pandas(spark):
     wide.iloc[60:200, 4] = np.nan
     wide["x.9"] = 5.0
     df = spark.createDataFrame(wide).repartition(3)
-    assert is_wide(list(wide), {("present", c): 1 for c in wide} | {"rows": 1})
     expected = wide.corr()
     found = correlation_matrix(df).collect()
     assert len(found) == 14 * 14
@@ -116,6 +115,27 @@ def test_wide_correlation_matches_pandas(spark):
             assert r["r"] == pytest.approx(value, abs=1e-4)
 
 
+def test_strong_pairs_of_500_columns(spark):
+    rng = np.random.default_rng(8)
+    wide = pd.DataFrame(rng.normal(size=(200, 500)), columns=[f"c{i}" for i in range(500)])
+    wide["c499"] = 3.0 - wide["c7"]
+    wide.iloc[::3, 250] = np.nan
+    wide["c300"] = wide["c250"] * 1e-3
+    names = list(wide)
+    stats = {("mean", c): wide[c].mean() for c in names} | {("std", c): wide[c].std() for c in names}
+    found = strong_pairs(Table.of(spark.createDataFrame(wide).repartition(5)), names, stats, 0.95)
+    assert sorted((r["j"], r["i"], round(r["r"], 6)) for r in found.collect()) == [(300, 250, 1.0), (499, 7, 1.0)]
+
+
+def test_pairs_without_common_rows_or_spread(spark):
+    rows = [(1.0, None, 1.0), (2.0, None, 1.0), (None, 3.0, 1.0), (None, 4.0, 1.0)]
+    cells = correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double")).collect()
+    found = {(r["row_column"], r["col_column"]): r["r"] for r in cells}
+    assert len(found) == 9 and found["a", "a"] == found["b", "b"] == 1.0
+    assert found["a", "b"] is found["b", "a"] is found["c", "c"] is found["a", "c"] is None
+    assert correlation_matrix(spark.createDataFrame([("x",)], "t string")).count() == 0
+
+
 def test_correlation_cut_to_the_first_columns(df):
     assert correlation_matrix(df, first=2).count() == 4
 
