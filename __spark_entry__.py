@@ -33,7 +33,14 @@ from tabmeter.operators.correlation import correlation_matrix
 from tabmeter.operators.duplicates import duplicate_count, duplicate_rows
 from tabmeter.operators.forest import isolation_forest, scored_rows
 from tabmeter.operators.median import median_frame
-from tabmeter.operators.profile import missing_map, numeric_stats, summary_frame, top_missing
+from tabmeter.operators.profile import (
+    dataset_summary,
+    missing_map,
+    numeric_stats,
+    summary_frame,
+    top_missing,
+    type_counts,
+)
 from tabmeter.operators.timeliness import date_ranges, day_gaps, max_gaps
 from tabmeter.operators.validity import (
     enum_samples,
@@ -44,6 +51,7 @@ from tabmeter.operators.validity import (
 )
 from tabmeter.operators.values import distinct_counts, sample_values, top_values
 from tabmeter.plans.staging import remove, scratch_folder, staged
+from tabmeter.plans.report import write_result
 from tabmeter.plans.scoring import check
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -318,6 +326,50 @@ def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation_forest(table(spark, sf_dir, "lineitem"))
 
 
+def _complete_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest leaves out rows with a missing value; its share is within the expected one."""
+    gaps = {
+        "l_quantity": F.when(F.col("l_partkey") % 5 != 0, F.col("l_quantity")),
+        "l_tax": F.when(F.col("l_suppkey") % 7 != 0, F.col("l_tax")),
+    }
+    found = isolation_forest(table(spark, sf_dir, "lineitem").withColumns(gaps))
+    share = F.col("outlier_count") / F.col("sample_size")
+    return found.select("sample_size", "contamination", share.between(0.04, 0.05).alias("within"))
+
+
+def _table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for name in ("labels", "documents", "events"):
+        source = table(spark, sf_dir, name)
+        size, kinds = dataset_summary(source), type_counts(source)
+        rows.append((name, size["row_count"], size["column_count"], size["memory_usage_mb"], *kinds.values()))
+    names = "numeric_columns bigint, text_columns bigint, date_columns bigint"
+    return spark.createDataFrame(
+        rows, f"table_name string, row_count bigint, column_count bigint, size_mb double, {names}"
+    )
+
+
+def _leading_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading 20 of 24 numeric columns."""
+    from oracles import wave
+
+    waves = [F.expr(wave(k)).alias(f"c{k}") for k in range(24)]
+    found = correlation_matrix(table(spark, sf_dir, "lineitem").select(*waves), first=20)
+    return found.select("row_column", "col_column", "r")
+
+
+def _result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores read back from the JSON record of a result."""
+    path = _scratch_file(spark, "result.json")
+    write_result(spark, _score(spark, sf_dir), path)
+    fields = "score double, passed_checks int, total_checks int"
+    record = F.from_json("value", f"overall_score double, pillars map<string, struct<{fields}>>").alias("record")
+    read = spark.read.text(path, wholetext=True).select(record).select("record.*")
+    return read.select("overall_score", F.explode("pillars").alias("pillar", "found")).select(
+        "overall_score", "pillar", "found.*"
+    )
+
+
 def _whole_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_violations(
         dq(spark, sf_dir).withColumnRenamed("discount_rate", "discount rate"), DQ_RULES
@@ -405,6 +457,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accuracy_score": _pillar("accuracy"),
     "isolation_forest": _forest,
     "planted_outliers": _planted_outliers,
+    "forest_of_complete_rows": _complete_forest,
+    "table_sizes": _table_sizes,
+    "leading_matrix": _leading_matrix,
+    "result_file": _result_file,
     "feature_spread": _spread,
     "class_counts": lambda s, d: class_counts(table(s, d, "labels"), "toxic"),
     "many_classes": lambda s, d: class_counts(table(s, d, "lineitem"), "l_partkey"),

@@ -7,6 +7,10 @@ values of a frame half up in decimal, pillar scores by their binary value.
 
 from __future__ import annotations
 
+import string
+
+from tabmeter.plans import advice
+
 LINEITEM = (
     "l_orderkey",
     "l_partkey",
@@ -62,6 +66,12 @@ def union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def wave(k: int) -> str:
+    """A column of many that depend on each other in part; every seventh has gaps."""
+    value = f"l_quantity * {k % 5} + l_partkey % {k + 2}"
+    return f"CASE WHEN {k} % 7 = 3 AND l_suppkey % 4 = 0 THEN NULL ELSE CAST({value} AS DOUBLE) END"
+
+
 def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
     columns = ", ".join(f"{e.format(text='VARCHAR')} AS {n}" for n, e in dq_columns.items())
     dq = (
@@ -308,6 +318,63 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
     )
 
     overall = f"SELECT {nearest('sum(weighted_score)')} AS overall_score FROM ({scored})"
+
+    # -- advice: fixed wording, in order of urgency, then of the pillars --------
+    order = "CASE pillar " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(WEIGHTS)) + " END"
+
+    def filled(message: str, **words: str) -> str:
+        """The message with SQL expressions in its gaps."""
+        parts = []
+        for text, gap, _, _ in string.Formatter().parse(message):
+            parts += ([text] if text else []) + ([f"={words[gap]}"] if gap else [])
+        return said(*parts)
+
+    def advised(pillar: str, place: int, priority: int, text: str, test: str, rows: str = "dq") -> str:
+        return f"SELECT '{pillar}' AS pillar, {place} AS place, {priority} AS priority, {text} AS message FROM {rows} HAVING {test}"
+
+    def by_score(scores: str) -> list[str]:
+        return [
+            f"SELECT '{p}' AS pillar, 0 AS place, CASE WHEN score < 60 THEN {low[0]} ELSE {mid[0]} END AS priority, "
+            f"CASE WHEN score < 60 THEN {said(low[1])} ELSE {said(mid[1])} END AS message FROM ({scores}) WHERE pillar = '{p}' AND score < 80"
+            for p, (low, mid) in advice.BY_SCORE.items()
+        ]
+
+    def ranked_advice(parts: list[str], tip: str) -> str:
+        kept = f"SELECT message, min(priority * 10000 + {order} * 100 + place) AS urgency FROM ({union(parts)}) GROUP BY message"
+        last = f"SELECT {said(advice.EXCELLENT_TIP)}, 1000000 WHERE ({tip}) >= 85"
+        return (
+            "SELECT CAST(row_number() OVER (ORDER BY urgency) AS INT) AS seq, message AS recommendation "
+            f"FROM ({kept} UNION ALL {last}) QUALIFY row_number() OVER (ORDER BY urgency) <= 10"
+        )
+
+    bracketed = "'[' || string_agg(chr(39) || \"column\" || chr(39), ', ' ORDER BY place) || ']'"
+    collinear_names = " UNION ALL ".join(
+        f"SELECT '{name}' AS \"column\", {100 * i + 10 * j + k} AS place "
+        f"WHERE (SELECT abs(corr({a}, {b})) >= 0.95 FROM dq)"
+        for i, a in enumerate(features)
+        for j, b in enumerate(features[:i])
+        for k, name in enumerate((a, b))
+    )
+    strong = f"SELECT \"column\", min(place) AS place FROM ({collinear_names}) GROUP BY \"column\" ORDER BY place LIMIT 6"
+    told = by_score(scored) + [
+        advised(
+            "completeness", 1, 1,
+            filled(advice.NULL_COLUMNS, names=listed("null_pct >= 50", f"({null_pct})")),
+            "count_if(null_pct >= 50) > 0", f"({null_pct})",
+        ),
+        advised("completeness", 2, 2, filled(advice.NULL_ROWS, pct=nearest(bad_pct)), f"{bad_pct} > 10"),
+        *(
+            advised("validity", 1 + i, 3, filled(advice.ENUM_VALUES, column=f"'{c}'", n=f"count_if({test})"), f"count_if({test}) > 0")
+            for i, (c, test) in enumerate(enums.items())
+        ),
+        advised("uniqueness", 1, 1, filled(advice.MANY_DUPLICATES, pct=nearest(repeated)), f"{repeated} > 10"),
+        advised("uniqueness", 2, 2, filled(advice.SOME_DUPLICATES, pct=nearest(repeated)), f"{repeated} > 2 AND {repeated} <= 10"),
+        advised("accuracy", 1, 2, filled(advice.OUTLIER_COLUMNS, names=bracketed), "count(*) > 0", f"({outlying} ORDER BY place LIMIT 5)"),
+        advised("ai_readiness", 1, 1, filled(advice.LEAKAGE, names="'[''delivery_status'']'"), "true"),
+        advised("ai_readiness", 2, 2, filled(advice.COLLINEAR, names=bracketed), "count(*) > 0", f"({strong})"),
+        advised("ai_readiness", 3, 2, filled(advice.FEW_FEATURES), "true"),
+    ]
+    recommendations = ranked_advice(told, overall)
     number = "CAST({c} AS DOUBLE)"
     lineitem_profile = union(
         f"SELECT '{c}' AS \"column\", {half_up(f'avg({c})')} AS mean, {half_up(f'stddev_samp({c})')} AS std, "
@@ -566,6 +633,28 @@ def oracles(dq_columns: dict[str, str]) -> dict[str, str]:
             f"WHEN overall_score >= 50 THEN '#e67e22' ELSE '#e74c3c' END AS band_color FROM ({overall})"
         ),
         "issues": over_dq(issues),
+        "recommendations": over_dq(recommendations),
+        "table_sizes": union(
+            f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({w} AS BIGINT) AS column_count, "
+            f"{nearest(f'CAST(sum({size}) AS BIGINT) / 1048576')} AS size_mb, CAST({n} AS BIGINT) AS numeric_columns, "
+            f"CAST({c} AS BIGINT) AS text_columns, CAST({d} AS BIGINT) AS date_columns FROM {t}"
+            for t, w, n, c, d, size in (
+                ("labels", 3, 3, 0, 0, "24"),
+                ("documents", 5, 2, 3, 0, "16 + " + " + ".join(f"coalesce(strlen({c}), 0)" for c in ("text", "lang", "source"))),
+                ("events", 6, 3, 2, 1, "32 + coalesce(strlen(event_type), 0) + coalesce(strlen(props), 0)"),
+            )
+        ),
+        "forest_of_complete_rows": (
+            "SELECT count(*) AS sample_size, 0.05::DOUBLE AS contamination, true AS within FROM lineitem "
+            "WHERE l_partkey % 5 <> 0 AND l_suppkey % 7 <> 0"
+        ),
+        "leading_matrix": union(
+            f"SELECT 'c{a}' AS row_column, 'c{b}' AS col_column, round(corr({wave(a)}, {wave(b)}), 4) AS r FROM lineitem"
+            for a in range(20) for b in range(20)
+        ),
+        "result_file": over_dq(
+            f"SELECT overall_score, pillar, score, passed_checks, total_checks FROM ({scored}), ({overall})"
+        ),
         "csv_round_trip": (
             "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
             "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority, "
