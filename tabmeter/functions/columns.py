@@ -20,9 +20,13 @@ NUMBER = (
 )
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
     """Column by exact name; names may hold dots, spaces or parentheses."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def pct(part: Column, whole: Column) -> Column:
